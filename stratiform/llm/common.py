@@ -32,6 +32,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """A table of ``materialize`` once more, with columns of its own for joins with itself."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._stratiform_path)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
     path = getattr(df, "_stratiform_path", None)

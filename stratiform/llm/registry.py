@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from stratiform.llm import op3_packing, op4_token_counts, op5_mixing
+from stratiform.llm import op1_embedding_neardup, op3_packing, op4_token_counts, op5_mixing, op7_jaccard_join, op8_fingerprints
 
 QUERIES = {
+    "op1_embedding_neardup": op1_embedding_neardup.query,
     "op3_best_fit_packing": op3_packing.query,
     "op4_token_counts": op4_token_counts.query,
     "op5_mixing": op5_mixing.query,
+    "op7_jaccard_join": op7_jaccard_join.query,
+    "op8_fingerprints": op8_fingerprints.query,
 }
 
 ORACLES = {"op5_mixing": op5_mixing.ORACLE}
