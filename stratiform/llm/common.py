@@ -158,3 +158,27 @@ def distinct_per_doc(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, n
 def crc_of_id(column: str) -> F.Column:
     """crc32 of an id written as decimal text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+#: Words of 64 bits in a key filter: 2 MB, whatever the number of keys.
+FILTER_WORDS = 1 << 18
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size that holds every key (a long) and some others by chance.
+
+    Scans use it to leave out most rows before a join; the join itself decides. Where keys are so
+    many that it fills up, it leaves nothing out and results stay the same.
+    """
+    k = F.col(column)
+    word = F.pmod(F.shiftrightunsigned(k, 6), F.lit(FILTER_WORDS)).alias("w")
+    bit = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("b")
+    got = keys.select(word, bit).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(FILTER_WORDS, np.uint64)
+    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def may_hold(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    k = keys.astype(np.int64).view(np.uint64)
+    return (bitmap[(k >> np.uint64(6)) % np.uint64(FILTER_WORDS)] >> (k & np.uint64(63)) & np.uint64(1)).astype(bool)
