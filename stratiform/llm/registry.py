@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stratiform.llm import op1_embedding_neardup, op3_packing, op4_token_counts, op5_mixing, op7_jaccard_join, op8_fingerprints
+from stratiform.llm import op1_embedding_neardup, op2_line_dedup, op3_packing, op4_token_counts, op5_mixing, op7_jaccard_join, op8_fingerprints
 
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup.query,
+    "op2_line_dedup": op2_line_dedup.query,
     "op3_best_fit_packing": op3_packing.query,
     "op4_token_counts": op4_token_counts.query,
     "op5_mixing": op5_mixing.query,
