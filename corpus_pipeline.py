@@ -2,11 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratiform.llm import op2_line_dedup, op3_packing, op5_mixing, op6_language_id, op7_jaccard_join
 from stratiform.llm.common import documents, materialize
+from stratiform.session import ship
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without letters and those far less predictable than any language learned; ``lang`` stays as labelled."""
+    ship(spark)
+    model = op6_language_id.learn(docs)
+    return op6_language_id.identify(docs.select(*COLUMNS), model).where("not rejected").select(*COLUMNS)
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop lines whose template recurs, but for its first; documents that lose all their lines go."""
+    ship(spark)
+    out = op2_line_dedup.dedup_lines(docs.select(*COLUMNS))
+    out = out.where("n_lines > n_dropped or n_dropped = 0")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of smallest doc_id of each group linked by five-word shingles, similarity 0.8."""
+    ship(spark)
+    groups = op7_jaccard_join.jaccard_components(docs, *op7_jaccard_join.STAGE)
+    groups = groups.where("doc_id is null or component_id = doc_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(groups.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that each source comes near its target; a row per copy."""
+    ship(spark)
+    mixed = op5_mixing.mix_documents(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    mixed = mixed.withColumnRenamed("doc_id", "_id")
+    out = docs.select(*COLUMNS).join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack all that is left into sequences of 2048 tokens: a row per piece."""
+    ship(spark)
+    return op3_packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_recurring_lines),
+    ("jaccard_join", keep_one_of_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: Language models, templates, connected components and packing are beyond SQL: tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from stratiform.llm import op1_embedding_neardup, op2_line_dedup, op3_packing, op4_token_counts, op5_mixing, op7_jaccard_join, op8_fingerprints
+from stratiform.llm import (
+    op1_embedding_neardup,
+    op2_line_dedup,
+    op3_packing,
+    op4_token_counts,
+    op5_mixing,
+    op6_language_id,
+    op7_jaccard_join,
+    op8_fingerprints,
+    op9_passages,
+    op10_secrets,
+)
 
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup.query,
@@ -10,8 +21,11 @@ QUERIES = {
     "op3_best_fit_packing": op3_packing.query,
     "op4_token_counts": op4_token_counts.query,
     "op5_mixing": op5_mixing.query,
+    "op6_language_id": op6_language_id.query,
     "op7_jaccard_join": op7_jaccard_join.query,
     "op8_fingerprints": op8_fingerprints.query,
+    "op9_repeated_passages": op9_passages.query,
+    "op10_secret_scan": op10_secrets.query,
 }
 
 ORACLES = {"op5_mixing": op5_mixing.ORACLE}
