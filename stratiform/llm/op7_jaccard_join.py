@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratiform.llm.common import distinct_per_doc, documents, materialize, mix64, release, shingles, slices, word_hashes
+from stratiform.llm.common import distinct_per_doc, documents, key_filter, materialize, may_hold, mix64, release, reread, shingles, slices, word_hashes
 from stratiform.llm.components import connected_components
 
 #: Words of a shingle and least similarity in hundredths: of the query, and of pipeline stages.
 QUERY, STAGE = (4, 85), (5, 80)
+#: Longs of a parity sketch: 64 hash buckets each, a bit tells whether a set has an odd number there.
+SKETCH = 8
 _U = np.uint64
 
 
@@ -34,6 +36,20 @@ def set_digests(values: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray
     return size, np.where(size > 0, digest, _U(0)).astype(np.int64)
 
 
+def parities(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Parity sketches (n, ``SKETCH``): sets whose sketches differ in b bits differ in b shingles at least."""
+    bucket = (mix64(values ^ _U(0x3C79AC492BA7B653)) >> _U(32)).astype(np.int64) % (64 * SKETCH)
+    odd = np.bincount(doc * (64 * SKETCH) + bucket, minlength=n * 64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH * 64), axis=1).view("<i8")
+
+
+def may_link(a: str, b: str, percent: int) -> F.Column:
+    """Whether sizes and sketches of two sides (columns n and s0, s1, … with a prefix) allow a link."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    differ = sum((F.bit_count(F.col(f"{a}s{j}").bitwiseXOR(F.col(f"{b}s{j}"))) for j in range(SKETCH)), F.lit(0))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
+
+
 def bands(most: int, percent: int) -> np.ndarray:
     """Last size of each band: similar sets lie in one band or in two adjoining ones."""
     ends, low = [], 1
@@ -97,16 +113,20 @@ def signatures(values: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: i
 
 
 def _keys(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node): the node of a text is the digest of its shingle set, 0 if empty."""
+    """(doc_id, n_shingles, node, sketch): the node of a text is the digest of its shingle set, 0 if empty."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 v, d = shingle_sets(part.column("text").to_pylist(), words)
                 size, node = set_digests(v, d, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(node)], ["doc_id", "n_shingles", "node"])
+                sketch = parities(v, d, part.num_rows)
+                cols = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(node), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "node", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, "doc_id long, n_shingles long, node long")
+    names = [f"s{j}" for j in range(SKETCH)]
+    schema = "doc_id long, n_shingles long, node long, " + ", ".join(f"{c} long" for c in names)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, schema)
 
 
 def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -187,40 +207,56 @@ def jaccard_components(docs: DataFrame, words: int = QUERY[0], percent: int = QU
     least node, then all pairs of a group that lie in different components. Repeated rows are
     copies; a null doc_id has the component of its equals; an empty table gives no rows.
     """
+    sketch = [f"s{j}" for j in range(SKETCH)]
     keys = materialize(_keys(docs, words), "op7-keys")
     groups = materialize(grouped(_signature_rows(docs, words, percent), "sig", "node"), "op7-groups")
-    sizes = keys.where("node <> 0").groupBy("node").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
-    star = materialize(groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "op7-star")
-    wanted = star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))).distinct().join(sizes, "node")
-    texts = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("node", "n", "text"),
-        "op7-texts",
-    )
-    links = materialize(verified(star, texts, words, percent), "op7-links")
-    labels = connected_components(links)
-    rest = cross_pairs(groups, labels, texts.select("node", "n"), percent)
-    rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "op7-cross")
+    nodes = keys.where("node <> 0").groupBy("node").agg(F.min("n_shingles").alias("n"), *(F.min(c).alias(c) for c in sketch))
+    star = sided(groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes).where(may_link("a_", "b_", percent))
+    star = materialize(star.select("a", "b"), "op7-star")
+    labels = connected_components(links := materialize(verified(star, texts_of(docs, star, words), words, percent), "op7-links"))
+    rest = materialize(cross_pairs(groups, labels, nodes, percent).join(star, ["a", "b"], "left_anti"), "op7-cross")
     if not rest.isEmpty():
-        more = materialize(links.unionByName(verified(rest, texts, words, percent)), "op7-links")
-        labels = connected_components(more)
+        more = verified(rest, texts_of(docs, rest, words), words, percent)
+        labels = connected_components(materialize(links.unionByName(more), "op7-links"))
     release(groups)
-    named = keys.join(labels.withColumnRenamed("component_id", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = keys.select("doc_id", "n_shingles", "node").join(labels.withColumnRenamed("component_id", "label"), "node", "left")
+    named = named.withColumn("label", F.coalesce("label", "node"))
     smallest = named.where("node <> 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "label", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
-def cross_pairs(groups: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one signature group in different components whose sizes allow a link."""
+def sided(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Add both nodes' sizes and sketches to pairs (a, b), with prefixes a_ and b_."""
+    side = lambda p: nodes.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in nodes.columns if c != "node"])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def texts_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(node, text) of the nodes of some pairs, one text each."""
+    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "op7-wanted")
+    bitmap = key_filter(wanted, "node")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, node = set_digests(*shingle_sets(part.column("text").to_pylist(), words), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(node), part.column("text")], ["node", "text"]).filter(pa.array(may_hold(bitmap, node)))
+
+    texts = docs.select("text").mapInArrow(likely, "node long, text string").join(wanted, "node", "left_semi")
+    return materialize(texts.dropDuplicates(["node"]), "op7-texts")
+
+
+def cross_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one signature group in different components whose sizes and sketches allow a link."""
     members = groups.select("sig", "node").union(groups.select("sig", F.col("hub").alias("node"))).distinct()
     members = members.join(labels, "node", "left").select("sig", "node", F.coalesce("component_id", "node").alias("label"))
     mixed = members.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo <> hi and g > 2").select("sig")
-    members = members.join(mixed, "sig").join(sizes.groupBy("node").agg(F.max("n").alias("n")), "node")
-    x = members.select("sig", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    y = members.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-    return x.join(y, "sig").where(fits).select("a", "b").distinct()
+    members = materialize(members.join(mixed, "sig").join(nodes, "node"), "op7-members")
+    x, y = (m.select("sig", *[F.col(c).alias(f"{p}_{c}") for c in m.columns if c != "sig"]) for p, m in (("a", members), ("b", reread(members))))
+    differ = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
+    return x.join(y, "sig").where(differ & may_link("a_", "b_", percent)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
