@@ -1,6 +1,8 @@
-"""All driver queries and their SQL, gathered from the operator modules."""
+"""All driver queries and their SQL; importing a plan module registers its queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from stratiform.plans import assembly, events, graph, quality, retrieval, spatial, store, text  # noqa: F401
+from stratiform.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
