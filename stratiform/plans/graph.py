@@ -1 +1,74 @@
-"""Queries."""
+"""Dependency-graph queries over the fixed dimension table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stratiform.operators import graph as G
+from stratiform.plans.base import query
+
+_D = "d(key, layer, pos) AS (VALUES " + ", ".join(f"('{k}', {a}::INTEGER, {p}::INTEGER)" for k, a, p in G.DIMENSIONS) + ")"
+_E = "e(src, dst, kind) AS (VALUES " + ", ".join(f"('{s}', '{t}', '{k}')" for s, t, k in G.EDGES) + ")"
+#: Finished: the first layer and the first dimension of the second.
+DONE = [k for k, layer, _ in G.DIMENSIONS if layer == 1] + ["resource_endowment"]
+_C = "c(key) AS (VALUES " + ", ".join(f"('{k}')" for k in DONE) + ")"
+TARGETS = ["planning_positioning", "natural_environment"]
+_W = "w AS (SELECT key, max(wave)::INTEGER AS wave FROM r GROUP BY 1)"
+_R = "r(key, wave) AS (SELECT key, 1 FROM d UNION ALL SELECT e.dst, r.wave + 1 FROM r JOIN e ON e.src = r.key AND e.kind = 'depends_on')"
+_T = "t(target, key, level) AS (SELECT x, x, 0 FROM (VALUES ('planning_positioning'), ('natural_environment')) v(x) UNION SELECT t.target, e.dst, t.level + 1 FROM t JOIN e ON e.src = t.key WHERE t.level < 30)"
+
+
+def done(spark):
+    return spark.createDataFrame([(k,) for k in DONE], "key string")
+
+
+@query("dim_waves", f"WITH RECURSIVE {_D}, {_E}, {_R}, {_W} SELECT d.key, d.layer, d.pos, w.wave FROM d JOIN w USING (key)")
+def dim_waves(spark, sf_dir):
+    return G.waves(G.dimensions(spark), G.edges(spark))
+
+
+@query("impact_tree", f"WITH RECURSIVE {_E}, {_T} SELECT target, key, min(level)::INTEGER AS level FROM t WHERE key <> target GROUP BY 1, 2")
+def impact_tree(spark, sf_dir):
+    return G.impact(G.edges(spark), TARGETS)
+
+
+@query("direct_downstream", f"WITH {_E} SELECT src, count(*) AS n, string_agg(dst, ',' ORDER BY dst) AS downstream FROM (SELECT DISTINCT src, dst FROM e) GROUP BY 1")
+def direct_downstream(spark, sf_dir):
+    return G.direct_downstream(G.edges(spark))
+
+
+@query("ready_dims", f"WITH {_D}, {_E}, {_C} SELECT key, layer, pos FROM d WHERE key NOT IN (SELECT key FROM c) AND key NOT IN (SELECT dst FROM e WHERE src NOT IN (SELECT key FROM c))")
+def ready_dims(spark, sf_dir):
+    return G.ready(G.dimensions(spark), G.edges(spark), done(spark))
+
+
+@query("dispatch_dims", f"WITH {_D}, {_E}, {_C} SELECT key, layer, pos FROM d WHERE layer IN (2, 3) AND key NOT IN (SELECT key FROM c) AND key NOT IN (SELECT dst FROM e WHERE src NOT IN (SELECT key FROM c))")
+def dispatch_dims(spark, sf_dir):
+    return G.dispatch(G.dimensions(spark), G.edges(spark), done(spark), 2)
+
+
+@query("next_wave", f"WITH RECURSIVE {_D}, {_E}, {_C}, {_R}, {_W} SELECT d.key, w.wave FROM d JOIN w USING (key) WHERE d.layer = 2 AND w.wave = (SELECT min(w.wave) FROM w JOIN d USING (key) WHERE d.layer = 2 AND w.key NOT IN (SELECT key FROM c))")
+def next_wave(spark, sf_dir):
+    levels = G.waves(G.dimensions(spark), G.edges(spark)).filter("layer = 2").select("key", "wave")
+    return G.next_wave(levels, done(spark))
+
+
+@query("revision_plan", f"""WITH RECURSIVE {_D}, {_E}, {_T}, {_C}, i AS (SELECT key, max(level)::INTEGER AS wave FROM (SELECT target, key, min(level) AS level FROM t WHERE key <> target GROUP BY 1, 2) GROUP BY 1)
+ SELECT x AS key, 0 AS wave FROM (VALUES ('planning_positioning'), ('natural_environment')) v(x) UNION ALL SELECT key, wave FROM i WHERE key IN (SELECT key FROM c) AND key NOT IN ('planning_positioning', 'natural_environment')""")
+def revision_plan(spark, sf_dir):
+    return G.revision_plan(G.edges(spark), TARGETS, done(spark))
+
+
+@query("layer_complete", f"WITH {_D}, {_C} SELECT d.layer, count(*) AS n, count(c.key) AS n_done, count(*) = count(c.key) AS complete FROM d LEFT JOIN c USING (key) GROUP BY 1")
+def layer_complete(spark, sf_dir):
+    return G.layers_complete(G.dimensions(spark), done(spark))
+
+
+@query("first_pending", f"WITH {_D}, {_C} SELECT layer, arg_min(key, pos) AS key FROM d WHERE key NOT IN (SELECT key FROM c) GROUP BY 1")
+def first_pending(spark, sf_dir):
+    return G.first_pending(G.dimensions(spark), done(spark))
+
+
+@query("wave_counts", f"WITH RECURSIVE {_D}, {_E}, {_R}, {_W} SELECT d.layer, max(w.wave) AS n_waves, count(*) AS n FROM d JOIN w USING (key) GROUP BY 1")
+def wave_counts(spark, sf_dir):
+    return G.waves(G.dimensions(spark), G.edges(spark)).groupBy("layer").agg(F.max("wave").alias("n_waves"), F.count(F.lit(1)).alias("n"))

@@ -1 +1,140 @@
-"""Queries."""
+"""Quality metrics and group statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from stratiform.functions import stats as X
+from stratiform.operators import quality as Q
+from stratiform.plans.base import query, table
+
+_G = "g AS (SELECT l_returnflag AS grp, l_linenumber AS iter, l_extendedprice / 1000.0 AS value FROM lineitem WHERE l_linenumber <= 7 AND l_orderkey % 10 = 1)"
+
+
+def samples(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 7 and l_orderkey % 10 = 1")
+    return li.select(F.col("l_returnflag").alias("grp"), F.col("l_linenumber").alias("iter"), (F.col("l_extendedprice") / 1000.0).alias("value"))
+
+
+@query("group_means", f"WITH {_G} SELECT grp, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, round(1.96 * coalesce(stddev_samp(value), 0) / sqrt(count(*)), 6) AS half FROM g GROUP BY 1")
+def group_means(spark, sf_dir):
+    g = samples(spark, sf_dir).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), X.sample_std(F.col("value")).alias("s"))
+    return g.select("grp", "n", F.round("m", 6).alias("mean"), F.round("s", 6).alias("std"), F.round(X.ci_half_width(F.col("s"), F.col("n")), 6).alias("half"))
+
+
+_A = f"WITH {_G}, s AS (SELECT grp, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM g GROUP BY 1)"
+
+
+def _sides(spark, sf_dir):
+    s = samples(spark, sf_dir).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
+    a = s.filter("grp = 'A'").select(*[F.col(c).alias(f"{c}1") for c in s.columns])
+    b = s.filter("grp <> 'A'").select(*[F.col(c).alias(f"{c}2") for c in s.columns])
+    return b.crossJoin(F.broadcast(a))  # one row
+
+
+@query("cohens_d_weighted", f"{_A} SELECT b.grp, round((b.m - a.m) / CASE WHEN sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) = 0 THEN 0.001 ELSE sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) END, 6) AS d FROM s a, s b WHERE a.grp = 'A' AND b.grp <> 'A'")
+def cohens_d_weighted(spark, sf_dir):
+    d = X.cohens_d_weighted(*(F.col(c) for c in ("n1", "m1", "v1", "n2", "m2", "v2")))
+    return _sides(spark, sf_dir).select(F.col("grp2").alias("grp"), F.round(d, 6).alias("d"))
+
+
+@query("cohens_d_plain", f"{_A} SELECT b.grp, round(CASE WHEN sqrt((a.v + b.v) / 2) > 0 THEN (b.m - a.m) / sqrt((a.v + b.v) / 2) ELSE 0 END, 6) AS d FROM s a, s b WHERE a.grp = 'A' AND b.grp <> 'A'")
+def cohens_d_plain(spark, sf_dir):
+    return _sides(spark, sf_dir).select(F.col("grp2").alias("grp"), F.round(X.cohens_d_plain(F.col("m1"), F.col("v1"), F.col("m2"), F.col("v2")), 6).alias("d"))
+
+
+@query("compare_groups", f"{_A} SELECT b.grp, round(b.m - a.m, 6) AS diff, round((b.m - a.m) / a.m * 100, 4) AS percent FROM s a, s b WHERE a.grp = 'A' AND b.grp <> 'A'")
+def compare_groups(spark, sf_dir):
+    diff = F.col("m2") - F.col("m1")
+    return _sides(spark, sf_dir).select(F.col("grp2").alias("grp"), F.round(diff, 6).alias("diff"), F.round(diff / F.col("m1") * 100, 4).alias("percent"))
+
+
+_PAIR = f"""WITH {_G}, i AS (SELECT grp, iter, avg(value) AS value FROM g GROUP BY 1, 2), p AS (SELECT b.grp, b.iter, b.value - a.value AS d FROM i a JOIN i b USING (iter) WHERE a.grp = 'A' AND b.grp <> 'A'),
+ t AS (SELECT grp, count(*) AS n, CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) ELSE 0 END AS t FROM p GROUP BY 1)"""
+
+
+def _paired(spark, sf_dir):
+    i = samples(spark, sf_dir).groupBy("grp", "iter").agg(F.avg("value").alias("value"))
+    a = i.filter("grp = 'A'").select("iter", F.col("value").alias("base"))
+    return i.filter("grp <> 'A'").join(a, "iter").withColumn("d", F.col("value") - F.col("base")).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), X.paired_t(F.col("d")).alias("t"))
+
+
+@query("paired_t", f"{_PAIR} SELECT grp, n, round(t, 6) AS t FROM t")
+def paired_t(spark, sf_dir):
+    return _paired(spark, sf_dir).select("grp", "n", F.round("t", 6).alias("t"))
+
+
+@query("p_step", f"{_PAIR} SELECT grp, CASE WHEN n - 1 <= 2 THEN CASE WHEN abs(t) > 4.303 THEN 0.01 WHEN abs(t) > 2.92 THEN 0.05 WHEN abs(t) > 1.886 THEN 0.1 ELSE 0.2 END ELSE CASE WHEN abs(t) > 2.576 THEN 0.01 WHEN abs(t) > 1.96 THEN 0.05 WHEN abs(t) > 1.645 THEN 0.1 ELSE 0.2 END END::DOUBLE AS p FROM t")
+def p_step(spark, sf_dir):
+    return _paired(spark, sf_dir).select("grp", X.p_step(F.col("t"), F.col("n") - 1).alias("p"))
+
+
+@query("paired_p_exact")
+def paired_p_exact(spark, sf_dir):
+    return _paired(spark, sf_dir).select("grp", F.round(X.p_value(F.col("t"), F.col("n") - 1), 6).alias("p"))
+
+
+_SENT = "sent AS (SELECT doc_id, pos, trim(s) AS s FROM (SELECT doc_id, unnest(string_split_regex(text, '[.!?\\n]')) AS s, unnest(range(1, len(string_split_regex(text, '[.!?\\n]')) + 1)) AS pos FROM documents WHERE text IS NOT NULL) WHERE length(trim(s)) >= 10)"
+_KIND = "CASE k WHEN 'number' THEN regexp_matches(s, '[0-9]') WHEN 'law' THEN contains(lower(s), 'license') OR contains(lower(s), 'rights') ELSE contains(s, ',') END"
+
+
+@query("sentence_claims", f"WITH {_SENT} SELECT doc_id, k AS kind, count(*) AS n FROM sent, (VALUES ('number'), ('law'), ('clause')) v(k) WHERE {_KIND} GROUP BY 1, 2")
+def sentence_claims(spark, sf_dir):
+    s = Q.sentences(table(spark, sf_dir, "documents"), r"[.!?\n]", 10)
+    return Q.claims(s, Q.ENGLISH_CLAIMS).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("faithfulness", f"WITH {_SENT}, c AS (SELECT doc_id, contains(lower(s), ' the ') OR contains(lower(s), ' de ') AS ok FROM sent WHERE contains(s, ',')) SELECT d.doc_id, count(c.doc_id) AS n_claims, round(coalesce(sum(c.ok::INTEGER)::DOUBLE / count(c.doc_id), 1.0), 6) AS faithfulness FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1")
+def faithfulness(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    s = Q.sentences(d, r"[.!?\n]", 10).filter(F.col("sentence").contains(","))
+    ok = F.lower("sentence").contains(" the ") | F.lower("sentence").contains(" de ")
+    return Q.support_rate(d.select("doc_id"), s.withColumn("supported", ok), "doc_id")
+
+
+@query("depth_score", """SELECT doc_id, least(5, 1 + (length(text) > 500)::INTEGER + (length(text) > 2000)::INTEGER + regexp_matches(text, '[0-9]')::INTEGER + contains(text, '|')::INTEGER + (len(string_split(text, chr(10))) >= 5)::INTEGER)::INTEGER AS depth FROM documents""")
+def depth_score(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", Q.depth(F.col("text")).alias("depth"))
+
+
+@query("token_overlap", """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 2000)), '[a-z]{3,}')) AS t FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS t FROM benchmark WHERE item_id < 5)
+ SELECT doc_id, item_id, round(CASE WHEN least(len(w.t), len(b.t)) > 0 THEN len(list_intersect(w.t, b.t))::DOUBLE / least(len(w.t), len(b.t)) ELSE 0 END, 6) AS overlap FROM w, b""")
+def token_overlap(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", Q.tokens(F.lower(F.left("text", F.lit(2000)))).alias("a"))
+    b = table(spark, sf_dir, "benchmark").filter("item_id < 5").select("item_id", Q.tokens(F.lower("text")).alias("b"))
+    return d.crossJoin(F.broadcast(b)).select("doc_id", "item_id", F.round(Q.overlap(F.col("a"), F.col("b")), 6).alias("overlap"))  # five stated items
+
+
+@query("feedback_score", """WITH x AS (SELECT a.doc_id, a.text AS new, b.text AS old FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
+ SELECT doc_id, round(((contains(new, 'the')::INTEGER + contains(new, 'tion')::INTEGER + contains(new, 'que')::INTEGER) / 3.0::DOUBLE), 6) AS coverage,
+ round(CASE WHEN (contains(old, 'ing')::INTEGER + contains(old, 'ment')::INTEGER) > 0 THEN 1 - (contains(new, 'ing')::INTEGER + contains(new, 'ment')::INTEGER) / (contains(old, 'ing')::INTEGER + contains(old, 'ment')::INTEGER)::DOUBLE
+ WHEN (contains(new, 'ing')::INTEGER + contains(new, 'ment')::INTEGER) = 0 THEN 1.0 ELSE 0.5 END, 6) AS removal FROM x""")
+def feedback_score(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("new"))
+    old = table(spark, sf_dir, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("old"))
+    j = d.join(old, "doc_id")
+    return j.select("doc_id", F.round(Q.share(F.col("new"), ["the", "tion", "que"], 0.5), 6).alias("coverage"), F.round(Q.removal(F.col("old"), F.col("new"), ["ing", "ment"]), 6).alias("removal"))
+
+
+@query("keyword_coverage", "SELECT doc_id, round(((contains(text, 'the')::INTEGER + contains(text, 'of')::INTEGER) / 2.0::DOUBLE) * (1 - (contains(text, 'que')::INTEGER + contains(text, 'und')::INTEGER) / 2.0::DOUBLE), 6) AS score FROM documents")
+def keyword_coverage(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(Q.keyword_coverage(F.col("text"), ["the", "of"], ["que", "und"]), 6).alias("score"))
+
+
+@query("retrieval_stats", """SELECT label, count(*) AS n_queries, sum((vec_id % 7 = 0)::INTEGER)::BIGINT AS n_empty, round(avg((vec_id % 7 = 0)::INTEGER) * 100, 4) AS empty_rate, round(avg(CASE WHEN vec_id % 7 <> 0 THEN vec_id END), 6) AS mean_score FROM embeddings GROUP BY 1""")
+def retrieval_stats(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("empty", F.col("vec_id") % 7 == 0)
+    return e.groupBy("label").agg(F.count(F.lit(1)).alias("n_queries"), F.count_if("empty").alias("n_empty"), F.round(F.avg(F.col("empty").cast("int")) * 100, 4).alias("empty_rate"), F.round(F.avg(F.when(~F.col("empty"), F.col("vec_id"))), 6).alias("mean_score"))
+
+
+@query("quality_by_label", "SELECT quality, toxic, count(*) AS n, round(avg(length(text)), 4) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
+def quality_by_label(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    return d.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n"), 4).alias("mean_chars"))
+
+
+@query("change_degree")
+def change_degree(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter("length(text) < 1500").select("doc_id", F.col("text").alias("new"))
+    old = table(spark, sf_dir, "documents").filter("length(text) < 1500").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("old"))
+    return d.join(old, "doc_id").select("doc_id", F.round(Q.change_degree(F.col("old"), F.col("new")), 6).alias("change"))
