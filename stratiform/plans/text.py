@@ -1 +1,115 @@
-"""Queries."""
+"""Text queries: tagging, cleaning, headings, chunks, extraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stratiform.functions import text as X
+from stratiform.operators import text as O
+from stratiform.plans.base import query, table
+
+_H = {k: "(" + " + ".join(f"contains(text, '{w}')::INTEGER" for w in ws) + ")" for k, ws in X.ENGLISH_WORDS.items()}
+_V = "v AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS tag, {i} AS pos, {h} AS score FROM documents" for i, (k, h) in enumerate(_H.items())) + ")"
+
+
+@query("dimension_tags", f"WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rn FROM v WHERE score > 0) SELECT d.doc_id, coalesce(string_agg(r.tag, ',' ORDER BY rn), '') AS tags FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND rn <= 3 GROUP BY 1")
+def dimension_tags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.top_tags(F.col("text"), X.ENGLISH_WORDS), ",").alias("tags"))
+
+
+@query("terrain_argmax", f"WITH {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rn FROM v WHERE score > 0) SELECT d.doc_id, coalesce(r.tag, 'all') AS terrain FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND rn = 1")
+def terrain_argmax(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.best_tag(F.col("text"), X.ENGLISH_WORDS, "all").alias("terrain"))
+
+
+@query("doc_type_cascade", "SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]') THEN 'standard' WHEN contains(lower(text), 'license') THEN 'policy' WHEN contains(text, '|') THEN 'report' ELSE 'general' END AS doc_type FROM documents")
+def doc_type_cascade(spark, sf_dir):
+    t = F.col("text")
+    kind = F.when(t.rlike("[0-9]"), "standard").when(F.lower(t).contains("license"), "policy").when(t.contains("|"), "report").otherwise("general")
+    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("doc_type"))
+
+
+@query("metrics_extract", "SELECT doc_id, try_cast(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS DOUBLE) AS first_number, len(regexp_extract_all(text, '[0-9]+'))::BIGINT AS n_numbers FROM documents")
+def metrics_extract(spark, sf_dir):
+    n = F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", X.first_number(F.col("text"), "([0-9]+)").alias("first_number"), n.alias("n_numbers"))
+
+
+@query("document_lines", "SELECT doc_id, i - 1 AS pos, md5(l[i]) AS line_md5 FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1))::INTEGER AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
+def document_lines(spark, sf_dir):
+    return O.lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+_L = "l AS (SELECT doc_id, i - 1 AS pos, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1))::INTEGER AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
+
+
+@query("clean_lines", f"WITH {_L} SELECT doc_id, pos FROM l WHERE NOT (trim(line) = '' OR regexp_matches(line, '^All rights') OR (pos < 2 AND regexp_matches(line, 'License')))")
+def clean_lines(spark, sf_dir):
+    return O.clean_lines(O.lines(table(spark, sf_dir, "documents")), "^All rights", "License", 2).select("doc_id", "pos")
+
+
+_HP = f"""{_L}, h AS (SELECT doc_id, pos, CASE WHEN pos % 7 = 0 THEN '# ' || left(line, 10) WHEN pos % 3 = 0 THEN '## ' || left(line, 10) ELSE left(line, 10) END AS line FROM l),
+ g AS (SELECT *, CASE WHEN starts_with(line, '# ') THEN 1 WHEN starts_with(line, '## ') THEN 2 END AS level FROM h)"""
+
+
+def _headed(spark, sf_dir):
+    r = O.lines(table(spark, sf_dir, "documents"))
+    cut = F.left("line", F.lit(10))
+    return r.withColumn("line", F.when(F.col("pos") % 7 == 0, F.concat(F.lit("# "), cut)).when(F.col("pos") % 3 == 0, F.concat(F.lit("## "), cut)).otherwise(F.concat(F.lit("x"), cut)))
+
+
+@query("heading_path", f"""WITH {_HP.replace("ELSE left(line, 10)", "ELSE 'x' || left(line, 10)")}, p AS (SELECT doc_id, pos, level, last_value(CASE WHEN level = 1 THEN pos END IGNORE NULLS) OVER w AS p1, last_value(CASE WHEN level <= 2 THEN pos END IGNORE NULLS) OVER w AS p2 FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+ SELECT p.doc_id, p.pos, p.level, ltrim(a.line[2:]) AS h1, CASE WHEN b.level = 2 THEN ltrim(b.line[3:]) END AS h2 FROM p LEFT JOIN g a ON a.doc_id = p.doc_id AND a.pos = p.p1 LEFT JOIN g b ON b.doc_id = p.doc_id AND b.pos = p.p2""")
+def heading_path(spark, sf_dir):
+    return O.heading_paths(_headed(spark, sf_dir)).select("doc_id", "pos", "level", "h1", "h2")
+
+
+@query("section_sizes", f"""WITH {_HP.replace("ELSE left(line, 10)", "ELSE 'x' || left(line, 10)")}, s AS (SELECT doc_id, count(level) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section, pos, line FROM g)
+ SELECT doc_id, section, md5(string_agg(line, chr(10) ORDER BY pos)) AS content_md5 FROM s GROUP BY 1, 2""")
+def section_sizes(spark, sf_dir):
+    return O.sections(_headed(spark, sf_dir)).select("doc_id", "section", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("paragraph_chunks", f"WITH {_L} SELECT doc_id, pos AS chunk_index, doc_id || '_' || pos || '_' || substr(md5(line), 1, 8) AS chunk_id FROM l WHERE trim(line) <> ''")
+def paragraph_chunks(spark, sf_dir):
+    p = O.paragraphs(table(spark, sf_dir, "documents"))
+    return p.select("doc_id", "chunk_index", X.chunk_id(F.col("doc_id").cast("string"), F.col("chunk_index"), F.col("content")).alias("chunk_id"))
+
+
+@query("recursive_chunks")
+def recursive_chunks(spark, sf_dir):
+    return O.chunks(table(spark, sf_dir, "documents"), 1000, 100).select("doc_id", "chunk_index", "chunk_id", "title")
+
+
+@query("table_numbers", f"WITH {_L}, t AS (SELECT d.source, l.doc_id, l.pos, contains(l.line, '|') AS it FROM l JOIN documents d USING (doc_id)), u AS (SELECT *, it AND NOT coalesce(lag(it) OVER w AND lag(doc_id) OVER w = doc_id, false) AS st FROM t WINDOW w AS (PARTITION BY source ORDER BY doc_id, pos)) SELECT source, doc_id, pos, table_no FROM (SELECT *, (sum(st::INTEGER) OVER (PARTITION BY source ORDER BY doc_id, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS table_no FROM u) WHERE it")
+def table_numbers(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    rows = O.lines(d).join(d.select("doc_id", "source"), "doc_id")
+    return O.table_numbers(rows, "source").select("source", "doc_id", "pos", "table_no")
+
+
+@query("html_text", r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(" + "regexp_replace(" * 5 + "html" + "".join(f", '<{t}[^>]*>.*?</{t}>', ' ', 'gis')" for t in ("script", "style", "nav", "footer", "header")) + r", '<[^>]*>', ' ', 'gs'), '[ \t\r\n]+', ' ', 'g'))) AS text_md5 FROM pages")
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.html_text(F.col("html")).cast("binary")).alias("text_md5"))
+
+
+@query("clean_markdown", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS clean_md5 FROM documents")
+def clean_markdown(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.clean_markdown(F.col("text")).cast("binary")).alias("clean_md5"))
+
+
+@query("table_flags", "SELECT doc_id, contains(text, '<table>') OR (contains(text, '|') AND contains(text, '---')) AS has_table, md5(doc_id || ':' || lang) AS cache_key FROM documents")
+def table_flags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.has_table(F.col("text")).alias("has_table"), X.cache_key(F.col("doc_id").cast("string"), F.col("lang")).alias("cache_key"))
+
+
+@query("depth_histogram", f"WITH {_L} SELECT lang, least(pos, 4) AS depth, count(*) AS n FROM l JOIN documents USING (doc_id) GROUP BY 1, 2")
+def depth_histogram(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return O.lines(d).join(d.select("doc_id", "lang"), "doc_id").groupBy("lang", F.least("pos", F.lit(4)).alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("phrase_frequency", "SELECT lang, p, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[a-z]{6,8}')) AS p FROM documents) GROUP BY 1, 2 HAVING count(*) >= 5")
+def phrase_frequency(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{6,8}"), F.lit(0))).alias("p"))
+    return d.groupBy("lang", "p").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
