@@ -154,7 +154,7 @@ def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
     code, doc = characters(texts)
     gram, doc = ngrams(code, doc)
     n = np.bincount(doc, minlength=len(texts))
-    if not len(gram):
+    if not len(gram) or not model.langs:
         return np.full((len(texts), len(model.langs)), np.inf), n
     kinds, inverse = np.unique(gram, return_inverse=True)
     bits = -log_probabilities(model, kinds)
