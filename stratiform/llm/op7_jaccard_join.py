@@ -43,6 +43,41 @@ def parities(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH * 64), axis=1).view("<i8")
 
 
+def long_sketches(values: np.ndarray, doc: np.ndarray, size: np.ndarray) -> list[bytes | None]:
+    """For sets beyond 64 * ``SKETCH`` shingles a parity sketch of about a bit for each, a power of two long."""
+    out: list[bytes | None] = [None] * len(size)
+    bucket = (mix64(values ^ _U(0x3C79AC492BA7B653)) >> _U(32)).astype(np.int64)
+    cut = np.searchsorted(doc, np.arange(len(size) + 1))
+    for i in np.flatnonzero(size > 64 * SKETCH):
+        bits = 1 << int(size[i] - 1).bit_length()
+        odd = np.bincount(bucket[cut[i] : cut[i + 1]] & (bits - 1), minlength=bits) & 1
+        out[i] = np.packbits(odd.astype(np.uint8)).tobytes()
+    return out
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Differing bits of two sketches; the longer one is folded, which keeps it a parity sketch."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def near_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that neither sizes nor sketches rule out."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_sketch", "b_sketch")]
+            keep = [x is None or y is None or bits_apart(x, y) * (100 + percent) <= (m + n) * (100 - percent) for m, n, x, y in zip(*cols)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = sided(pairs, nodes).where(may_link("a_", "b_", percent))
+    return joined.select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(check, "a long, b long")
+
+
 def may_link(a: str, b: str, percent: int) -> F.Column:
     """Whether sizes and sketches of two sides (columns n and s0, s1, … with a prefix) allow a link."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
@@ -122,10 +157,11 @@ def _keys(docs: DataFrame, words: int) -> DataFrame:
                 size, node = set_digests(v, d, part.num_rows)
                 sketch = parities(v, d, part.num_rows)
                 cols = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(node), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "node", *names])
+                cols.append(pa.array(long_sketches(v, d, size), pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "node", *names, "sketch"])
 
     names = [f"s{j}" for j in range(SKETCH)]
-    schema = "doc_id long, n_shingles long, node long, " + ", ".join(f"{c} long" for c in names)
+    schema = "doc_id long, n_shingles long, node long, " + ", ".join(f"{c} long" for c in names) + ", sketch binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, schema)
 
 
@@ -203,21 +239,28 @@ def jaccard_components(docs: DataFrame, words: int = QUERY[0], percent: int = QU
     Words are runs without ASCII white space, A-Z lowered; a text of fewer words than a shingle is
     one shingle; texts without words or null ones link with nothing. Equal sets are one node (its
     64-bit digest), so copies cost nothing further. Every pair that shares a signature is verified
-    from the texts, or lies within one component already: first each group's nodes with its
-    least node, then all pairs of a group that lie in different components. Repeated rows are
+    from the texts, lies within one component already, or differs too much by size and sketch: first
+    each group's nodes with its least node, then, in rounds, pairs of a group in different components. Repeated rows are
     copies; a null doc_id has the component of its equals; an empty table gives no rows.
     """
     sketch = [f"s{j}" for j in range(SKETCH)]
     keys = materialize(_keys(docs, words), "op7-keys")
     groups = materialize(grouped(_signature_rows(docs, words, percent), "sig", "node"), "op7-groups")
-    nodes = keys.where("node <> 0").groupBy("node").agg(F.min("n_shingles").alias("n"), *(F.min(c).alias(c) for c in sketch))
-    star = sided(groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes).where(may_link("a_", "b_", percent))
-    star = materialize(star.select("a", "b"), "op7-star")
+    nodes = keys.where("node <> 0").withColumnRenamed("n_shingles", "n").dropDuplicates(["node"]).select("node", "n", "sketch", *sketch)
+    star = near_by_sketch(groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent)
+    star = materialize(star, "op7-star")
     labels = connected_components(links := materialize(verified(star, texts_of(docs, star, words), words, percent), "op7-links"))
-    rest = materialize(cross_pairs(groups, labels, nodes, percent).join(star, ["a", "b"], "left_anti"), "op7-cross")
-    if not rest.isEmpty():
-        more = verified(rest, texts_of(docs, rest, words), words, percent)
-        labels = connected_components(materialize(links.unionByName(more), "op7-links"))
+    tried = star
+    while True:  # until all pairs left of a group are within one component or known not to link
+        cross = cross_pairs(groups, labels, nodes.drop("sketch"), percent).join(tried, ["a", "b"], "left_anti")
+        # one candidate for each node and component: most of them link, which settles the others
+        rest = materialize(cross.groupBy("b", "a_label").agg(F.min("a").alias("a")).select("a", "b"), "op7-cross")
+        if rest.isEmpty():
+            break
+        near = materialize(near_by_sketch(rest, nodes, percent), "op7-near")
+        links = materialize(links.unionByName(verified(near, texts_of(docs, near, words), words, percent)), "op7-links")
+        labels = connected_components(links)
+        tried = materialize(tried.unionByName(rest), "op7-tried")
     release(groups)
     named = keys.select("doc_id", "n_shingles", "node").join(labels.withColumnRenamed("component_id", "label"), "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
@@ -256,7 +299,7 @@ def cross_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame, percent:
     members = materialize(members.join(mixed, "sig").join(nodes, "node"), "op7-members")
     x, y = (m.select("sig", *[F.col(c).alias(f"{p}_{c}") for c in m.columns if c != "sig"]) for p, m in (("a", members), ("b", reread(members))))
     differ = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
-    return x.join(y, "sig").where(differ & may_link("a_", "b_", percent)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    return x.join(y, "sig").where(differ & may_link("a_", "b_", percent)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_label").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
