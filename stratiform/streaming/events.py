@@ -92,10 +92,11 @@ def sequence_stream(events: DataFrame, session: str) -> DataFrame:
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
         rows["seq"] = range(seq + 1, seq + 1 + len(rows))
         state.update((seq + len(rows),))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + 24 * 3600 * 1000)
         yield rows[[session, "event_id", "seq"]]
 
-    return events.groupBy(session).applyInPandasWithState(number, f"{session} long, event_id long, seq long", "seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("ts", "1 hour").groupBy(session)
+    return timed.applyInPandasWithState(number, f"{session} long, event_id long, seq long", "seq long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> Any:
