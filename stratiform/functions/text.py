@@ -114,8 +114,8 @@ def address_parts(text: Column) -> Column:
     """province, city, county, town and village of an address, null where absent."""
     part = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
     return F.struct(
-        part(r"([一-龥]+?(?:省|自治区))").alias("province"), part(r"(?:省|自治区|^)([一-龥]+?市)").alias("city"), part(r"(?:市|省|^)([一-龥]+?[县区])").alias("county"),
-        part(r"(?:县|区|市|^)([一-龥]+?[镇乡])").alias("town"), part(r"(?:镇|乡|^)([一-龥]+?村)").alias("village"),
+        part(r"^([一-龥]+?(?:省|自治区))").alias("province"), part(r"^(?:.*(?:省|自治区))?([一-龥]+?市)").alias("city"), part(r"^(?:.*[省市])?([一-龥]+?[县区])").alias("county"),
+        part(r"^(?:.*[县区市])?([一-龥]+?[镇乡])").alias("town"), part(r"^(?:.*[镇乡])?([一-龥]+?村)").alias("village"),
     )
 
 
@@ -137,7 +137,7 @@ def first_json(text: Column) -> Column:
 
 
 def compact_count(n: Column) -> Column:
-    return F.when(n >= 1000, F.concat(F.format_number(n / 1000.0, "0.0"), F.lit("k"))).otherwise(n.cast("string"))
+    return F.when(n >= 1000, F.format_string("%.1fk", n / 1000.0)).otherwise(n.cast("string"))
 
 
 def parse_time(text: Column) -> Column:
