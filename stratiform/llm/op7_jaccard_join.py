@@ -15,6 +15,8 @@ from stratiform.llm.components import connected_components
 QUERY, STAGE = (4, 85), (5, 80)
 #: Longs of a parity sketch: 64 hash buckets each, a bit tells whether a set has an odd number there.
 SKETCH = 8
+#: Turns that try one candidate for each node and component, before all pairs left are tried.
+SETTLING = 2
 _U = np.uint64
 
 
@@ -251,10 +253,11 @@ def jaccard_components(docs: DataFrame, words: int = QUERY[0], percent: int = QU
     star = materialize(star, "op7-star")
     labels = connected_components(links := materialize(verified(star, texts_of(docs, star, words), words, percent), "op7-links"))
     tried = star
-    while True:  # until all pairs left of a group are within one component or known not to link
+    for turn in range(SETTLING + 1):
         cross = cross_pairs(groups, labels, nodes.drop("sketch"), percent).join(tried, ["a", "b"], "left_anti")
-        # one candidate for each node and component: most of them link, which settles the others
-        rest = materialize(cross.groupBy("b", "a_label").agg(F.min("a").alias("a")).select("a", "b"), "op7-cross")
+        # first one candidate for each node and component: most link, which settles the others; then all that are left
+        rest = cross.groupBy("b", "a_label").agg(F.min("a").alias("a")) if turn < SETTLING else cross
+        rest = materialize(rest.select("a", "b").distinct(), "op7-cross")
         if rest.isEmpty():
             break
         near = materialize(near_by_sketch(rest, nodes, percent), "op7-near")
