@@ -338,6 +338,29 @@ def test_passages(docs, empty):
     assert op9.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_many_texts(spark):
+    r = random.Random(21)
+    passage = words_of(70, r, 100000)
+    rows = [(i, f"{words_of(60, r, 100000)} {passage} {words_of(60, r, 100000)}") for i in range(40)]
+    # four more passages of two texts each, all of whose shingles are frequent among texts that hold none of them
+    pairs = {}
+    for p in range(4):
+        w = words_of(60, r, 100000).split()
+        for i in (100 + 2 * p, 101 + 2 * p):
+            rows.append((i, f"{words_of(50, r, 100000)} {' '.join(w)} {words_of(50, r, 100000)}"))
+            pairs[i] = 100 + 2 * p
+        rows += [(1000 + 30 * p + i, " ".join(f"{words_of(45, r, 100000)} {' '.join(w[j : j + 9])}" for j in range(0, 56, 5))) for i in range(30)]
+    out = {x["doc_id"]: x for x in op9.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(out) == set(range(40)) | set(pairs)
+    assert {i: (out[i]["first_doc_id"], out[i]["repeated"]) for i in range(40)} == {i: (0, i > 0) for i in range(40)}
+    assert {i: out[i]["first_doc_id"] for i in pairs} == pairs
+
+
+def test_same_passages_nest():
+    rep, inside = op9.same_passages(np.array([0, 1, 0, 150]), np.array([100, 101, 240, 210]))
+    assert rep.tolist() == [0, 0, 2, 3] and sorted(inside) == [(0, 2), (3, 2)]
+
+
 def test_compact_windows_cover_each_interval_once():
     t = np.random.default_rng(1).integers(0, 60, 90).astype(np.uint64)
     key, _, win = op9.compact_windows(t, np.zeros(90, np.int64), 10)
