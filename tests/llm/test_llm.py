@@ -356,6 +356,16 @@ def test_passages_of_many_texts(spark):
     assert {i: out[i]["first_doc_id"] for i in pairs} == pairs
 
 
+def test_passages_at_many_places(spark):
+    r = random.Random(22)
+    passage = words_of(60, r, 100000)
+    rows = [(1, " ".join(f"{words_of(90, r, 100000)} {passage}" for _ in range(10))), (2, f"{words_of(40, r, 100000)} {passage} {words_of(40, r, 100000)}")]
+    out = op9.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    at = sorted(x["start_word"] for x in out if x["doc_id"] == 1)
+    assert len(at) == 10 and all(abs(s - 90 - 150 * i) <= 2 for i, s in enumerate(at))
+    assert [(x["first_doc_id"], x["repeated"]) for x in out if x["doc_id"] == 2] == [(1, True)]
+
+
 def test_same_passages_nest():
     rep, inside = op9.same_passages(np.array([0, 1, 0, 150]), np.array([100, 101, 240, 210]))
     assert rep.tolist() == [0, 0, 2, 3] and sorted(inside) == [(0, 2), (3, 2)]
