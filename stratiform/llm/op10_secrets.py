@@ -29,6 +29,8 @@ _HEX = set("0123456789abcdefABCDEF")
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "key", "auth", "credential", "bearer", "private")
 VALUE_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "uuid", "guid", "id", "revision", "etag", "build", "version", "ref")
 EXAMPLE_WORDS = ("example", "sample", "dummy", "placeholder", "test", "fake", "changeme", "your", "xxxx", "todo", "redacted")
+#: A setting inside of a candidate.
+_SETTING = re.compile("(?:" + "|".join(SECRET_WORDS) + ")[=:]", re.IGNORECASE)
 #: Letters runs that make a candidate look like language.
 DICTIONARY = frozenset(
     """about access account action after again also and any are array back because been before being between body build but call can case change char
@@ -50,24 +52,45 @@ TREES, TREE_DEPTH, TRAINING_ROWS, SEED, KEEP = 40, 8, 4000, 11, 0.5
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of everything in a text that looks like a secret; never overlapping."""
-    for m in _CANDIDATE.finditer(text):
+    """(start, end, kind) of everything in a text that looks like a secret.
+
+    A rejected value does not hide what lies in it, and settings named in an accepted one are
+    candidates of their own; other candidates never overlap.
+    """
+    at = 0
+    while m := _CANDIDATE.search(text, at):
         kind = m.lastgroup
         start, end = m.span()
+        at = end
         if kind == "named":
             while start < end and text[start] in " \"'":
                 start += 1
             before = text[max(0, start - 32) : start].lower().rstrip(" \"'=:")
             if text[start : start + 3] == "://" or text[start : start + 2] == "//" or not before.endswith(SECRET_WORDS):
                 if not (end - start >= 20 and any(c.isdigit() for c in text[start:end])):
+                    at = m.start() + 1
                     continue
         elif kind == "long":
             part = text[start:end]
             if not (any(c.isdigit() for c in part) and any(c.isalpha() for c in part)):
+                at = start + part.find("=") + 1 if "=" in part else end
                 continue
-        end = end if kind == "pem" else start + len(text[start:end].rstrip(".,;:)]}"))
-        if end > start:
-            yield start, end, kind
+        last = end if kind == "pem" else _trimmed(text, start, end, kind)
+        if last > start:
+            yield start, last, kind
+        if kind in ("named", "long"):
+            for inner in _SETTING.finditer(text, start, end):
+                last = _trimmed(text, inner.end(), end, "named")
+                if last - inner.end() >= 6:
+                    yield inner.end(), last, "named"
+
+
+def _trimmed(text: str, start: int, end: int, kind: str) -> int:
+    """Where a candidate ends: before closing punctuation, and before the next parameter of an address."""
+    part = text[start:end]
+    if kind == "named" and "&" in part and "?" in text[max(0, start - 200) : start].rpartition(" ")[2]:
+        part = part.partition("&")[0]
+    return start + len(part.rstrip(".,;:)]}"))
 
 
 def _entropy(s: str) -> float:
@@ -122,6 +145,7 @@ def labelled_findings(n: int = TRAINING_ROWS, seed: int = SEED) -> list[tuple[st
         lambda: f"gh{r.choice('pousr')}_{draw(alnum, 36)}", lambda: f"{r.choice(['api_key', 'apikey', 'secret', 'auth_token', 'client_secret'])}: {draw(alnum, r.randint(16, 48))}",
         lambda: f"eyJ{draw(alnum, 20)}.{draw(alnum, 40)}.{draw(alnum, 30)}", lambda: "-----BEGIN RSA PRIVATE KEY-----", lambda: f"SECRET_KEY='{draw(alnum + '+/', 40)}'",
         lambda: f"password: {draw(alnum + '!@#%', r.randint(10, 20))}", lambda: f"in settings/.env token={draw(alnum, 32)}",
+        lambda: f"{r.choice(['login', 'note', 'env'])}: {r.choice(['password', 'token', 'pwd'])}={draw(alnum, r.randint(8, 16))}",
     ]
     harmless = [
         lambda: f"commit {draw(hexa, 40)}", lambda: f"sha256: {draw(hexa, 64)}", lambda: f"md5 = {draw(hexa, 32)}", lambda: f"checksum={draw(hexa, 40)}",
@@ -130,6 +154,7 @@ def labelled_findings(n: int = TRAINING_ROWS, seed: int = SEED) -> list[tuple[st
         lambda: f"{r.choice(names)}_{r.choice(names)}_{r.choice(names)}_{r.randint(1, 9)}_{r.choice(names)}", lambda: f"https://host.net/{r.choice(names)}/{draw(alnum, 24)}",
         lambda: f"build: {r.choice(names)}-{r.choice(names)}-{r.randint(2000, 2030)}{r.randint(10, 12)}{r.randint(10, 28)}", lambda: f"{r.choice(names)}{r.choice(names).title()}{r.choice(names).title()}{r.choice(names).title()}{r.randint(1, 9)}",
         lambda: f"password={r.choice(names)}_{r.choice(names)}", lambda: f"AKIA{'EXAMPLE'}{'0' * 9}"[:20], lambda: f"token: {r.choice(names)}{r.choice(names)}",
+        lambda: f"note: password={r.choice(['changeme', 'example123', 'placeholder1', 'test1234'])}",
     ]
     return [(f"{prose(r.randint(0, 6))} {r.choice(secrets if i % 2 else harmless)()} {prose(r.randint(0, 5))}".strip(), i % 2) for i in range(n)]
 

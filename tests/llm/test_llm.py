@@ -394,3 +394,11 @@ def test_secrets(spark, empty):
     assert not found & {9000, 9001, 9002}
     assert op10.scan(empty, model).count() == 0
     assert r is not None
+
+
+def test_secrets_behind_other_separators():
+    found = lambda t: [t[a:b] for a, b, _ in op10.candidates(t)]
+    assert found("login: password=hunter2xy") == ["hunter2xy"]
+    assert found("note: token=ab12cd34") == ["ab12cd34"]
+    assert "hunter2x" in found("see http://h.net/?u=bob&pwd=hunter2x&v=1 there")
+    assert found("time: 10:30:55 and note: nothing") == []
