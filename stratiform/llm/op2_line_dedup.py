@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratiform.llm.common import documents, key_filter, materialize, may_hold, mix64, slices
+from stratiform.llm.common import documents, key_filter, materialize, may_hold, mix64, reread, slices
 from stratiform.llm.components import connected_components
 from stratiform.llm.op7_jaccard_join import grouped
 
@@ -18,6 +18,8 @@ from stratiform.llm.op7_jaccard_join import grouped
 DEPTH, MIN_DOCS = 3, 3
 #: Share of positions, in hundredths, that lines of one template have in common.
 SIMILAR = 80
+#: Turns that try one line of each component in a segment group, before all pairs left are tried.
+SETTLING = 2
 FIELD = "<*>"
 _FIELD = re.compile(r"[\d@]")
 _MASK63 = np.uint64((1 << 63) - 1)
@@ -114,6 +116,21 @@ def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _cross(groups: DataFrame, labels: DataFrame, settle: bool) -> DataFrame:
+    """Pairs (a, b) of lines that share a segment and lie in different components.
+
+    With ``settle``, each line is paired with one line of each other component only.
+    """
+    members = groups.select("sig", "node").union(groups.select("sig", F.col("hub").alias("node"))).distinct()
+    members = members.join(labels, "node", "left").select("sig", "node", F.coalesce("component_id", "node").alias("label"))
+    mixed = members.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo <> hi and g > 2").select("sig")
+    members = materialize(members.join(mixed, "sig", "left_semi"), "op2-members")
+    x = members.groupBy("sig", "label").agg(F.min("node").alias("a")) if settle else members.select("sig", "label", F.col("node").alias("a"))
+    y = reread(members).select("sig", F.col("label").alias("b_label"), F.col("node").alias("b"))
+    pairs = x.join(y, "sig").where(F.col("label") != F.col("b_label"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines as (doc_id, line_no, node), and the template of each node that shares one: (node, template)."""
     lines = materialize(_lines(docs), "op2-lines")
@@ -122,8 +139,16 @@ def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = materialize(full, "op2-leaves")
     texts = _lines(docs, key_filter(full, "leaf")).join(full, "leaf", "left_semi").dropDuplicates(["node"]).select("leaf", "node", "line")
     texts = materialize(texts, "op2-texts")
-    pairs = grouped(_segments(texts), "sig", "node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    labels = connected_components(_similar(pairs, texts))
+    groups = materialize(grouped(_segments(texts), "sig", "node"), "op2-groups")
+    tried = materialize(groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "op2-star")
+    labels = connected_components(links := materialize(_similar(tried, texts), "op2-links"))
+    for turn in range(SETTLING + 1):
+        rest = materialize(_cross(groups, labels, turn < SETTLING).join(tried, ["a", "b"], "left_anti"), "op2-cross")
+        if rest.isEmpty():
+            continue
+        links = materialize(links.unionByName(_similar(rest, texts)), "op2-links")
+        labels = connected_components(links)
+        tried = materialize(tried.unionByName(rest), "op2-tried")
     return lines.select("doc_id", "line_no", "node"), labels.withColumnRenamed("component_id", "template")
 
 
@@ -147,8 +172,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Drop lines whose template recurs in ``min_docs`` documents: adds n_lines and n_dropped, replaces text.
 
     Lines are parsed by a tree of fixed depth: token count, then the first tokens, fields masked.
-    In a leaf, lines that agree in ``SIMILAR`` of their positions with the least line of a shared
-    segment are one template. Blank lines stay and do not count. A null text stays null; rows of
+    In a leaf, lines that agree in ``SIMILAR`` of their positions are linked, and linked lines are
+    one template: lines of a shared segment are compared with the least of them, then, in turns,
+    with all those in other components. Blank lines stay and do not count. A null text stays null; rows of
     one doc_id count as one document, whose line numbers are shared; a null doc_id is one too;
     other columns pass through; an empty table gives no rows.
     """

@@ -108,6 +108,30 @@ def test_line_dedup(docs, empty):
     assert op2.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_with_a_dissimilar_least_line(spark):
+    # two near lines of a leaf, in many leaves, with others that share a closing phrase only: one of those is the least line
+    r = random.Random(8)
+    rows = []
+    for leaf in range(6):
+        word = lambda k: [f"x{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(k)]
+        head, tail, middle = word(3), word(6), word(10)
+        for i in range(3):
+            changed = list(middle)
+            # one change in each of the other segments leaves the closing phrase as the only shared one
+            changed[1], changed[4], changed[8] = "p" + "abc"[i], "q" + "abc"[i], "s" + "abc"[i]
+            rows.append((100 * leaf + i, " ".join(head + changed + tail)))
+        rows += [(100 * leaf + 10 + i, " ".join(head + word(10) + tail)) for i in range(12)]
+    out = {x["doc_id"]: x["n_dropped"] for x in op2.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [i for i in out if i % 100 < 3]
+
+    def differ(a, b):
+        return sum(x != y for x, y in zip(a.split(), b.split()))
+
+    text = dict(rows)
+    assert all(differ(text[100 * f], text[100 * f + i]) <= op2.allowed(19) for f in range(6) for i in (1, 2))
+    assert {i: out[i] for i in near} == {i: int(i % 100 > 0) for i in near}
+
+
 def test_packing_round_trip(docs, empty):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = op3.pack_documents(docs).collect()
