@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _FALLBACK: dict[str, str] = {}
+#: Paths written by the ``tidy`` operators that are running, innermost last.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +30,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stratiform_path = path
     return out
@@ -41,9 +46,33 @@ def release(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
     path = getattr(df, "_stratiform_path", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Write an operator's result to the shared folder, and delete all tables it has written on the way."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _OPEN.append([])
+        spark, paths = None, _OPEN[-1]
+        try:
+            out = operator(*args, **kwargs)
+            spark = out.sparkSession
+            _OPEN.remove(paths)
+            return materialize(out, operator.__name__)
+        finally:
+            _OPEN[:] = [x for x in _OPEN if x is not paths]
+            if spark is not None:
+                for path in paths:
+                    _delete(spark, path)
+
+    return run
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +189,26 @@ def crc_of_id(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables from batches sorted by their first column (a long), cut only where it changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = batch.column(0).to_numpy()
+        at = int(np.searchsorted(x, x[-1]))
+        if at or (held and held[0].column(0)[0].as_py() != x[0]):
+            if at:
+                held.append(batch.slice(0, at))
+            # the open group may have ended before this batch
+            yield pa.Table.from_batches(held)
+            held = [batch.slice(at)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 #: Words of 64 bits in a key filter: 2 MB, whatever the number of keys.
 FILTER_WORDS = 1 << 18
 

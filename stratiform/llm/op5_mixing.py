@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from stratiform.llm.common import documents, materialize
+from stratiform.llm.common import documents, materialize, release
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -87,6 +87,24 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` in the mix: each as often as it is taken, by its own text, source and doc_id.
+
+    Rows repeated as they are count each; of rows that share doc_id, text and source but differ in
+    other columns one stands for all. Columns are those of ``docs``.
+    """
+    keyed = docs.withColumns({"_t": F.xxhash64("text"), "_id": F.col("doc_id"), "_src": F.col("source")})
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = materialize(keyed.select("doc_id", "source", "_t", size.alias("size")), "op5-sizes")
+    copies = mix_copies(sized, **options).groupBy("doc_id", "source", "_t").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0")
+    copies = materialize(copies.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("_t").alias("t"), "copies", "n"), "op5-copies")
+    release(sized)
+    same = F.col("_id").eqNullSafe(F.col("i")) & F.col("_src").eqNullSafe(F.col("s")) & (F.col("_t") == F.col("t"))
+    found = keyed.join(copies, same)
+    found = found.where("n = 1").unionByName(found.where("n > 1").dropDuplicates(["i", "s", "t"]))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(documents(spark, sf_dir))
 

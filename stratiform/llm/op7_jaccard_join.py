@@ -8,15 +8,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratiform.llm.common import distinct_per_doc, documents, key_filter, materialize, may_hold, mix64, release, reread, shingles, slices, word_hashes
+from stratiform.llm.common import distinct_per_doc, documents, key_filter, materialize, may_hold, mix64, release, shingles, slices, tidy, whole_groups, word_hashes
 from stratiform.llm.components import connected_components
 
 #: Words of a shingle and least similarity in hundredths: of the query, and of pipeline stages.
 QUERY, STAGE = (4, 85), (5, 80)
-#: Longs of a parity sketch: 64 hash buckets each, a bit tells whether a set has an odd number there.
-SKETCH = 8
-#: Turns that try one candidate for each node and component, before all pairs left are tried.
-SETTLING = 2
+#: Second-level parts of a part of the domain; all subsets of one less are enumerated.
+SUB = 3
+#: Nodes of a block; larger groups are compared block by block.
+BLOCK = 1024
+#: Longs compared at once.
+SLAB = 1 << 21
+#: Bits of the smallest parity sketch.
+LEAST_BITS = 256
 _U = np.uint64
 
 
@@ -38,53 +42,17 @@ def set_digests(values: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray
     return size, np.where(size > 0, digest, _U(0)).astype(np.int64)
 
 
-def parities(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Parity sketches (n, ``SKETCH``): sets whose sketches differ in b bits differ in b shingles at least."""
-    bucket = (mix64(values ^ _U(0x3C79AC492BA7B653)) >> _U(32)).astype(np.int64) % (64 * SKETCH)
-    odd = np.bincount(doc * (64 * SKETCH) + bucket, minlength=n * 64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH * 64), axis=1).view("<i8")
+def parity_sketches(values: np.ndarray, doc: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A bit for each of at least two buckets a shingle, a power of two of them: whether the set has an odd number there.
 
-
-def long_sketches(values: np.ndarray, doc: np.ndarray, size: np.ndarray) -> list[bytes | None]:
-    """For sets beyond 64 * ``SKETCH`` shingles a parity sketch of about a bit for each, a power of two long."""
-    out: list[bytes | None] = [None] * len(size)
-    bucket = (mix64(values ^ _U(0x3C79AC492BA7B653)) >> _U(32)).astype(np.int64)
-    cut = np.searchsorted(doc, np.arange(len(size) + 1))
-    for i in np.flatnonzero(size > 64 * SKETCH):
-        bits = 1 << int(size[i] - 1).bit_length()
-        odd = np.bincount(bucket[cut[i] : cut[i + 1]] & (bits - 1), minlength=bits) & 1
-        out[i] = np.packbits(odd.astype(np.uint8)).tobytes()
-    return out
-
-
-def bits_apart(a: bytes, b: bytes) -> int:
-    """Differing bits of two sketches; the longer one is folded, which keeps it a parity sketch."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) != len(y):
-        if len(x) < len(y):
-            x, y = y, x
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def near_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that neither sizes nor sketches rule out."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_sketch", "b_sketch")]
-            keep = [x is None or y is None or bits_apart(x, y) * (100 + percent) <= (m + n) * (100 - percent) for m, n, x, y in zip(*cols)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = sided(pairs, nodes).where(may_link("a_", "b_", percent))
-    return joined.select("a", "b", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(check, "a long, b long")
-
-
-def may_link(a: str, b: str, percent: int) -> F.Column:
-    """Whether sizes and sketches of two sides (columns n and s0, s1, … with a prefix) allow a link."""
-    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    differ = sum((F.bit_count(F.col(f"{a}s{j}").bitwiseXOR(F.col(f"{b}s{j}"))) for j in range(SKETCH)), F.lit(0))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
+    Sets whose sketches differ in b bits differ in b shingles at least.
+    """
+    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(2 * size, 2))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(bits)])
+    bucket = (mix64(values ^ _U(0x3C79AC492BA7B653)) >> _U(32)).astype(np.int64) & (bits[doc] - 1)
+    odd = np.bincount(start[doc] + bucket, minlength=start[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(start, start[1:])]
 
 
 def bands(most: int, percent: int) -> np.ndarray:
@@ -99,12 +67,13 @@ def bands(most: int, percent: int) -> np.ndarray:
 def signatures(values: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """PartEnum signatures of sets given as sorted (hash, document) arrays: (signature, document).
 
-    Sets of one band, or of a band and the next, differ in at most k shingles; the hash domain is
-    cut into k + 1 parts and some spare ones, so such sets agree on more parts than are spare
-    (second-level subsets are single parts here: no fewer signatures could guarantee a match). A
-    set emits the first parts only, as many as its own largest difference allows plus one and the
-    spare ones. Parts without shingles are left out, unless a set has more of them than are spare:
-    then they could be all it shares, with another set that has as many.
+    Different sets of one band, or of a band and the next, differ in at most k shingles. The hash
+    domain is cut into k // 2 + 1 parts and some spare ones, so such sets differ in one shingle at
+    most in one part more than are spare. Each part is cut into ``SUB`` parts, and all subsets of
+    one less are enumerated: one of them is the same in both sets. A set emits the first parts
+    only, as many as its own largest difference needs plus the spare ones. Subsets without
+    shingles are left out, unless more parts than are spare have one: then they could be all that
+    two sets share. Equal sets need no signature.
     """
     out_s, out_d = [], []
     if not len(values):
@@ -118,53 +87,52 @@ def signatures(values: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: i
         most_k = 2 * ends[tag] * loss // (100 + percent)
         partner = np.minimum(size * 100 // percent, ends[tag])
         k = np.minimum((size + partner) * loss // (100 + percent), most_k)
-        use = (size > 0) & (partner > ends[band] if up else True)
-        # spare parts: similar sets agree on one part more for each, so that a few empty ones do not matter
-        spare = most_k // 33 + np.where(most_k >= 12, 2, 0)
-        parts = most_k + 1 + spare
-        sent = np.where(use, k + 1 + spare, 0)
+        use = (size > 0) & (k > 0) & (partner > ends[band] if up else True)
+        spare = np.where(most_k > 1, 1 + most_k // 24, 0)
+        parts = most_k // 2 + 1 + spare
+        sent = np.where(use, k // 2 + 1 + spare, 0)
         first = np.cumsum(sent) - sent
         keep = use[doc]
         v, d = values[keep], doc[keep]
         if not len(v):
             continue
-        part = ((mix64(v ^ _U(0x9FB21C651E98DF25)) >> _U(32)) * parts[d].astype(_U) >> _U(32)).astype(np.int64)
+        place = mix64(v ^ _U(0x9FB21C651E98DF25))
+        part = ((place >> _U(32)) * parts[d].astype(_U) >> _U(32)).astype(np.int64)
         inside = part < sent[d]
-        v, d, part = v[inside], d[inside], part[inside]
-        slot = first[d] + part
+        v, d, place, part = v[inside], d[inside], place[inside], part[inside]
         total = int(sent.sum())
-        acc = np.zeros(total, _U)
-        np.add.at(acc, slot, mix64(v))
-        filled = np.zeros(total, bool)
-        filled[slot] = True
+        slot = (first[d] + part) * SUB + ((place & _U(0xFFFFFFFF)) * _U(SUB) >> _U(32)).astype(np.int64)
+        sums = np.zeros(total * SUB, _U)
+        np.add.at(sums, slot, mix64(v))
+        held = np.bincount(slot, minlength=total * SUB).reshape(total, SUB)
+        sums = sums.reshape(total, SUB)
         owner = np.repeat(np.arange(len(size)), sent)
         index = np.arange(total) - first[owner]
-        empty = np.bincount(owner[~filled], minlength=len(size)) > spare
-        emit = filled | empty[owner]
-        tagged = mix64(acc + mix64((tag[owner].astype(_U) << _U(32)) + index.astype(_U)))
+        filled = held.sum(1)[:, None] > held  # of each subset, named by the part it leaves out
+        empty = np.bincount(owner[~filled.all(1)], minlength=len(size)) > spare
+        emit = filled | empty[owner][:, None]
+        name = mix64((tag[owner].astype(_U) << _U(32)) + index.astype(_U) * _U(SUB))[:, None] + np.arange(SUB, dtype=_U)[None]
+        tagged = mix64(sums.sum(1)[:, None] - sums + mix64(name))
         out_s.append(tagged[emit].view(np.int64))
-        out_d.append(owner[emit])
+        out_d.append(np.broadcast_to(owner[:, None], emit.shape)[emit])
     if not out_s:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(out_s), np.concatenate(out_d)
 
 
 def _keys(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch): the node of a text is the digest of its shingle set, 0 if empty."""
+    """(doc_id, t, n_shingles, node, sketch): t is the text's digest, node that of its shingle set, 0 if empty."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 v, d = shingle_sets(part.column("text").to_pylist(), words)
                 size, node = set_digests(v, d, part.num_rows)
-                sketch = parities(v, d, part.num_rows)
-                cols = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(node), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)]
-                cols.append(pa.array(long_sketches(v, d, size), pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "node", *names, "sketch"])
+                cols = [part.column("doc_id"), part.column("t"), pa.array(size, pa.int64()), pa.array(node), pa.array(parity_sketches(v, d, size), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "n_shingles", "node", "sketch"])
 
-    names = [f"s{j}" for j in range(SKETCH)]
-    schema = "doc_id long, n_shingles long, node long, " + ", ".join(f"{c} long" for c in names) + ", sketch binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    return rows.mapInArrow(compute, "doc_id long, t long, n_shingles long, node long, sketch binary")
 
 
 def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -209,100 +177,204 @@ def grouped(rows: DataFrame, key: str, node: str, parts: int | None = None) -> D
     return spread.sortWithinPartitions(key, node).mapInArrow(scan, f"{key} long, hub long, {node} long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose texts' shingle sets are similar enough, counted exactly."""
+def members_of(groups: DataFrame, key: str = "sig") -> DataFrame:
+    """(g, b, k, node): members of groups (key, hub, node), once for groups of the very same members.
+
+    A group beyond ``BLOCK`` nodes is cut into blocks by hash; a member of block b is in the comparison k of
+    each pair of blocks it is one of.
+    """
+    own = groups.select(F.col(key).alias("g"), "node")
+    hubs = groups.groupBy(F.col(key).alias("g")).agg(F.min("hub").alias("hub"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node") % (1 << 40)).alias("s"), F.sum(F.shiftright(F.xxhash64("node"), 40)).alias("r"))
+    kept = materialize(hubs.groupBy("hub", "m", "s", "r").agg(F.min("g").alias("g")).select("g", "hub", "m"), "members")
+    blocks = F.floor(F.col("m") / BLOCK).cast("int") + 1
+    rows = own.join(kept.select("g", "m"), "g").unionByName(kept.select("g", F.col("hub").alias("node"), "m"))
+    rows = rows.withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("node", F.lit(3)), F.col("nb")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    rows = rows.where("nb = 1").select("g", "node", "b", F.lit(0).alias("o")).unionByName(rows.where("nb > 1").select("g", "node", "b", other.alias("o")))
+    return rows.select("g", "b", F.xxhash64("g", F.least("b", "o"), F.greatest("b", "o")).alias("k"), "node")
+
+
+def sketch_pairs(first: np.ndarray, label: np.ndarray, block: np.ndarray, n: np.ndarray, sketch: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of one group with different labels that neither sizes nor sketches rule out, and their distance.
+
+    ``first`` holds the group's first row for each row. In a group of two blocks only rows of different blocks are paired.
+    """
+    rows = len(first)
+    start = np.flatnonzero(first == np.arange(rows))
+    end = np.repeat(np.append(start[1:], rows), np.diff(np.append(start, rows)))
+    width = np.fromiter(map(len, sketch), np.int64, rows)
+    low = np.minimum.reduceat(width, start)[np.searchsorted(start, first)]
+    two = (np.maximum.reduceat(block, start) != np.minimum.reduceat(block, start))[np.searchsorted(start, first)]
+    out_i, out_j, out_d = [], [], []
+    for w in np.unique(low):
+        at = np.flatnonzero(low == w)
+        table = np.zeros((len(at), w // 8), _U)
+        for r, x in enumerate(at.tolist()):
+            y = np.frombuffer(sketch[x], _U)
+            while len(y) > w // 8:  # a folded sketch is the shorter parity sketch, as buckets are the low bits
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            table[r] = y
+        place = np.zeros(rows, np.int64)
+        place[at] = np.arange(len(at))
+        later = end[at] - at - 1
+        done = np.cumsum(later)
+        step = max(1, SLAB // int(w // 8))
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + step, "right")))
+            c = later[a:b]
+            i = np.repeat(at[a:b], c)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+            ok = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (~two[i] | (block[i] != block[j]))
+            i, j = i[ok], j[ok]
+            apart = np.bitwise_count(table[place[i]] ^ table[place[j]]).sum(1, dtype=np.int64)
+            ok = apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            out_i.append(i[ok])
+            out_j.append(j[ok])
+            out_d.append(apart[ok])
+            a = b
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j, out_d))
+
+
+def candidates(members: DataFrame, percent: int, turn: str) -> DataFrame:
+    """(g, a, b): pairs of members (k, g, b, node, label, n, sketch) that may link and have different labels.
+
+    ``turn`` tells which: the nearest partner of each node, that of each pair of labels, or all.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            k, g, block, node, label, n = (t.column(c).to_numpy() for c in ("k", "g", "b", "node", "label", "n"))
+            new = np.concatenate([[True], k[1:] != k[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+            i, j, d = sketch_pairs(first, label, block, n, t.column("sketch").to_pylist(), percent)
+            if turn == "node":  # the nearest of either side
+                side = np.concatenate([i, j])
+                order = np.lexsort((np.concatenate([d, d]), side))
+                best = order[np.concatenate([[True], side[order][1:] != side[order][:-1]])] if len(side) else order
+                at = np.unique(best % max(1, len(i)))
+            elif turn == "label":
+                la, lb = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+                order = np.lexsort((d, lb, la, first[i]))
+                x = [c[order] for c in (first[i], la, lb)]
+                at = order[np.concatenate([[True], np.any([c[1:] != c[:-1] for c in x], axis=0)])] if len(i) else order
+            else:
+                at = np.arange(len(i))
+            if len(at):
+                a, b = node[i[at]], node[j[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g[i[at]], np.minimum(a, b), np.maximum(a, b))], ["g", "a", "b"])
+
+    return members.repartition("k").sortWithinPartitions("k").select("k", "g", "b", "node", "label", "n", "sketch").mapInArrow(compare, "g long, a long, b long")
+
+
+def node_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, set) of wanted nodes (t, node): sorted hashes of the shingles, 8 bytes each."""
+    bitmap = key_filter(wanted, "t")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(bitmap, batch.column("t").to_numpy())))
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                v, d = shingle_sets(part.column("text").to_pylist(), words)
+                _, node = set_digests(v, d, part.num_rows)
+                cut = np.searchsorted(d, np.arange(part.num_rows + 1))
+                right = node == part.column("node").to_numpy()  # should two texts share their digest
+                sets = [v[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.binary())], ["node", "set"]).filter(pa.array(right))
+
+    texts = docs.select(F.xxhash64("text").alias("t"), "text").where("text is not null").mapInArrow(likely, "t long, text string")
+    texts = texts.join(wanted.select("t", "node"), "t").dropDuplicates(["node", "t"]).select("node", "text")
+    return texts.mapInArrow(compute, "node long, set binary").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose shingle sets are similar enough, counted exactly."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text_b", 1 << 20):
-                left, right = part.column("text_a").to_pylist(), part.column("text_b").to_pylist()
-                known: dict[str, int] = {}
-                for t in left + right:
-                    known.setdefault(t, len(known))
-                v, d = shingle_sets(list(known), words)
-                cut = np.searchsorted(d, np.arange(len(known) + 1))
-                keep = []
-                for x, y in zip(left, right):
-                    i, j = known[x], known[y]
-                    p, q = v[cut[i] : cut[i + 1]], v[cut[j] : cut[j + 1]]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(p) + len(q) - both))
-                if any(keep):
-                    yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    ta = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+            keep = np.zeros(batch.num_rows, bool)
+            for r, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
+                p, q = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+                keep[r] = 100 * both >= percent * (len(p) + len(q) - both)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
+    x, y = (sets.select(F.col("node").alias(p), F.col("set").alias(c)) for p, c in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
-def jaccard_components(docs: DataFrame, words: int = QUERY[0], percent: int = QUERY[1]) -> DataFrame:
-    """Group documents by links of Jaccard similarity: doc_id, n_shingles, component_id.
 
-    Words are runs without ASCII white space, A-Z lowered; a text of fewer words than a shingle is
-    one shingle; texts without words or null ones link with nothing. Equal sets are one node (its
-    64-bit digest), so copies cost nothing further. Every pair that shares a signature is verified
-    from the texts, lies within one component already, or differs too much by size and sketch: first
-    each group's nodes with its least node, then, in rounds, pairs of a group in different components. Repeated rows are
-    copies; a null doc_id has the component of its equals; an empty table gives no rows.
+@tidy
+def jaccard_rows(docs: DataFrame, words: int = QUERY[0], percent: int = QUERY[1]) -> DataFrame:
+    """The table behind ``jaccard_components``, with the digests of text and set: doc_id, t, n_shingles, node, label.
+
+    Documents with one label are linked; the label of an empty set is null.
     """
-    sketch = [f"s{j}" for j in range(SKETCH)]
     keys = materialize(_keys(docs, words), "op7-keys")
     groups = materialize(grouped(_signature_rows(docs, words, percent), "sig", "node"), "op7-groups")
-    nodes = keys.where("node <> 0").withColumnRenamed("n_shingles", "n").dropDuplicates(["node"]).select("node", "n", "sketch", *sketch)
-    star = near_by_sketch(groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent)
-    star = materialize(star, "op7-star")
-    labels = connected_components(links := materialize(verified(star, texts_of(docs, star, words), words, percent), "op7-links"))
-    tried = star
-    for turn in range(SETTLING + 1):
-        cross = cross_pairs(groups, labels, nodes.drop("sketch"), percent).join(tried, ["a", "b"], "left_anti")
-        # first one candidate for each node and component: most link, which settles the others; then all that are left
-        rest = cross.groupBy("b", "a_label").agg(F.min("a").alias("a")) if turn < SETTLING else cross
-        rest = materialize(rest.select("a", "b").distinct(), "op7-cross")
-        if rest.isEmpty():
-            break
-        near = materialize(near_by_sketch(rest, nodes, percent), "op7-near")
-        links = materialize(links.unionByName(verified(near, texts_of(docs, near, words), words, percent)), "op7-links")
-        labels = connected_components(links)
-        tried = materialize(tried.unionByName(rest), "op7-tried")
+    nodes = keys.where("node <> 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("t").alias("t"))
+    members = materialize(members_of(groups).join(nodes.drop("t"), "node"), "op7-members")
     release(groups)
-    named = keys.select("doc_id", "n_shingles", "node").join(labels.withColumnRenamed("component_id", "label"), "node", "left")
-    named = named.withColumn("label", F.coalesce("label", "node"))
-    smallest = named.where("node <> 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "label", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    near = materialize(candidates(members.withColumn("label", F.col("node")), percent, "node"), "op7-near")
+    pairs = materialize(near.select("a", "b").distinct(), "op7-pairs")
+    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "t"), "node"), "op7-wanted")
+    # a node without a candidate has none in later turns, nor has a group
+    sets = materialize(node_sets(docs, wanted, words), "op7-sets")
+    live = materialize(members.join(near.select("g").distinct(), "g", "left_semi"), "op7-live")
+    release(members)
+    links = materialize(verified(pairs, sets, percent), "op7-links")
+    labels, tried = connected_components(links), pairs
+    for turn in ("label", "all"):
+        named = live.join(labels, "node", "left").withColumn("label", F.coalesce("component_id", "node"))
+        mixed = named.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k")
+        more = candidates(named.join(mixed, "k", "left_semi"), percent, turn).select("a", "b").distinct()
+        pairs = materialize(more.join(tried, ["a", "b"], "left_anti"), "op7-pairs")
+        found = materialize(verified(pairs, sets, percent), "op7-links")
+        tried, links = tried.unionByName(pairs), links.unionByName(found)
+        if not found.isEmpty():
+            labels = connected_components(links)
+    named = keys.select("doc_id", "t", "n_shingles", "node").join(labels.withColumnRenamed("component_id", "label"), "node", "left")
+    return named.select("doc_id", "t", "n_shingles", "node", F.when(F.col("node") != 0, F.coalesce("label", "node")).alias("label"))
 
 
-def sided(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add both nodes' sizes and sketches to pairs (a, b), with prefixes a_ and b_."""
-    side = lambda p: nodes.select(F.col("node").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in nodes.columns if c != "node"])
-    return pairs.join(side("a"), "a").join(side("b"), "b")
+def jaccard_components(docs: DataFrame, words: int = QUERY[0], percent: int = QUERY[1]) -> DataFrame:
+    """Group documents by links of Jaccard similarity: doc_id, n_shingles, component_id.
 
+    Words are runs without ASCII white space, A-Z lowered; a text of fewer words than a shingle is
+    one shingle; texts without words or null ones link with nothing. Very long texts are whole
+    sets like others. Equal sets are one node (its 64-bit digest), so copies cost nothing further.
+    Members of a signature's group are compared by size and parity sketch, which rule pairs out
+    exactly; pairs left are verified by their sets: the nearest of each node first, then the
+    nearest of each two components, then all that still lie in different components. Repeated rows
+    are copies; a null doc_id has the component of its equals; extra columns are not read; an
+    empty table gives no rows.
+    """
+    rows = jaccard_rows(docs, words, percent)
+    smallest = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = rows.join(smallest, "label", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
-def texts_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(node, text) of the nodes of some pairs, one text each."""
-    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "op7-wanted")
-    bitmap = key_filter(wanted, "node")
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                _, node = set_digests(*shingle_sets(part.column("text").to_pylist(), words), part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(node), part.column("text")], ["node", "text"]).filter(pa.array(may_hold(bitmap, node)))
-
-    texts = docs.select("text").mapInArrow(likely, "node long, text string").join(wanted, "node", "left_semi")
-    return materialize(texts.dropDuplicates(["node"]), "op7-texts")
-
-
-def cross_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one signature group in different components whose sizes and sketches allow a link."""
-    members = groups.select("sig", "node").union(groups.select("sig", F.col("hub").alias("node"))).distinct()
-    members = members.join(labels, "node", "left").select("sig", "node", F.coalesce("component_id", "node").alias("label"))
-    mixed = members.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo <> hi and g > 2").select("sig")
-    members = materialize(members.join(mixed, "sig").join(nodes, "node"), "op7-members")
-    x, y = (m.select("sig", *[F.col(c).alias(f"{p}_{c}") for c in m.columns if c != "sig"]) for p, m in (("a", members), ("b", reread(members))))
-    differ = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
-    return x.join(y, "sig").where(differ & may_link("a_", "b_", percent)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_label").distinct()
+@tidy
+def keep_one_each(docs: DataFrame, words: int = STAGE[0], percent: int = STAGE[1]) -> DataFrame:
+    """One row of each group of linked documents, and all rows whose text has no words.
+
+    The row of smallest doc_id stays (null last, then by the text's digest), once where it is
+    repeated; columns are those of ``docs``.
+    """
+    rows = jaccard_rows(docs, words, percent).where("label is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    first = rows.groupBy("label").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("op7_id"), F.col("o.t").alias("op7_t"))
+    copies = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("op7_n"))
+    kept = first.join(copies, first["op7_id"].eqNullSafe(copies["doc_id"]) & (first["op7_t"] == copies["t"])).select("op7_id", "op7_t", "op7_n")
+    kept = materialize(kept, "op7-kept")
+    worded = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    found = docs.where(worded).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("op7_id")) & (F.xxhash64("text") == F.col("op7_t")))
+    once = found.where("op7_n > 1").dropDuplicates(["op7_id", "op7_t"])  # repeated rows: one of them
+    return found.where("op7_n = 1").unionByName(once).select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,6 +294,39 @@ def test_jaccard_join(docs, empty, setting):
     assert op7.jaccard_components(empty, *setting).count() == 0
 
 
+def near_copies(r, n, words, edits, start):
+    """Copies of one text with up to ``edits`` words changed: similarities spread around the threshold."""
+    base = [f"b{r.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in r.sample(range(words), r.randrange(edits + 1)):
+            w[k] = f"e{r.randrange(10**6)}"
+        out.append((start + i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("block", [5, 1024])
+def test_jaccard_join_of_spread_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(op7, "BLOCK", block)
+    r = random.Random(3)
+    rows = [x for f, (words, edits) in enumerate([(120, 6), (60, 4), (300, 20), (30, 2)]) for x in near_copies(r, 40, words, edits, 100 * f)]
+    df = spark.createDataFrame([(i, t, "other", 3) for i, t in rows], "doc_id long, text string, sig string, label int")
+    got = sorted(tuple(x) for x in op7.jaccard_components(df).collect())
+    want = brute_jaccard(rows, *op7.QUERY)
+    assert got == want and 8 < len({c for _, _, c in want}) < 160
+
+
+def test_one_of_each_group_stays(spark):
+    text = words_of(80, random.Random(1), 10**6)
+    rows = [(1, text), (1, text), (3, text), (None, text), (None, text), (None, text + " x"), (7, "alone here"), (8, None), (9, ""), (None, words_of(60, random.Random(2), 10**6))]
+    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, _n int")
+    out = op7.keep_one_each(df)
+    assert out.columns == df.columns
+    want = [(1, text), (7, "alone here"), (8, None), (9, ""), rows[-1]]
+    assert sorted(map(str, want)) == sorted(str((x["doc_id"], x["text"])) for x in out.collect())
+
+
 def test_signatures_meet_for_all_similar_sets():
     r = np.random.default_rng(9)
     for n in (1, 3, 7, 20, 90, 400):
@@ -308,9 +341,14 @@ def test_signatures_meet_for_all_similar_sets():
                 v = np.concatenate([np.sort(x), np.sort(y)])
                 d = np.repeat([0, 1], [len(x), len(y)])
                 s, owner = op7.signatures(v, d, np.array([len(x), len(y)]), percent)
+                if len(x) == len(y) == both:
+                    continue  # equal sets are one node
                 assert np.intersect1d(s[owner == 0], s[owner == 1]).size
-                p = op7.parities(v, d, 2)
-                assert sum(bin(int(a) & (1 << 64) - 1).count("1") for a in p[0] ^ p[1]) <= len(x) + len(y) - 2 * both
+                # all that sketches and sizes allow, in one block and across two
+                zero, pair, size = np.zeros(2, np.int64), np.arange(2), np.array([len(x), len(y)])
+                for block in (zero, pair):
+                    i, j, apart = op7.sketch_pairs(zero, pair, block, size, op7.parity_sketches(v, d, size), percent)
+                    assert i.tolist() == [0] and j.tolist() == [1] and apart[0] <= len(x) + len(y) - 2 * both
 
 
 def test_fingerprints(spark, docs, empty, monkeypatch):
