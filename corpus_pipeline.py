@@ -27,21 +27,18 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest doc_id of each group linked by five-word shingles, similarity 0.8."""
+    """Keep one row of each group linked by five-word shingles, similarity 0.8: that of smallest doc_id.
+
+    Equal texts leave one row, also where doc_ids repeat or are null.
+    """
     ship(spark)
-    groups = op7_jaccard_join.jaccard_components(docs, *op7_jaccard_join.STAGE)
-    groups = groups.where("doc_id is null or component_id = doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(groups.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.select(*COLUMNS)
+    return op7_jaccard_join.keep_one_each(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that each source comes near its target; a row per copy."""
     ship(spark)
-    mixed = op5_mixing.mix_documents(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    mixed = mixed.withColumnRenamed("doc_id", "_id")
-    out = docs.select(*COLUMNS).join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    return op5_mixing.mixed_rows(docs.select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
