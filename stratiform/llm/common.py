@@ -209,6 +209,46 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def grouped(rows: DataFrame, key: str, node: str, parts: int | None = None) -> DataFrame:
+    """Groups of rows with an equal key and two nodes or more: (key, hub, node), the hub its least.
+
+    Sorted partitions are scanned as streams, so a group may be of any size.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key = last_hub = last_node = None
+        for batch in batches:
+            k, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(k):
+                continue
+            new = np.ones(len(k), bool)
+            new[1:] = k[1:] != k[:-1]
+            new[0] = last_key is None or k[0] != last_key
+            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+            hub = np.where(at >= 0, n[at], last_hub if last_hub is not None else 0)
+            again = np.zeros(len(k), bool)
+            again[1:] = n[1:] == n[:-1]
+            again[0] = last_node is not None and n[0] == last_node
+            keep = (hub != n) & ~(again & ~new)
+            last_key, last_hub, last_node = k[-1], hub[-1], n[-1]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(hub[keep]), pa.array(n[keep])], [key, "hub", node])
+
+    spread = rows.select(key, node)
+    spread = spread.repartition(parts, key) if parts else spread.repartition(key)
+    return spread.sortWithinPartitions(key, node).mapInArrow(scan, f"{key} long, hub long, {node} long")
+
+
+def distinct_groups(groups: DataFrame, key: str) -> DataFrame:
+    """(g, node, m): all nodes of groups (key, hub, node) and their number but the hub, once for groups of the very same nodes."""
+    h = F.xxhash64("node")
+    sums = [F.sum(h % (1 << 40)).alias("s"), F.sum(F.shiftright(h, 40)).alias("r")]
+    hubs = groups.groupBy(F.col(key).alias("g")).agg(F.min("hub").alias("hub"), F.count(F.lit(1)).alias("m"), *sums)
+    kept = materialize(hubs.groupBy("hub", "m", "s", "r").agg(F.min("g").alias("g")).select("g", "hub", "m"), "groups")
+    rows = groups.select(F.col(key).alias("g"), "node").join(kept.select("g", "m"), "g")
+    return rows.unionByName(kept.select("g", F.col("hub").alias("node"), "m"))
+
+
 #: Words of 64 bits in a key filter: 2 MB, whatever the number of keys.
 FILTER_WORDS = 1 << 18
 

@@ -5,186 +5,222 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratiform.llm.common import documents, key_filter, materialize, may_hold, mix64, reread, slices
+from stratiform.llm.common import distinct_groups, documents, grouped, key_filter, materialize, may_hold, mix64, release, slices, tidy
 from stratiform.llm.components import connected_components
-from stratiform.llm.op7_jaccard_join import grouped
 
 #: Leading tokens of a tree path; documents that make a template recur.
 DEPTH, MIN_DOCS = 3, 3
-#: Share of positions, in hundredths, that lines of one template have in common.
+#: Share of positions, in hundredths, that a template fixes at least.
 SIMILAR = 80
-#: Turns that try one line of each component in a segment group, before all pairs left are tried.
-SETTLING = 2
-FIELD = "<*>"
-_FIELD = re.compile(r"[\d@]")
+FIELD = b"<*>"
+_FIELD = re.compile(rb"[\d@]")
 _MASK63 = np.uint64((1 << 63) - 1)
 
 
-def masked(line: str) -> list[str]:
+def masked(line: bytes) -> list[bytes]:
     """Tokens of a line; those with a digit, of an address or of a mail name become one field."""
     tokens = line.split()
-    if _FIELD.search(line) or "://" in line:
-        tokens = [FIELD if _FIELD.search(t) or "://" in t else t for t in tokens]
+    if _FIELD.search(line) or b"://" in line:
+        tokens = [FIELD if _FIELD.search(t) or b"://" in t else t for t in tokens]
     return tokens
 
 
-def digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+def digest(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") >> 1
 
 
-def positions(tokens: list[str]) -> np.ndarray:
-    """A 64-bit hash of each token at its place."""
-    h = np.fromiter((hash_token(t) for t in tokens), np.uint64, len(tokens))
-    return mix64(h + np.arange(1, len(tokens) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def leaf_of(tokens: list[bytes]) -> int:
+    """The tree path of a line: its token count, and its first tokens."""
+    return digest(b"%d " % len(tokens) + b" ".join(tokens[:DEPTH]))
 
 
-def hash_token(token: str) -> int:
-    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-def allowed(n: int) -> int:
-    """Positions in which two lines of ``n`` tokens and one template may differ."""
+def fields(n: int) -> int:
+    """Positions of ``n`` that a template may leave open."""
     return n * (100 - SIMILAR) // 100
 
 
-def _lines(docs: DataFrame, leaves: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, line_no, leaf, node) of every line with tokens; with ``leaves`` those that may be in it, and their tokens.
+def segment_digests(leaf: int, hashes: np.ndarray) -> np.ndarray:
+    """The last level of the tree: digests of the segments of a line's tokens beyond the path, one more than it may have fields.
 
-    The leaf is the tree path (token count, first tokens), the node the digest of the masked line.
+    Lines of one template have all tokens but the fields in common, so one segment at least.
     """
-    with_text = leaves is not None
+    v = fields(len(hashes))
+    at = np.linspace(min(DEPTH, len(hashes) - 1), len(hashes), v + 2).astype(np.int64)[:-1]
+    h = mix64((hashes.astype(np.uint64) << np.uint64(32)) + np.arange(len(hashes), dtype=np.uint64))
+    return mix64(np.add.reduceat(h, at) + np.arange(v + 1, dtype=np.uint64) + np.uint64(leaf)) & _MASK63
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, r, line_no, leaf, node) of every line with tokens: r names the row, node is the digest of the masked line."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [
-                    (i, no, digest(f"{len(tokens)} " + " ".join(tokens[:DEPTH])), tokens)
-                    for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
-                    for no, line in enumerate((t or "").split("\n"))
-                    if (tokens := masked(line))
-                ]
-                if with_text and found:
-                    keep = may_hold(leaves, np.fromiter((f[2] for f in found), np.int64, len(found)))
-                    found = [f for f, k in zip(found, keep) if k]
-                ids, nos, leaf, token_lists = zip(*found) if found else ([], [], [], [])
-                text = [" ".join(tokens) for tokens in token_lists]
-                node = [digest(x) for x in text]
-                cols = [pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(leaf, pa.int64()), pa.array(node, pa.int64())]
-                names = ["doc_id", "line_no", "leaf", "node"]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(text, pa.string())] * with_text, names + ["line"] * with_text)
-
-    schema = "doc_id long, line_no int, leaf long, node long" + ", line string" * with_text
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(split, schema)
+                at, nos, leaf, node = [], [], [], []
+                for i, t in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
+                    for no, line in enumerate((t or b"").split(b"\n")):
+                        if tokens := masked(line):
+                            at.append(i)
+                            nos.append(no)
+                            leaf.append(leaf_of(tokens))
+                            node.append(digest(b" ".join(tokens)))
+                at = pa.array(at, pa.int64())
+                cols = [part.column("doc_id").take(at), part.column("r").take(at), pa.array(nos, pa.int32()), pa.array(leaf, pa.int64()), pa.array(node, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "r", "line_no", "leaf", "node"])
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("r"), "text")
+    return rows.mapInArrow(split, "doc_id long, r long, line_no int, leaf long, node long")
 
-def _segments(lines: DataFrame) -> DataFrame:
-    """(sig, node): lines of one leaf that differ in v positions at most share one of v + 1 segments."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, nodes = [], []
-            for leaf, node, line in zip(*(batch.column(c).to_pylist() for c in ("leaf", "node", "line"))):
-                h = positions(line.split(" "))
-                v = allowed(len(h))
-                at = np.linspace(min(DEPTH, len(h) - 1), len(h), v + 2).astype(np.int64)[:-1]
-                sums = np.add.reduceat(h, at) + np.arange(v + 1, dtype=np.uint64) + np.uint64(leaf)
-                sigs.append(mix64(sums) & _MASK63)
-                nodes.append(np.full(v + 1, node))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+def _tokens(docs: DataFrame, leaves: np.ndarray) -> DataFrame:
+    """(leaf, node, tokens) of lines whose leaf may be in ``leaves``: 32-bit hashes of the masked tokens."""
 
-    return lines.mapInArrow(cut, "sig long, node long")
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                lines = [tokens for t in part.column("text").cast(pa.binary()).to_pylist() for line in (t or b"").split(b"\n") if (tokens := masked(line))]
+                leaf = np.fromiter(map(leaf_of, lines), np.int64, len(lines))
+                keep = np.flatnonzero(may_hold(leaves, leaf)).tolist()
+                node = [digest(b" ".join(lines[i])) for i in keep]
+                hashes = [np.fromiter(map(crc32, lines[i]), np.uint32, len(lines[i])).tobytes() for i in keep]
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(node, pa.int64()), pa.array(hashes, pa.binary())], ["leaf", "node", "tokens"])
 
+    return docs.select("text").mapInArrow(split, "leaf long, node long, tokens binary")
 
-def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs of lines that agree in enough positions."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(lines: DataFrame) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = x.split(" "), y.split(" ")
-                keep.append(len(x) == len(y) and sum(a != b for a, b in zip(x, y)) <= allowed(len(x)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    x, y = lines.select(F.col("node").alias("a"), F.col("line").alias("x")), lines.select(F.col("node").alias("b"), F.col("line").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+            sigs, counts = [], []
+            for leaf, tokens in zip(batch.column("leaf").to_pylist(), batch.column("tokens")):
+                sigs.append(segment_digests(leaf, np.frombuffer(tokens.as_buffer(), np.uint32)))
+                counts.append(len(sigs[-1]))
+            if sigs:
+                node = np.repeat(batch.column("node").to_numpy(), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(node)], ["sig", "node"])
 
+    return lines.mapInArrow(cut, "sig long, node long")
 
-def _cross(groups: DataFrame, labels: DataFrame, settle: bool) -> DataFrame:
-    """Pairs (a, b) of lines that share a segment and lie in different components.
 
-    With ``settle``, each line is paired with one line of each other component only.
-    """
-    members = groups.select("sig", "node").union(groups.select("sig", F.col("hub").alias("node"))).distinct()
-    members = members.join(labels, "node", "left").select("sig", "node", F.coalesce("component_id", "node").alias("label"))
-    mixed = members.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo <> hi and g > 2").select("sig")
-    members = materialize(members.join(mixed, "sig", "left_semi"), "op2-members")
-    x = members.groupBy("sig", "label").agg(F.min("node").alias("a")) if settle else members.select("sig", "label", F.col("node").alias("a"))
-    y = reread(members).select("sig", F.col("label").alias("b_label"), F.col("node").alias("b"))
-    pairs = x.join(y, "sig").where(F.col("label") != F.col("b_label"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines as (doc_id, line_no, node), and the template of each node that shares one: (node, template)."""
+class Branch:
+    """The templates of one place in the tree: tokens, and which of them are fixed."""
+
+    def __init__(self, n: int):
+        self.need = n - fields(n)
+        self.tokens, self.fixed = np.zeros((4, n), np.uint32), np.zeros((4, n), bool)
+        self.first: list[int] = []
+
+    def add(self, line: np.ndarray, node: int) -> tuple[int, int | None]:
+        """Parse a line: (its template, the template's first line if this is the second one else None).
+
+        It goes to the template that has most tokens in common with it, if these are enough to stay
+        fixed; the others become fields. Otherwise it is a new template.
+        """
+        t = len(self.first)
+        if t:
+            same = (self.tokens[:t] == line) & self.fixed[:t]
+            count = same.sum(1)
+            best = int(count.argmax())
+            if count[best] >= self.need:
+                self.fixed[best] = same[best]
+                first, self.first[best] = self.first[best], None
+                return best, first
+        if t == len(self.tokens):
+            self.tokens, self.fixed = np.concatenate([self.tokens] * 2), np.concatenate([self.fixed] * 2)
+        self.tokens[t], self.fixed[t] = line, True
+        self.first.append(node)
+        return t, node
+
+
+def _parsed(members: DataFrame) -> DataFrame:
+    """(node, template) of members (g, order, node, tokens) whose template has two lines or more."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_g, branch = None, None
+        for batch in batches:
+            nodes, names = [], []
+            for g, node, raw in zip(batch.column("g").to_pylist(), batch.column("node").to_pylist(), batch.column("tokens")):
+                line = np.frombuffer(raw.as_buffer(), np.uint32)
+                if g != open_g:
+                    open_g, branch = g, Branch(len(line))
+                n_before = len(branch.first)
+                at, first = branch.add(line, node)
+                if len(branch.first) > n_before:
+                    continue  # a template of one line so far
+                name = hash_pair(g, at)
+                for x in (node,) if first is None else (first, node):
+                    nodes.append(x)
+                    names.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(names, pa.int64())], ["node", "template"])
+
+    spread = members.repartition("g").sortWithinPartitions("g", F.desc("n_docs"), "node").select("g", "node", "tokens")
+    return spread.mapInArrow(parse, "node long, template long")
+
+
+def hash_pair(a: int, b: int) -> int:
+    return digest(b"%d %d" % (a, b))
+
+
+@tidy
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(r, drop): numbers of the lines to drop of each row that loses some, r being xxhash64(doc_id, text)."""
     lines = materialize(_lines(docs), "op2-lines")
-    shared = lines.groupBy("leaf", "node").agg(F.min("doc_id").alias("doc_id"))
-    full = shared.groupBy("leaf").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("leaf")
+    per_doc = lines.select("leaf", "node", "r").distinct()
+    nodes = materialize(per_doc.groupBy("leaf", "node").agg(F.count(F.lit(1)).alias("n_docs")), "op2-nodes")
+    full = nodes.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
     full = materialize(full, "op2-leaves")
-    texts = _lines(docs, key_filter(full, "leaf")).join(full, "leaf", "left_semi").dropDuplicates(["node"]).select("leaf", "node", "line")
-    texts = materialize(texts, "op2-texts")
+    texts = _tokens(docs, key_filter(full, "leaf")).join(full, "leaf", "left_semi").dropDuplicates(["node"])
+    texts = materialize(texts.join(nodes.select("node", "n_docs"), "node"), "op2-texts")
     groups = materialize(grouped(_segments(texts), "sig", "node"), "op2-groups")
-    tried = materialize(groups.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "op2-star")
-    labels = connected_components(links := materialize(_similar(tried, texts), "op2-links"))
-    for turn in range(SETTLING + 1):
-        rest = materialize(_cross(groups, labels, turn < SETTLING).join(tried, ["a", "b"], "left_anti"), "op2-cross")
-        if rest.isEmpty():
-            continue
-        links = materialize(links.unionByName(_similar(rest, texts)), "op2-links")
-        labels = connected_components(links)
-        tried = materialize(tried.unionByName(rest), "op2-tried")
-    return lines.select("doc_id", "line_no", "node"), labels.withColumnRenamed("component_id", "template")
-
-
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, n_lines, drop): numbers of the lines to drop, of each document with lines.
-
-    The first line of a recurring template, by doc_id and number, stays: one of many copies must.
-    """
-    lines, labels = templates(docs)
-    named = lines.join(labels, "node", "left").select("doc_id", "line_no", F.coalesce("template", "node").alias("template"))
-    per_doc = named.groupBy("template", "doc_id").agg(F.min("line_no").alias("line_no"))
-    often = per_doc.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "line_no")).alias("first")).where(F.col("n_docs") >= min_docs)
-    marked = named.join(often, "template", "left").withColumn(
-        "out", F.col("n_docs").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")))
-    )
-    drop = F.array_sort(F.collect_list(F.when(F.col("out"), F.col("line_no"))))
-    return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), drop.alias("drop"))
+    members = distinct_groups(groups, "sig").select("g", "node").join(texts.drop("leaf"), "node")
+    parsed = materialize(_parsed(members), "op2-parsed")
+    release(groups)
+    # the documents of a template: of lines that recur by themselves their number will do
+    counted = parsed.join(nodes.select("node", "n_docs"), "node")
+    often = counted.where(F.col("n_docs") >= min_docs).select("template")
+    few = counted.where(F.col("n_docs") < min_docs).join(lines.select("node", "r"), "node").select("template", "r").distinct()
+    often = often.union(few.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")).distinct()
+    links = materialize(parsed.join(often, "template").select("node", "template"), "op2-links")
+    labels = connected_components(links, "node", "template")
+    known = nodes.select("node", "n_docs").join(labels, "node", "left").where((F.col("n_docs") >= min_docs) | F.col("component_id").isNotNull())
+    known = materialize(known.select("node", F.coalesce("component_id", "node").alias("class")), "op2-classes")
+    hits = lines.join(known, "node").select("class", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r", "line_no").alias("at"))
+    first = hits.groupBy("class").agg(F.min("at").alias("first"))
+    gone = hits.join(first, "class").where("at <> first").select("at.r", "at.line_no")
+    return gone.groupBy("r").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Drop lines whose template recurs in ``min_docs`` documents: adds n_lines and n_dropped, replaces text.
 
-    Lines are parsed by a tree of fixed depth: token count, then the first tokens, fields masked.
-    In a leaf, lines that agree in ``SIMILAR`` of their positions are linked, and linked lines are
-    one template: lines of a shared segment are compared with the least of them, then, in turns,
-    with all those in other components. Blank lines stay and do not count. A null text stays null; rows of
-    one doc_id count as one document, whose line numbers are shared; a null doc_id is one too;
-    other columns pass through; an empty table gives no rows.
+    Lines are parsed by a tree of fixed depth: token count, the first ``DEPTH`` tokens, and a
+    segment of the others; a line is filed under each of its segments. Tokens with digits, of
+    addresses and mail names are fields from the start. At each place lines, those of most
+    documents first and then by digest, go to the template with which they share most tokens; where
+    they differ it gets fields, while ``SIMILAR`` of its positions stay fixed; else they are a new
+    template. Recurring templates that share a line are one class, of which the first line (by
+    doc_id, null last, and number) stays.
+
+    Tokens are runs without ASCII white space; lines without tokens stay and do not count. A null
+    text stays null. A row is a document, whatever its doc_id; rows that repeat doc_id and text
+    are one document and all lose the same lines. Very long lines have as many segments as fields
+    and one. Other columns pass through; an empty table gives no rows.
     """
-    drops = materialize(dropped_lines(docs, min_docs).withColumnsRenamed({"doc_id": "_id", "n_lines": "_n", "drop": "_drop"}), "op2-drops")
-    keyed = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    drops = recurring_lines(docs, min_docs).select(F.col("r").alias("op2_r"), F.col("drop").alias("op2_drop"))
+    keyed = docs.join(drops, F.xxhash64("doc_id", "text") == F.col("op2_r"), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i))
-    text = F.when(F.size(F.col("_drop")) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    dropped = F.coalesce(F.col("op2_drop"), F.array().cast("array<int>"))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("op2_drop"), i))
+    text = F.when(F.col("op2_drop").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    count = F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
     out = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return keyed.select(*out, F.coalesce("_n", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.greatest(F.size("_drop"), F.lit(0)), F.lit(0)).alias("n_dropped"))
+    return keyed.select(*out, count.cast("long").alias("n_lines"), F.size(dropped).alias("n_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

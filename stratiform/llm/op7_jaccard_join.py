@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratiform.llm.common import distinct_per_doc, documents, key_filter, materialize, may_hold, mix64, release, shingles, slices, tidy, whole_groups, word_hashes
+from stratiform.llm.common import distinct_groups, distinct_per_doc, documents, grouped, key_filter, materialize, may_hold, mix64, release, shingles, slices, tidy, whole_groups, word_hashes
 from stratiform.llm.components import connected_components
 
 #: Words of a shingle and least similarity in hundredths: of the query, and of pipeline stages.
@@ -147,47 +147,14 @@ def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(compute, "sig long, node long")
 
 
-def grouped(rows: DataFrame, key: str, node: str, parts: int | None = None) -> DataFrame:
-    """Groups of rows with an equal key and two nodes or more: (key, hub, node), the hub its least.
-
-    Sorted partitions are scanned as streams, so a group may be of any size.
-    """
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_hub = last_node = None
-        for batch in batches:
-            k, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(k):
-                continue
-            new = np.ones(len(k), bool)
-            new[1:] = k[1:] != k[:-1]
-            new[0] = last_key is None or k[0] != last_key
-            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            hub = np.where(at >= 0, n[at], last_hub if last_hub is not None else 0)
-            again = np.zeros(len(k), bool)
-            again[1:] = n[1:] == n[:-1]
-            again[0] = last_node is not None and n[0] == last_node
-            keep = (hub != n) & ~(again & ~new)
-            last_key, last_hub, last_node = k[-1], hub[-1], n[-1]
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(hub[keep]), pa.array(n[keep])], [key, "hub", node])
-
-    spread = rows.select(key, node)
-    spread = spread.repartition(parts, key) if parts else spread.repartition(key)
-    return spread.sortWithinPartitions(key, node).mapInArrow(scan, f"{key} long, hub long, {node} long")
-
-
 def members_of(groups: DataFrame, key: str = "sig") -> DataFrame:
     """(g, b, k, node): members of groups (key, hub, node), once for groups of the very same members.
 
     A group beyond ``BLOCK`` nodes is cut into blocks by hash; a member of block b is in the comparison k of
     each pair of blocks it is one of.
     """
-    own = groups.select(F.col(key).alias("g"), "node")
-    hubs = groups.groupBy(F.col(key).alias("g")).agg(F.min("hub").alias("hub"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("node") % (1 << 40)).alias("s"), F.sum(F.shiftright(F.xxhash64("node"), 40)).alias("r"))
-    kept = materialize(hubs.groupBy("hub", "m", "s", "r").agg(F.min("g").alias("g")).select("g", "hub", "m"), "members")
+    rows = distinct_groups(groups, key)
     blocks = F.floor(F.col("m") / BLOCK).cast("int") + 1
-    rows = own.join(kept.select("g", "m"), "g").unionByName(kept.select("g", F.col("hub").alias("node"), "m"))
     rows = rows.withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("node", F.lit(3)), F.col("nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     rows = rows.where("nb = 1").select("g", "node", "b", F.lit(0).alias("o")).unionByName(rows.where("nb > 1").select("g", "node", "b", other.alias("o")))
