@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from stratiform.llm.tokenize import ByteLevelIds
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 BLOCKS = 64
+#: Fillings that a node of the search branches into, and nodes it may enter.
+BRANCHES, NODES = 8, 2000
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
@@ -47,86 +50,220 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int
     )
 
 
-def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+Filling = list[tuple[int, int]]
+
+
+def plan_bins(counts: dict[int, int], capacity: int, budget: int = NODES) -> list[tuple[int, Filling]]:
     """Fill bins from a histogram of sizes: [(how many bins, [(size, how many of it in each)])].
 
-    Bin completion: the largest size left opens a bin. Its fillings are searched from large to
-    small sizes; the set of sums that the smaller sizes can still reach bounds the waste of each
-    branch, so only fillings of least waste are entered, and of those the one with the larger
-    sizes dominates. A filling is repeated as often as the counts allow. Best-fit decreasing is
-    the incumbent, and is kept where the fillings need more bins. Work depends on the number of
-    sizes (``capacity`` at most), not on the number of documents.
+    Bin completion: the largest size left opens a bin, and its undominated fillings are the
+    branches, that of least waste first, each repeated as often as the counts allow or else once.
+    Best-fit decreasing, then the best plan so far is the incumbent. A branch is cut where what it
+    has wasted leaves no plan of fewer bins than the incumbent. The search ends at a lower bound, when
+    all branches are done, or after ``budget`` nodes; then the incumbent stands, so the budget
+    bears upon the number of bins only. Work depends on the number of sizes (``capacity`` at most)
+    and the budget, not on the number of documents.
     """
-    done = _complete(dict(counts), capacity)
-    bound = -(-sum(s * c for s, c in counts.items()) // capacity)
-    if sum(n for n, _ in done) > bound:
-        rival = _best_fit(dict(counts), capacity)
-        if sum(n for n, _ in rival) < sum(n for n, _ in done):
-            return rival
-    return done
-
-
-def _complete(left: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    out = []
-    while left:
-        sizes = sorted(left, reverse=True)
-        big = sizes[0]
-        room = capacity - big
-        left[big] -= 1
-        usable = [s for s in sizes if s <= room and left[s]]
-        # reach[i]: sums of usable[i:], as bits
-        full = (1 << (room + 1)) - 1
-        reach = [1] * (len(usable) + 1)
-        for i in range(len(usable) - 1, -1, -1):
-            s, most = usable[i], min(left[usable[i]], room // usable[i])
-            bits, step = reach[i + 1], 1
-            while most > 0:
-                take = min(step, most)
-                bits |= bits << (s * take)
-                most -= take
-                step *= 2
-            reach[i] = bits & full
-        need = reach[0].bit_length() - 1
-        filling = []
-        for i, s in enumerate(usable):
-            if not need:
+    counts = {s: c for s, c in counts.items() if c}
+    bound = lower_bound(counts, capacity)
+    best = _best_fit(counts, capacity)
+    size = sum(n for n, _ in best)
+    share = min(counts.values(), default=1)
+    if share > 1 and size > bound:  # a plan of one part of the sizes, as often as it goes into them
+        rest = plan_bins({s: c % share for s, c in counts.items()}, capacity, budget)
+        parts = [(n * share, f) for n, f in plan_bins({s: c // share for s, c in counts.items()}, capacity, budget)] + rest
+        if sum(n for n, _ in parts) < size:
+            size, best = sum(n for n, _ in parts), parts
+    total = sum(s * c for s, c in counts.items())
+    # a branch: sizes left, wasted room, plan so far as a chain (how many, filling, the chain before), its bins, and what to do next
+    stack: list[tuple] = [(counts, 0, None, 0, 0, [])]
+    nodes = 0
+    while stack and size > bound and (nodes < budget or not nodes):
+        left, waste, chain, used, n, filling = stack.pop()
+        left = dict(left)
+        order = sorted(left)
+        while True:
+            if n:
+                chain, used, waste = (n, filling, chain), used + n, waste + n * (capacity - sum(s * m for s, m in filling))
+                for s, m in filling:
+                    left[s] -= n * m
+                    if not left[s]:
+                        del left[s], order[bisect_left(order, s)]
+            spare = (size - 1) * capacity - total - waste
+            if not left or spare < 0:
+                break
+            nodes += 1
+            branches = []
+            for f in fillings(left, order, capacity, spare, BRANCHES if nodes < budget else 1):
+                lost = capacity - sum(s * m for s, m in f)
+                often = min(left[s] // m for s, m in f)
+                branches += [(k, f) for k in ((often, 1) if often > 1 else (1,)) if k * lost <= spare]
+            if not branches:
                 break
-            for m in range(min(left[s], need // s), -1, -1):
-                if reach[i + 1] >> (need - m * s) & 1:
-                    break
-            if m:
-                filling.append((s, m))
-                need -= m * s
-        left[big] += 1
-        use = {big: 1}
-        for s, m in filling:
-            use[s] = use.get(s, 0) + m
-        n = min(left[s] // m for s, m in use.items())
-        for s, m in use.items():
-            left[s] -= n * m
-            if not left[s]:
-                del left[s]
-        out.append((n, sorted(use.items(), reverse=True)))
-    return out
-
-
-def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Greedy fillings: the largest size that still fits, again and again."""
-    out = []
-    while left:
-        room, use = capacity, {}
-        for s in sorted(left, reverse=True):
-            m = min(left[s], room // s)
-            if m:
-                use[s] = m
-                room -= m * s
-        n = min(left[s] // m for s, m in use.items())
-        for s, m in use.items():
-            left[s] -= n * m
-            if not left[s]:
-                del left[s]
-        out.append((n, sorted(use.items(), reverse=True)))
-    return out
+            if nodes < budget and len(branches) > 1:  # the best one next, the others wait
+                now = dict(left)
+                stack += [(now, waste, chain, used, k, f) for k, f in branches[:0:-1]]
+            n, filling = branches[0]
+        if not left and spare >= 0 and used < size:
+            size, best = used, []
+            while chain:
+                best.append(chain[:2])
+                chain = chain[2]
+    return best
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that any plan needs: by total size, and by the sizes beyond half a bin with those that cannot join them."""
+    n = np.zeros(capacity + 2, np.int64)
+    for s, c in counts.items():
+        n[s] = c
+    size = np.arange(capacity + 2)
+    big = 2 * size > capacity
+    # for each k: room beside big sizes that a size of k may join, and total of the sizes from k to half a bin
+    room = np.cumsum(np.where(big, (capacity - size) * n, 0))[capacity - size[: capacity // 2 + 1]]
+    small = np.cumsum(np.where(big, 0, size * n)[::-1])[::-1][: capacity // 2 + 1]
+    more = np.maximum(0, -(-(small - room) // capacity))
+    return int(max(-(-(size * n).sum() // capacity), n[big].sum() + more.max()))
+
+
+def _full(left: dict[int, int], order: list[int], big: int, room: int, most: int) -> list[Filling]:
+    """Fillings without waste, of the largest sizes and then two or three that are looked up."""
+    found: list[Filling] = []
+    taken, start, at = {big: 1}, [], len(order) - 1
+    while at >= 0 and room > 2 * order[at]:
+        s = order[at]
+        m = min(left[s] - taken.get(s, 0), room // s - 1)
+        if m > 0:
+            start.append((s, m))
+            taken[s] = taken.get(s, 0) + m
+            room -= m * s
+        at -= 1
+    at = bisect_right(order, room) - 1
+    for a in order[max(0, at - 2 * most + 1) : at + 1][::-1]:
+        rest = room - a
+        low = bisect_right(order, min(rest, a)) - 1
+        for b in [0, *order[max(0, low - most + 1) : low + 1][::-1]]:
+            sizes = [x for x in (a, b, rest - b) if x]
+            if rest - b <= (b or a) and all(left.get(x, 0) >= sizes.count(x) + taken.get(x, 0) for x in sizes):
+                use = dict(start)
+                for x in sizes:
+                    use[x] = use.get(x, 0) + 1
+                filling = sorted(use.items(), reverse=True)
+                if not any(_fits(filling, f) for f in found):
+                    found.append(filling)
+                break
+        if len(found) >= most:
+            break
+    return found
+
+
+def fillings(left: dict[int, int], order: list[int], capacity: int, spare: int, most: int) -> list[Filling]:
+    """Up to ``most`` undominated fillings of a bin opened by the largest size left that waste ``spare`` at most.
+
+    ``order`` holds the sizes from small to large. Fillings without waste are looked up first. If
+    there are none, the sums that smaller sizes can still reach, as bits, lead to fillings of each
+    total at once, from the fullest on. A filling is dominated if its sizes fit into the places of
+    another one.
+    """
+    big = order[-1]
+    room = capacity - big
+    merge = lambda f: [(big, 1 + dict(f).get(big, 0))] + [x for x in f if x[0] != big]
+    if quick := _full(left, order, big, room, most) if room else [[]]:
+        return [merge(f) for f in quick]
+    usable = sorted((s for s in left if s <= room and (s != big or left[s] > 1)), reverse=True)
+    have = {s: left[s] - (s == big) for s in usable}
+    full = (1 << (room + 1)) - 1
+    reach = [1] * (len(usable) + 1)
+    for i in range(len(usable) - 1, -1, -1):
+        s, n = usable[i], min(have[usable[i]], room // usable[i])
+        bits, step = reach[i + 1], 1
+        while n > 0:
+            take = min(step, n)
+            bits |= bits << (s * take)
+            n -= take
+            step *= 2
+        reach[i] = bits & full
+    found: list[Filling] = []
+
+    def enter(i: int, need: int, chosen: Filling) -> None:
+        if not need:
+            if not any(_fits(chosen, f) for f in found):
+                found.append(chosen)
+            return
+        while not reach[i + 1] >> need & 1 and usable[i] > need:
+            i += 1
+        s = usable[i]
+        for m in range(min(have[s], need // s), -1, -1):
+            if len(found) >= most or trials[0] <= 0:
+                return
+            if reach[i + 1] >> (need - m * s) & 1:
+                trials[0] -= 1
+                enter(i + 1, need - m * s, [*chosen, (s, m)] if m else chosen)
+
+    total = reach[0].bit_length() - 1
+    while total >= 0 and len(found) < most and room - total <= spare:
+        if reach[0] >> total & 1:
+            trials = [64 * most]
+            enter(0, total, [])
+        total -= 1
+    return [merge(f) for f in found]
+
+
+def _fits(small: Filling, places: Filling) -> bool:
+    """Whether the sizes of one filling fit into the places of another, several to a place."""
+    items = [s for s, m in small for _ in range(m)]
+    rooms = [s for s, m in places for _ in range(m)]
+    if len(items) > 12 or len(rooms) > 12:
+        return False  # undecided counts as not dominated
+
+    def put(i: int) -> bool:
+        if i == len(items):
+            return True
+        tried = set()
+        for j, r in enumerate(rooms):
+            if r >= items[i] and r not in tried:
+                tried.add(r)
+                rooms[j] -= items[i]
+                if put(i + 1):
+                    return True
+                rooms[j] = r
+        return False
+
+    return put(0)
+
+
+def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Filling]]:
+    """Best-fit decreasing over a histogram: each size goes to the fullest bins that hold it."""
+    rooms: dict[int, list[tuple[int, Filling]]] = {}  # by room left: bins and what they hold
+    order: list[int] = []
+
+    def keep(room: int, n: int, filling: Filling) -> None:
+        if room not in rooms:
+            insort(order, room)
+        rooms.setdefault(room, []).append((n, filling))
+
+    for s in sorted(counts, reverse=True):
+        left = counts[s]
+        while left:
+            at = bisect_left(order, s)
+            if at < len(order):
+                room = order[at]
+                n, filling = rooms[room].pop()
+                if not rooms[room]:
+                    del rooms[room], order[at]
+            else:
+                room, n, filling = capacity, left, []
+            q = room // s
+            whole = min(n, left // q)
+            part = left - whole * q if whole < n else 0
+            if whole:
+                keep(room - q * s, whole, [*filling, (s, q)])
+            if part:
+                keep(room - part * s, 1, [*filling, (s, part)])
+            if filling and n > whole + (part > 0):
+                keep(room, n - whole - (part > 0), filling)
+            left -= whole * q + part
+    return [x for group in rooms.values() for x in group]
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -204,7 +204,7 @@ def sketch_pairs(first: np.ndarray, label: np.ndarray, block: np.ndarray, n: np.
 
 
 def candidates(members: DataFrame, percent: int, turn: str) -> DataFrame:
-    """(g, a, b): pairs of members (k, g, b, node, label, n, sketch) that may link and have different labels.
+    """(g, a, b, apart): pairs of members (k, g, b, node, label, n, sketch) that may link and have different labels.
 
     ``turn`` tells which: the nearest partner of each node, that of each pair of labels, or all.
     """
@@ -229,9 +229,16 @@ def candidates(members: DataFrame, percent: int, turn: str) -> DataFrame:
                 at = np.arange(len(i))
             if len(at):
                 a, b = node[i[at]], node[j[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g[i[at]], np.minimum(a, b), np.maximum(a, b))], ["g", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g[i[at]], np.minimum(a, b), np.maximum(a, b), d[at])], ["g", "a", "b", "apart"])
 
-    return members.repartition("k").sortWithinPartitions("k").select("k", "g", "b", "node", "label", "n", "sketch").mapInArrow(compare, "g long, a long, b long")
+    return members.repartition("k").sortWithinPartitions("k").select("k", "g", "b", "node", "label", "n", "sketch").mapInArrow(compare, "g long, a long, b long, apart long")
+
+
+def nearest(near: DataFrame) -> DataFrame:
+    """(a, b): of candidates (a, b, apart) the nearest of each node."""
+    side = lambda x, y: near.select(F.col(x).alias("node"), F.struct("apart", F.col(y).alias("other")).alias("o"))
+    best = side("a", "b").unionAll(side("b", "a")).groupBy("node").agg(F.min("o").alias("o")).select("node", F.col("o.other").alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -283,21 +290,22 @@ def jaccard_rows(docs: DataFrame, words: int = QUERY[0], percent: int = QUERY[1]
     keys = materialize(_keys(docs, words), "op7-keys")
     groups = materialize(grouped(_signature_rows(docs, words, percent), "sig", "node"), "op7-groups")
     nodes = keys.where("node <> 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("t").alias("t"))
-    members = materialize(members_of(groups).join(nodes.drop("t"), "node"), "op7-members")
+    members = materialize(members_of(groups), "op7-members")
     release(groups)
-    near = materialize(candidates(members.withColumn("label", F.col("node")), percent, "node"), "op7-near")
-    pairs = materialize(near.select("a", "b").distinct(), "op7-pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "t"), "node"), "op7-wanted")
+    sketched = lambda rows: rows.join(nodes.drop("t"), "node")
+    near = materialize(candidates(sketched(members.withColumn("label", F.col("node"))), percent, "node"), "op7-near")
+    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     # a node without a candidate has none in later turns, nor has a group
-    sets = materialize(node_sets(docs, wanted, words), "op7-sets")
+    sets = materialize(node_sets(docs, materialize(ends.join(nodes.select("node", "t"), "node"), "op7-wanted"), words), "op7-sets")
     live = materialize(members.join(near.select("g").distinct(), "g", "left_semi"), "op7-live")
     release(members)
+    pairs = tried = materialize(nearest(near), "op7-pairs")
     links = materialize(verified(pairs, sets, percent), "op7-links")
-    labels, tried = connected_components(links), pairs
+    labels = connected_components(links)
     for turn in ("label", "all"):
-        named = live.join(labels, "node", "left").withColumn("label", F.coalesce("component_id", "node"))
+        named = live.join(labels, "node", "left").withColumn("label", F.coalesce("component_id", "node")).drop("component_id")
         mixed = named.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k")
-        more = candidates(named.join(mixed, "k", "left_semi"), percent, turn).select("a", "b").distinct()
+        more = candidates(sketched(named.join(mixed, "k", "left_semi")), percent, turn).select("a", "b").distinct()
         pairs = materialize(more.join(tried, ["a", "b"], "left_anti"), "op7-pairs")
         found = materialize(verified(pairs, sets, percent), "op7-links")
         tried, links = tried.unionByName(pairs), links.unionByName(found)

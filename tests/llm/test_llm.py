@@ -252,7 +252,28 @@ def test_plan_bins_is_best_on_small_cases():
         placed = sorted(s for n, filling in plan for s, m in filling for _ in range(n * m))
         assert placed == sorted(sizes) and all(sum(s * m for s, m in f) <= 20 for _, f in plan)
         worse += sum(n for n, _ in plan) - least(sizes, 20)
-    assert worse <= 2
+    assert worse == 0
+
+
+def test_plan_bins_beats_best_fit():
+    bins = lambda plan: sum(n for n, _ in plan)
+    sizes = {12: 1, 9: 2, 7: 2, 6: 1, 5: 1, 3: 1, 2: 1}
+    assert bins(op3.plan_bins(sizes, 20)) == 3 < bins(op3._best_fit(sizes, 20))
+    assert bins(op3.plan_bins({s: 1000 * c for s, c in sizes.items()}, 20)) == 3000
+    assert op3.plan_bins({}, 20) == []
+    r = random.Random(0)
+    triples = defaultdict(int)
+    for _ in range(100):
+        a, b = r.randint(500, 800), r.randint(500, 800)
+        for s in (a, b, 2048 - a - b):
+            triples[s] += 1
+    plan = op3.plan_bins(triples, 2048)
+    used = defaultdict(int)
+    for n, filling in plan:
+        assert sum(s * m for s, m in filling) <= 2048
+        for s, m in filling:
+            used[s] += n * m
+    assert used == triples and 100 <= bins(plan) <= 104 < bins(op3._best_fit(triples, 2048))
 
 
 def test_token_counts_and_cache(spark, docs, empty):
@@ -497,9 +518,13 @@ def test_passages_at_many_places(spark):
     assert [(x["first_doc_id"], x["repeated"]) for x in out if x["doc_id"] == 2] == [(1, True)]
 
 
-def test_same_passages_nest():
-    rep, inside = op9.same_passages(np.array([0, 1, 0, 150]), np.array([100, 101, 240, 210]))
-    assert rep.tolist() == [0, 0, 2, 3] and sorted(inside) == [(0, 2), (3, 2)]
+def test_windows_of_very_long_texts():
+    c = np.array([10, 4095, 70_000, 3_000_000, 5])
+    lo, hi = np.array([0, 0, 1, 17, 5]), np.array([4_000, 8_190, 140_000, 90_000_000, 5])
+    at, a, b = op9.unpack(op9.pack(c, lo, hi))
+    assert (at == c).all() and (a >= lo).all() and (b <= hi).all()
+    assert ((c - a) * 2048 >= (c - lo) * 2047).all() and ((b - c) * 2048 >= (hi - c) * 2047).all()
+    assert a[:2].tolist() == [0, 0] and b[:2].tolist() == [4_000, 8_190]
 
 
 def test_compact_windows_cover_each_interval_once():
