@@ -31,12 +31,35 @@ def paired_t(d: Column) -> Column:
     return F.when(s > 0, F.avg(d) / F.nullif(s, F.lit(0.0))).otherwise(0.0)
 
 
+# Bounds of the t statistic and the p they stand for, from 30 degrees of freedom on and below.
+P_STEPS = {"large": [(3.29, 0.001), (2.58, 0.01), (1.96, 0.05)], "small": [(4.0, 0.001), (3.0, 0.01), (2.0, 0.05)]}
+
+
 def p_step(t: Column, df: Column) -> Column:
-    """Step approximation of a two-sided p, by degrees of freedom."""
-    a = F.abs(t)
-    small = F.when(a > 4.303, 0.01).when(a > 2.92, 0.05).when(a > 1.886, 0.1).otherwise(0.2)
-    large = F.when(a > 2.576, 0.01).when(a > 1.96, 0.05).when(a > 1.645, 0.1).otherwise(0.2)
-    return F.when(df <= 2, small).otherwise(large)
+    """Step approximation of a two-sided p, by degrees of freedom; 0.1 where no bound is passed."""
+    steps = {}
+    for kind, bounds in P_STEPS.items():
+        steps[kind] = F.lit(0.1)
+        for bound, p in reversed(bounds):
+            steps[kind] = F.when(F.abs(t) > bound, p).otherwise(steps[kind])
+    return F.when(df >= 30, steps["large"]).otherwise(steps["small"])
+
+
+def t_quantile(df: Column, confidence: float = 0.95) -> Column:
+    """t beyond which 1 - confidence lies on both sides, by bisection of the exact p (a pandas function over distinct degrees of freedom)."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series) -> pd.Series:
+        known: dict[float, float] = {}
+        for n in a.dropna().unique():
+            lo, hi = 0.0, 1e6
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if two_sided_p(mid, n) > 1 - confidence else (lo, mid)
+            known[n] = (lo + hi) / 2
+        return a.map(known)
+
+    return run(F.when(df > 0, df.cast("double")))
 
 
 def ci_half_width(s: Column, n: Column) -> Column:
@@ -45,12 +68,12 @@ def ci_half_width(s: Column, n: Column) -> Column:
 
 
 def effect_word(d: Column) -> Column:
-    a = F.abs(d)
-    return F.when(a < 0.2, "negligible").when(a < 0.5, "small").when(a < 0.8, "medium").otherwise("large")
+    """By the signed effect, as reports word it: a drop is negligible."""
+    return F.when(d >= 0.8, "large").when(d >= 0.5, "medium").when(d >= 0.2, "small").otherwise("negligible")
 
 
 def stars(p: Column) -> Column:
-    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
+    return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

@@ -84,20 +84,54 @@ def has_table(text: Column) -> Column:
     return text.contains("<table>") | (text.contains("|") & text.contains("---"))
 
 
+# Headings by pattern, with kind and level (0: told by its kind only), in the order in which they are tried.
+# The last six need a blank line or a heading before, or a line of text that is not numbered after.
+HEADINGS = [
+    (r"^第[一二三四五六七八九十百零]+[编章部分]", "chapter", 1, False),
+    (r"^第[一二三四五六七八九十百零]+节", "section", 2, False),
+    (r"^第[一二三四五六七八九十百零]+[条款目]", "article", 3, False),
+    (r"^第?\d+(?:\.\d+)+", "article", None, False),
+    (r"^[一二三四五六七八九十]+[、.]\s*.+$", "section", 2, True),
+    (r"^[（(][一二三四五六七八九十]+[）)]", "item", 3, True),
+    (r"^\d+[.、]\s*.+$", "section", 2, True),
+    (r"^[（(]?\d+[）)]\s*.+$", "item", 3, True),
+    (r"^[IVXLCDM]+[.、]\s*.+$", "section", 2, True),
+    (r"^[ivxlcdm]+[)）]\s*.+$", "item", 3, True),
+]
+# What a numbered line starts with.
+NUMBERED = r"^(?:\d+[.)、]|[（(]\d+[）)]|[一二三四五六七八九十]+[、.)]|[（(][一二三四五六七八九十]+[）)])"
+
+
+def numbered_line(line: Column) -> Column:
+    return F.trim(line).rlike(NUMBERED)
+
+
+def heading_kind(line: Column, before: Column | None = None, after: Column | None = None) -> Column:
+    """(kind, level) of a heading, null for other lines; the first pattern that holds counts.
+
+    ``before`` and ``after`` are the lines around it, null at the ends of a text; without them
+    the lines around are taken to allow a heading.
+    """
+    s = F.regexp_replace(line, r"^\s+|\s+$", "")
+    alone = F.lit(True)
+    if before is not None:
+        b, a = F.trim(F.coalesce(before, F.lit(""))), F.trim(F.coalesce(after, F.lit("")))
+        alone = (F.length(s) < 100) & ((b == "") | b.startswith("#") | ((a != "") & ~numbered_line(a)))
+    kind = lambda k, level: F.struct(F.lit(k).alias("kind"), level.cast("int").alias("level"))
+    out = F.when(s.startswith("#"), kind("markdown", F.length(F.regexp_extract(s, "^(#+)", 1))))
+    for pattern, name, level, free in HEADINGS:
+        dots = F.length(F.regexp_replace(F.regexp_extract(s, r"^第?(\d+(?:\.\d+)+)", 1), "[^.]", ""))
+        hit = s.rlike(pattern) & (alone if free else F.lit(True))
+        if free and pattern.startswith(r"^\d") and after is not None:
+            hit = hit & ~F.trim(F.coalesce(after, F.lit(""))).rlike(r"^\d+[.、]")
+        out = out.when(hit, kind(name, F.lit(level) if level else dots + 1))
+    return out
+
+
 def heading_level(line: Column) -> Column:
-    """1 to 4 for Markdown and numbered headings, else null; the first rule that holds counts."""
-    short = F.length(line) < 100
-    return (
-        F.when(line.rlike(r"^#{1,6} "), F.least(F.length(F.regexp_extract(line, "^(#+) ", 1)), F.lit(4)))
-        .when(short & line.rlike(r"^第[一二三四五六七八九十百\d]+章"), 1)
-        .when(short & line.rlike(r"^第[一二三四五六七八九十百\d]+[节条]"), 2)
-        .when(short & line.rlike(r"^\d+\.\d+\.\d+"), 3)
-        .when(short & line.rlike(r"^\d+\.\d+"), 2)
-        .when(short & line.rlike(r"^[一二三四五六七八九十]+、"), 2)
-        .when(short & line.rlike(r"^（[一二三四五六七八九十]+）"), 3)
-        .when(short & line.rlike(r"^\d+\. "), 3)
-        .when(short & line.rlike(r"^\(\d+\)"), 4)
-    )
+    """1 to 4 for Markdown and numbered headings, else null."""
+    level = heading_kind(line)["level"]
+    return F.when(level.isNotNull() & (F.trim(line).startswith("#") | (F.length(line) < 100)), F.least(level, F.lit(4)))
 
 
 def as_heading(line: Column, level: Column) -> Column:
@@ -110,13 +144,53 @@ def regions(text: Column) -> Column:
     return F.array_distinct(found)
 
 
+# Parts of an address; each reaches as far back as it may, so a city holds its province.
+ADDRESS = {"province": "(.+省)", "city": "(.+市)", "county": "([^省市]+县)", "town": "([^县市省]+镇)", "village": "([^县市省镇]+村)(?![委会])"}
+
+
 def address_parts(text: Column) -> Column:
     """province, city, county, town and village of an address, null where absent."""
-    part = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    return F.struct(
-        part(r"^([一-龥]+?(?:省|自治区))").alias("province"), part(r"^(?:.*(?:省|自治区))?([一-龥]+?市)").alias("city"), part(r"^(?:.*[省市])?([一-龥]+?[县区])").alias("county"),
-        part(r"^(?:.*[县区市])?([一-龥]+?[镇乡])").alias("town"), part(r"^(?:.*[镇乡])?([一-龥]+?村)").alias("village"),
-    )
+    return F.struct(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")).alias(k) for k, p in ADDRESS.items()])
+
+
+# Figures of a planning text, by name.
+METRICS = {
+    "area_ha": r"([\d.]+)\s*公顷", "area_mu": r"([\d.]+)\s*亩", "population": r"(\d+)\s*人", "households": r"(\d+)\s*户",
+    "percentage": r"([\d.]+)\s*%", "amount_wan_yuan": r"([\d.]+)\s*万元", "length_km": r"([\d.]+)\s*km", "area_sqm": r"([\d.]+)\s*m[²2]",
+}
+
+
+def metrics(text: Column) -> dict[str, Column]:
+    """The first value of each figure, null if absent or no number."""
+    return {k: first_number(text, p) for k, p in METRICS.items()}
+
+
+# Words of a document's name by its type, in the order in which they are tried.
+DOC_TYPES = [
+    ("textbook", "教材|原理|教程|导论|基础|入门|读本"),
+    ("guide", "指南|手册|指导|操作|规程"),
+    ("policy", "条例|规定|办法|通知|意见|决定|批复"),
+    ("standard", "标准|规范|gb|cjj|cj|hg|jc|jg|jt"),
+    ("case", "规划|设计|方案|案例|实例|工程"),
+]
+# A chapter in a text, and the number of a standard in a title.
+CHAPTER, STANDARD_NUMBER = r"第[一二三四五六七八九十\d]+章", r"(?i)[A-Z]{2,4}[/\-]?\d{4,}"
+
+
+def _by_name(out: Column, name: Column, types: list[tuple[str, str]]) -> Column:
+    for kind, words in types:
+        out = out.when((F.lower(name) if kind == "standard" else name).rlike(words), kind)
+    return out.otherwise("report")
+
+
+def doc_type_of_file(name: Column, content: Column) -> Column:
+    """Type of a document by its file name; a text in chapters is a textbook."""
+    return _by_name(F.when(F.coalesce(content.rlike(CHAPTER), F.lit(False)), "textbook"), name, DOC_TYPES)
+
+
+def doc_type_of_title(title: Column) -> Column:
+    """Type by the title: one with a standard's number is a standard, one with 法 a policy."""
+    return _by_name(F.when(title.rlike(STANDARD_NUMBER), "standard"), title, [(k, w + "|法" if k == "policy" else w) for k, w in DOC_TYPES])
 
 
 def first_number(text: Column, pattern: str) -> Column:
@@ -125,9 +199,10 @@ def first_number(text: Column, pattern: str) -> Column:
 
 
 def key_points(text: Column, n: int = 5) -> Column:
-    """Third-level headings, then bold runs, of 4 to 50 characters, first of equals, ``n`` at most."""
-    found = F.concat(F.regexp_extract_all(text, F.lit(r"(?m)^### +([^\n]+)$"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"\*\*([^*\n]+)\*\*"), F.lit(1)))
-    return F.slice(F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: (F.length(x) >= 4) & (F.length(x) <= 50))), 1, n)
+    """Third-level headings, then bold runs that are none of them, of 4 to 50 characters, ``n`` at most."""
+    fit = lambda p: F.filter(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x: F.trim(x)), lambda x: F.length(x).between(4, 50))
+    headings, bold = fit(r"###\s+([^\n]+)"), fit(r"\*\*([^\n]+?)\*\*")
+    return F.slice(F.concat(headings, F.array_except(bold, headings)), 1, n)
 
 
 def first_json(text: Column) -> Column:

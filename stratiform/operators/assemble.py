@@ -29,9 +29,15 @@ def clean_file_name(name: Column) -> Column:
     return name
 
 
+# Words by which a source's title is national, provincial or one of planning.
+NATIONAL, PROVINCIAL, LOCAL, LOCAL_KINDS, PLANNING = "《中华人民共和国|国务院|中共中央", "条例|规划|意见", "市|县|镇", "规划|批复|方案", "规划|国土空间"
+
+
 def legal_level(title: Column) -> Column:
-    """national, provincial or planning, by words of the title."""
-    return F.when(title.rlike("中华人民共和国|国务院|国家|GB"), "national").when(title.rlike("省|自治区|DB"), "provincial").otherwise("planning")
+    """national, provincial or planning by words of the title, null if none tells; a local title counts only if it is a plan or decision."""
+    local = title.rlike(LOCAL)
+    planning = (local & title.rlike(LOCAL_KINDS)) | (~local & title.rlike(PLANNING))
+    return F.when(title.rlike(NATIONAL), "national").when(title.contains("省") & title.rlike(PROVINCIAL), "provincial").when(planning, "planning")
 
 
 def title_sets(df: DataFrame, by: str, title: str) -> DataFrame:

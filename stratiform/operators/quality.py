@@ -10,8 +10,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Patterns of claims by kind; one sentence may hold several.
 ENGLISH_CLAIMS = {"number": r"[0-9]", "law": r"(?i)license|rights", "clause": r","}
-# Claims of planning texts (numbers with units, laws and articles, standards).
-CHINESE_CLAIMS = {"number": r"\d+\.?\d*\s*(?:%|米|公里|平方米|公顷|亩|人|户|万元|元)", "law": r"《[^》]+》|第[一二三四五六七八九十百\d]+条", "standard": r"(?:GB|JGJ|CJJ|DB)[/T]*\s*\d+"}
+# Claims of planning texts (numbers with units, laws and articles, duty words).
+CHINESE_CLAIMS = {
+    "number": r"\d+\.?\d*[%米年公顷平方米]",
+    "law": r"《[^》]+》|第[一二三四五六七八九十]+条|GB\s*\d+",
+    "duty": "应|须|必须|不得|禁止|规定|要求|标准",
+}
+# Evidence in a claim that a context may hold, in the order in which it is looked for.
+CHINESE_EVIDENCE = {"number": r"\d+\.?\d*", "law": r"《[^》]+》", "standard": r"GB\s*\d+|DB\s*\d+/\d+"}
+# Marks of depth with their points, and words that count 0.5 and 0.2 each, up to 1.
+CHINESE_DEPTH = {
+    "marks": {r"\d+\.?\d*\s*[%米年公顷平方米]": 1.0, r"《[^》]+》": 0.5, r"GB\s*\d+|DB\s*\d+/\d+": 0.5},
+    "methods": ["方法", "步骤", "流程", "计算", "分析", "评估", "指标"],
+    "advice": ["应", "建议", "可", "宜", "需"],
+}
+# What a depth score is explained by (the word 指标 counts as a method, but does not explain).
+CHINESE_REASONS = {r"\d+\.?\d*\s*[%米年公顷平方米]": "包含具体数值指标", r"《[^》]+》": "引用法规文件", r"GB\s*\d+|DB\s*\d+/\d+": "引用技术标准", "方法|步骤|流程|计算|分析|评估": "包含技术方法描述"}
+NO_REASON = "缺乏具体技术内容"
 
 
 def sentences(docs: DataFrame, stops: str, least: int) -> DataFrame:
@@ -33,10 +48,24 @@ def support_rate(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.round(F.coalesce(F.col("s") / F.col("n_claims"), F.lit(1.0)), 6).alias("faithfulness"))
 
 
-def depth(text: Column) -> Column:
-    """1 to 5: one point each for length, more length, figures, a table, and five lines."""
-    flags = [F.length(text) > 500, F.length(text) > 2000, text.rlike("[0-9]"), text.contains("|"), F.size(F.split(text, "\n")) >= 5]
-    return F.least(F.lit(5), sum((f.cast("int") for f in flags), F.lit(1))).cast("int")
+def support(claim: Column, context: Column, evidence: dict[str, str] | None = None) -> Column:
+    """The first evidence of a claim that its context holds: numbers, then laws, then standards; null if none does."""
+    found = [F.filter(F.regexp_extract_all(claim, F.lit(p), F.lit(0)), lambda x: F.contains(context, x)) for p in (evidence or CHINESE_EVIDENCE).values()]
+    return F.try_element_at(F.concat(*found), F.lit(1))
+
+
+def depth(text: Column, rules: dict | None = None) -> Column:
+    """1 to 5: points for the marks a text shows, for words of method and of advice."""
+    rules = rules or CHINESE_DEPTH
+    marks = sum((F.when(text.rlike(p), v).otherwise(0.0) for p, v in rules["marks"].items()), F.lit(1.0))
+    return F.least(F.lit(5.0), marks + F.least(F.lit(1.0), hits(text, rules["methods"]) * 0.5) + F.least(F.lit(1.0), hits(text, rules["advice"]) * 0.2))
+
+
+def depth_reason(text: Column, score: Column, reasons: dict[str, str] | None = None, none: str = NO_REASON) -> Column:
+    """The score in words, with what speaks for it."""
+    said = F.filter(F.array(*[F.when(text.rlike(p), F.lit(w)) for p, w in (reasons or CHINESE_REASONS).items()]), lambda x: x.isNotNull())
+    listed = F.when(F.size(said) > 0, F.array_join(said, ", ")).otherwise(F.lit(none))
+    return F.concat(F.lit("评分 "), F.format_number(score, 1), F.lit(" 分："), listed)
 
 
 def tokens(text: Column, pattern: str = "[a-z]{3,}") -> Column:

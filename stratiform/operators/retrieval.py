@@ -6,6 +6,10 @@ partition keeps its best by a window limit, and one exchange per query joins the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Queries that may be broadcast; more are joined by a key of blocks instead.
@@ -34,11 +38,34 @@ def calibrated(cos: Column, offset: float | Column) -> Column:
 
 
 def scored(queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, chunk columns, score) of every passage for each query (query_id, query)."""
-    n = queries.limit(MOST_BROADCAST + 1).count()
-    side = F.broadcast(queries) if n <= MOST_BROADCAST else queries
-    out = passages.crossJoin(side)  # a stated query set against all rows
-    return out.withColumn("score", F.round(squared_l2(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query")
+    """(query_id, chunk columns, score) of every passage for each query (query_id, query) of a stated set.
+
+    Up to ``MOST_BROADCAST`` queries go to every task as one matrix, and batches of passages are
+    compared with it; more meet the passages by blocks of queries in a join.
+    """
+    some = queries.limit(MOST_BROADCAST + 1).collect()
+    rest = [f for f in passages.schema.fields if f.name != "embedding"]
+    if len(some) > MOST_BROADCAST:
+        n = -(-queries.count() // MOST_BROADCAST)
+        q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
+        p = passages.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        out = p.join(q, "_block").drop("_block")
+        return out.withColumn("score", F.round(squared_l2(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query")
+    ids = np.array([r["query_id"] for r in some], np.int64)
+    matrix = np.array([r["query"] for r in some], np.float64).reshape(len(some), -1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, (1 << 18) // max(1, len(ids)))
+            for part in (batch.slice(a, step) for a in range(0, batch.num_rows, step)):
+                x = part.column("embedding").flatten().to_numpy().astype(np.float64).reshape(part.num_rows, -1)
+                score = np.stack([((x - q) ** 2).sum(1) for q in matrix], 1) if len(ids) else np.zeros((part.num_rows, 0))
+                at = pa.array(np.repeat(np.arange(part.num_rows), len(ids)))
+                cols = [*(part.column(f.name).take(at) for f in rest), pa.array(np.tile(ids, part.num_rows)), pa.array(score.ravel())]
+                yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in rest), "query_id", "score"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", query_id long, score double"
+    return passages.where("embedding is not null").mapInArrow(compare, schema).withColumn("score", F.round("score", 6))
 
 
 def best(df: DataFrame, n: int, by: str = "query_id", tie: str = "chunk_id", rank: str = "rank") -> DataFrame:
@@ -80,19 +107,62 @@ def best_parents(hits: DataFrame, k: int) -> DataFrame:
 
 
 def with_children(parents: DataFrame, chunks: DataFrame, most: int, mark: str = "…") -> DataFrame:
-    """Text of each parent: its children in order, joined until ``most`` characters, then cut with a mark."""
+    """Text of each parent: its children in order, joined until ``most`` characters, then cut with a mark.
+
+    Each child takes a separator at least, so the first ``most`` + 1 hold all that is shown: only
+    these meet in a group, and of each only as many characters.
+    """
+    w = Window.partitionBy("parent_id").orderBy("chunk_index")
+    first = chunks.select("parent_id", "chunk_index", F.substring("content", 1, most + 1).alias("content")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most + 2)
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
-    text = chunks.groupBy("parent_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("content"))
+    text = first.groupBy("parent_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("content"))
     cut = F.when(F.length("content") > most, F.concat(F.substring("content", 1, most), F.lit(mark))).otherwise(F.col("content"))
     return parents.join(text, "parent_id", "left").withColumn("content", cut)
 
 
-def ancestors(chunks: DataFrame, most: int = 4) -> DataFrame:
-    """(chunk_id, ancestor_id, distance), near to far, for trees of at most ``most`` levels."""
-    up = chunks.select(F.col("chunk_id").alias("_c"), F.col("parent_id").alias("_p"))
-    level = chunks.filter("parent_id is not null").select("chunk_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
-    out = level
-    for d in range(2, most + 1):
-        level = level.join(up, F.col("ancestor_id") == F.col("_c")).filter("_p is not null").select("chunk_id", F.col("_p").alias("ancestor_id"), F.lit(d).alias("distance"))
-        out = out.unionByName(level)
-    return out
+def ancestors(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, ancestor_id, distance), near to far, for trees of any depth; a cycle ends where it meets its start.
+
+    Each round doubles the distance covered, so a tree of depth d takes about log2(d) joins.
+    """
+    up = chunks.filter("parent_id is not null").select(F.col("chunk_id").alias("_c"), F.col("parent_id").alias("_a"), F.lit(1).alias("_d"))
+    known, far = up, 1
+    while True:
+        step = known.filter(F.col("_d") == far).select(F.col("_c").alias("chunk_id"), F.col("_a").alias("_m"))
+        more = step.join(known, step["_m"] == known["_c"]).select(F.col("chunk_id").alias("_c"), "_a", (F.col("_d") + far).alias("_d")).filter("_a <> _c")
+        if more.isEmpty():
+            break
+        known, far = known.unionByName(more), far * 2
+    return known.select(F.col("_c").alias("chunk_id"), F.col("_a").alias("ancestor_id"), F.col("_d").alias("distance"))
+
+
+def subtree_text(sections: DataFrame, root: str) -> DataFrame:
+    """Text of each section named ``root`` with all below it, depth first: sections (section_id, parent_id, pos, title, content)."""
+    below = ancestors(sections.select(F.col("section_id").alias("chunk_id"), "parent_id"))
+    tops = sections.filter(F.col("title") == root).select(F.col("section_id").alias("root_id"))
+    mine = below.join(tops, below["ancestor_id"] == tops["root_id"]).select("root_id", F.col("chunk_id").alias("section_id")).unionByName(tops.select("root_id", F.col("root_id").alias("section_id")))
+    # the order of a section is the list of positions on the way down to it
+    way = below.join(sections.select(F.col("section_id").alias("ancestor_id"), "pos"), "ancestor_id")
+    way = way.groupBy(F.col("chunk_id").alias("section_id")).agg(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("distance", "pos"))), lambda x: x["pos"])).alias("way"))
+    rows = mine.join(sections, "section_id").join(way, "section_id", "left").withColumn("at", F.concat(F.coalesce("way", F.array().cast("array<int>")), F.array(F.col("pos").cast("int"))))
+    parts = F.array_sort(F.collect_list(F.struct("at", "title", "content")))
+    return rows.groupBy("root_id").agg(F.array_join(F.transform(parts, lambda p: F.concat_ws("\n", p["title"], p["content"])), "\n").alias("content"))
+
+
+def metadata_filter(policy: Column | None = None, summary: Column | None = None, task: Column | None = None, terrain: str | None = None, doc_type: str | None = None, columns: tuple[str, str] = ("terrain", "doc_type")) -> Column:
+    """Predicate of a search: policies or the summaries of a task where both are given, else all conditions at once; terrain 'all' is none."""
+    if policy is not None and summary is not None:
+        return policy | (summary & task if task is not None else summary)
+    out = F.lit(True)
+    if terrain and terrain != "all":
+        out = out & (F.col(columns[0]) == terrain)
+    if doc_type:
+        out = out & (F.col(columns[1]) == doc_type)
+    return out & task if task is not None else out
+
+
+def context_around(text: Column, hit: Column, reach: int) -> Column:
+    """The hit with ``reach`` characters to both sides (0: the hit only), null where it does not occur."""
+    at = F.instr(text, hit)
+    start = F.greatest(F.lit(1), at - reach)
+    return F.when(at > 0, F.substring(text, start, at + F.length(hit) + reach - start))

@@ -24,20 +24,26 @@ def cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius: float, on: Sequence[str] = (), max_lat: float = 60.0) -> DataFrame:
+def radius_pairs(left: DataFrame, right: DataFrame, radius: float, on: Sequence[str] = ()) -> DataFrame:
     """All (left, right) pairs within ``radius`` metres, with ``distance``: no cross join.
 
-    Both sides get the cell of a grid as wide as the radius; the right side goes to its own and the
-    eight cells around, so pairs meet in an equi-join, which a further key ``on`` makes narrower.
-    Columns of the right side are lon_2, lat_2 and what else it has; names must not clash.
+    Both sides get the cell of a grid in space as wide as the radius, so it holds at the poles and
+    across the date line; the right side goes to its own cell and the 26 around, so pairs meet in an
+    equi-join, which a further key ``on`` makes narrower. Columns of the right side are lon_2,
+    lat_2 and what else it has; names must not clash.
     """
-    dy = radius / 110000.0
-    dx = radius / (110000.0 * math.cos(math.radians(max_lat)))
-    a = left.withColumn("_x", cell(F.col("lon"), dx)).withColumn("_y", cell(F.col("lat"), dy))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = right.withColumn("_o", F.explode(around))
-    b = b.withColumn("_x", cell(F.col("lon_2"), dx) + F.col("_o.i")).withColumn("_y", cell(F.col("lat_2"), dy) + F.col("_o.j")).drop("_o")
-    joined = a.join(b, ["_x", "_y", *on]).drop("_x", "_y")
+
+    def cells(df: DataFrame, lon: str, lat: str) -> DataFrame:
+        a, b = F.radians(lon), F.radians(lat)
+        # a hair wider than the radius, so that rounding moves no pair more than one cell apart
+        xyz = {"_x": F.cos(b) * F.cos(a), "_y": F.cos(b) * F.sin(a), "_z": F.sin(b)}
+        return df.withColumns({k: cell(v * geo.EARTH, radius * 1.000001 + 0.01) for k, v in xyz.items()})
+
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    around = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijk", s)]) for s in steps])
+    b = cells(right, "lon_2", "lat_2").withColumn("_o", F.explode(around))
+    b = b.withColumns({"_x": F.col("_x") + F.col("_o.i"), "_y": F.col("_y") + F.col("_o.j"), "_z": F.col("_z") + F.col("_o.k")}).drop("_o")
+    joined = cells(left, "lon", "lat").join(b, ["_x", "_y", "_z", *on]).drop("_x", "_y", "_z")
     distance = geo.haversine(F.col("lon"), F.col("lat"), F.col("lon_2"), F.col("lat_2"))
     return joined.withColumn("distance", distance).filter(F.col("distance") <= radius)
 
@@ -83,7 +89,7 @@ def travel(routes: DataFrame, speed: float, most_minutes: float, most_metres: fl
 
 
 def level(score: Column) -> Column:
-    return F.when(score >= 80, "excellent").when(score >= 60, "good").when(score >= 40, "fair").when(score >= 20, "poor").otherwise("unsuitable")
+    return F.when(score >= 80, "Excellent").when(score >= 60, "Good").when(score >= 40, "Moderate").when(score >= 20, "Poor").otherwise("Unsuitable")
 
 
 def site_score(df: DataFrame, scores: dict[str, str | None]) -> DataFrame:
@@ -92,15 +98,15 @@ def site_score(df: DataFrame, scores: dict[str, str | None]) -> DataFrame:
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    out = df.withColumn("score", F.round(F.round(total / sum(SCORE_WEIGHTS.values()), 6), 1))
-    return out.withColumn("level", level(F.col("score")))
+    exact = F.round(total / sum(SCORE_WEIGHTS.values()), 6)
+    return df.withColumn("level", level(exact)).withColumn("score", F.round(exact, 1))
 
 
 def sensitivity(areas: DataFrame, study_km2: float) -> DataFrame:
     """Index of buffer areas (factor, area_km2) by weight over the study area, and its class."""
     weight = F.create_map(*[F.lit(x) for k, (_, w) in SENSITIVITY.items() for x in (k, w)])
     index = areas.agg(F.coalesce(F.sum(F.col("area_km2") * weight[F.col("factor")]), F.lit(0.0)).alias("s")).select((F.col("s") / study_km2).alias("index"))
-    cut = F.when(F.col("index") > 0.30, "high").when(F.col("index") > 0.15, "medium").when(F.col("index") > 0.05, "low").otherwise("none")
+    cut = F.when(F.col("index") >= 0.3, "Highly Sensitive").when(F.col("index") >= 0.15, "Moderately Sensitive").when(F.col("index") >= 0.05, "Low Sensitivity").otherwise("Minimal Sensitivity")
     return index.withColumn("class", cut)
 
 

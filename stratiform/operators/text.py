@@ -116,23 +116,51 @@ def placeholders(chunk_rows: DataFrame) -> DataFrame:
     return need.join(chunk_rows.select("doc_id", "path"), ["doc_id", "path"], "left_anti")
 
 
+# Titles that are a number only.
+NUMBER_ONLY = r"^第(?:\d+|[一二三四五六七八九十]|十[一二三四五])[篇章节条]$"
+
+
 def merge_heading_pairs(rows: DataFrame) -> DataFrame:
-    """Join two headings of one level that follow each other ("Chapter 1", "General") into one, greedily in pairs."""
+    """Join a Markdown heading that is a number only with the heading of its level right after it ("Chapter 1", "General").
+
+    In a run of such headings the first takes the second, the third the fourth; blank lines are dropped before.
+    """
     w = Window.partitionBy("doc_id").orderBy("pos")
-    r = rows.withColumn("level", X.heading_level(F.col("line")))
-    start = F.when(F.col("level").isNotNull() & F.col("level").eqNullSafe(F.lag("level").over(w)), 0).otherwise(1)
+    mark, title = F.regexp_extract("line", r"^(#{1,6})\s+.+$", 1), F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1))
+    r = rows.filter(F.trim("line") != "").withColumns({"_mark": mark, "_title": title})
+    opens = (F.col("_mark") != "") & F.col("_title").rlike(NUMBER_ONLY) & F.coalesce(F.lead("_mark").over(w) == F.col("_mark"), F.lit(False))
+    r = r.withColumns({"_next": F.lead("_title").over(w), "_opens": opens})
+    # runs of openers: the odd ones of a run take the line after them
+    start = F.when(F.col("_opens") & ~F.coalesce(F.lag("_opens").over(w), F.lit(False)), 1).otherwise(0)
     r = r.withColumn("_run", F.sum(start).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    r = r.withColumn("_i", F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("pos")))
-    pair = F.when(F.col("level").isNotNull(), F.floor((F.col("_i") - 1) / 2)).otherwise(F.col("_i"))
-    parts = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    g = r.withColumn("_pair", pair).groupBy("doc_id", "_run", "_pair").agg(F.min("pos").alias("pos"), parts.alias("p"))
-    first, rest = F.col("p")[0]["line"], F.transform(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), lambda x: F.regexp_replace(x["line"], r"^#+\s*", ""))
-    return g.select("doc_id", "pos", F.concat_ws(" ", F.array(first), rest).alias("line"))
+    r = r.withColumn("_odd", F.col("_opens") & (F.row_number().over(Window.partitionBy("doc_id", "_run").orderBy("pos")) % 2 == 1))
+    taken = F.coalesce(F.lag("_odd").over(w), F.lit(False))
+    line = F.when(F.col("_odd"), F.concat_ws(" ", "_mark", "_title", "_next")).otherwise(F.col("line"))
+    return r.withColumn("_taken", taken).filter(~F.col("_taken")).select("doc_id", "pos", line.alias("line"))
+
+
+def blank_after_headings(rows: DataFrame) -> DataFrame:
+    """Text of each document with a blank line after each heading that no other heading follows."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    heading = F.col("line").rlike("^#{1,6}")
+    following = F.lead("line").over(w)
+    out = rows.withColumn("line", F.when(heading & following.isNotNull() & ~following.rlike("^#{1,6}"), F.concat("line", F.lit("\n"))).otherwise(F.col("line")))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "line")))  # the lines of one document
+    return out.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("content"))
+
 
+def table_numbers(rows: DataFrame, by: str, block: int = 1000) -> DataFrame:
+    """Number tables (runs of rows with a bar) of each ``by``: (…, table_no) on the rows that are in one.
 
-def table_numbers(rows: DataFrame, by: str) -> DataFrame:
-    """Number tables (runs of rows with a bar) of each ``by``: (…, table_no) on the rows that are in one."""
-    w = Window.partitionBy(by).orderBy("doc_id", "pos")
+    Tables are numbered within documents; the numbers before come from prefix sums over ranges of
+    ``block`` doc_ids and over the documents of a range, so no task sees all rows of a ``by``.
+    """
+    w = Window.partitionBy(by, "doc_id").orderBy("pos")
     r = rows.withColumn("in_table", F.col("line").contains("|"))
-    start = F.col("in_table") & ~F.coalesce(F.lag("in_table").over(w) & (F.lag("doc_id").over(w) == F.col("doc_id")), F.lit(False))
-    return r.withColumn("table_no", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("in_table")
+    start = F.col("in_table") & ~F.coalesce(F.lag("in_table").over(w), F.lit(False))
+    r = r.withColumn("_no", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("in_table")
+    per_doc = r.groupBy(by, "doc_id").agg(F.max("_no").alias("_t")).withColumn("_b", F.floor(F.col("doc_id") / block))
+    before = lambda *p: F.coalesce(F.sum("_t").over(Window.partitionBy(by, *p[:-1]).orderBy(p[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = per_doc.groupBy(by, "_b").agg(F.sum("_t").alias("_t")).withColumn("_r", before("_b")).drop("_t")
+    docs = per_doc.withColumn("_d", before("_b", "doc_id")).join(ranges, [by, "_b"]).select(by, "doc_id", (F.col("_d") + F.col("_r")).alias("_before"))
+    return r.join(docs, [by, "doc_id"]).withColumn("table_no", F.col("_no") + F.col("_before")).drop("_no", "_before")

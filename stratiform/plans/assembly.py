@@ -23,10 +23,10 @@ def enriched_titles(spark, sf_dir):
     return A.enrich(o, known, "source_id", {"title": name}).select("ref_id", "title")
 
 
-@query("layer_report_text", "SELECT source, count(*) AS n, md5(string_agg(left(text, 30), chr(10) || chr(10) ORDER BY doc_id)) AS content_md5 FROM documents GROUP BY 1")
+@query("layer_report_text", "SELECT source, doc_id // 20 AS layer, count(*) AS n, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS content_md5 FROM documents GROUP BY 1, 2")
 def layer_report_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.left("text", F.lit(30)).alias("head"))
-    return A.joined_text(d, ["source"], "doc_id", "head").select("source", "n", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    d = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 20).cast("long").alias("layer"), "doc_id", "text")
+    return A.joined_text(d, ["source", "layer"], "doc_id", "text").select("source", "layer", "n", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 @query("title_sets", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS titles FROM nation GROUP BY 1")
@@ -34,20 +34,25 @@ def title_sets(spark, sf_dir):
     return A.title_sets(table(spark, sf_dir, "nation"), "n_regionkey", "n_name").select("n_regionkey", F.array_join("titles", ",").alias("titles"))
 
 
-_RUN = "r AS (SELECT source, lang, doc_id, sum(new) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT source, lang, doc_id, CASE WHEN lag(lang) OVER (PARTITION BY source ORDER BY doc_id) IS NOT DISTINCT FROM lang THEN 0 ELSE 1 END AS new FROM documents))"
+_RUN = "d AS (SELECT source || '-' || (doc_id // 50) AS plan, lang, doc_id FROM documents), r AS (SELECT plan, lang, doc_id, sum(new) OVER (PARTITION BY plan ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT plan, lang, doc_id, CASE WHEN lag(lang) OVER (PARTITION BY plan ORDER BY doc_id) IS NOT DISTINCT FROM lang THEN 0 ELSE 1 END AS new FROM d))"
 
 
-@query("chapter_nesting", f"WITH {_RUN} SELECT source, max(run)::INTEGER AS n_chapters, count(*)::INTEGER AS n_articles, arg_min(lang, doc_id) AS first_chapter FROM r GROUP BY 1")
+def articles(spark, sf_dir):
+    """A plan is the articles of one source in a range of ids, as many as a plan has."""
+    plan = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 50).cast("string"))
+    return table(spark, sf_dir, "documents").select(plan.alias("plan"), "doc_id", "lang", "n_chars")
+
+
+@query("chapter_nesting", f"WITH {_RUN} SELECT plan, max(run)::INTEGER AS n_chapters, count(*)::INTEGER AS n_articles, arg_min(lang, doc_id) AS first_chapter FROM r GROUP BY 1")
 def chapter_nesting(spark, sf_dir):
-    nested = A.chapters(table(spark, sf_dir, "documents").select("source", "doc_id", "lang", "n_chars"), "source", "doc_id", "lang", ["n_chars"])
+    nested = A.chapters(articles(spark, sf_dir), "plan", "doc_id", "lang", ["n_chars"])
     total = F.aggregate("chapters", F.lit(0), lambda s, c: s + F.size(c["articles"]))
-    return nested.select("source", F.size("chapters").alias("n_chapters"), total.alias("n_articles"), F.col("chapters")[0]["chapter"].alias("first_chapter"))
+    return nested.select("plan", F.size("chapters").alias("n_chapters"), total.alias("n_articles"), F.col("chapters")[0]["chapter"].alias("first_chapter"))
 
 
 @query("plan_json")
 def plan_json(spark, sf_dir):
-    nested = A.chapters(table(spark, sf_dir, "documents").select("source", "doc_id", "lang", "n_chars"), "source", "doc_id", "lang", ["n_chars"])
-    return A.plan_json(nested, "source")
+    return A.plan_json(A.chapters(articles(spark, sf_dir), "plan", "doc_id", "lang", ["n_chars"]), "plan")
 
 
 @query("region_outline", "SELECT r_name, count(n_nationkey) AS n, string_agg(n_name, '; ' ORDER BY n_nationkey) AS articles FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")

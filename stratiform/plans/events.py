@@ -34,9 +34,9 @@ def heartbeat_gaps(spark, sf_dir):
     return V.silences(table(spark, sf_dir, "events"), "user_id", "ts", ["ts", "event_id"]).select("user_id", "event_id", F.round("gap_s", 3).alias("gap_s"), "beats")
 
 
-@query("accumulate_text", "SELECT conv_id, turn, string_agg(left(text, 20), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS accumulated FROM conversations")
+@query("accumulate_text", "SELECT conv_id, turn, string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS accumulated FROM conversations")
 def accumulate_text(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.left("text", F.lit(20)).alias("piece"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("piece"))
     return V.accumulate(c, ["conv_id"], ["turn"], "piece").select("conv_id", "turn", "accumulated")
 
 

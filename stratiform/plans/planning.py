@@ -37,8 +37,8 @@ def saved_layers(spark, sf_dir):
     return N.saved_layers(numbered(spark, sf_dir).withColumn("kind", kind), "user_id", "kind", "event_id")
 
 
-@query("summary_parse", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN length(source) ELSE length(left(text, 300)) END::INTEGER AS word_count, CASE WHEN doc_id % 2 = 0 THEN source ELSE left(text, 200) END AS text_summary FROM documents")
+@query("summary_parse", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN length(source) ELSE length(text) END::INTEGER AS word_count, CASE WHEN doc_id % 2 = 0 THEN source ELSE left(text, 200) END AS text_summary FROM documents")
 def summary_parse(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("summary", F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("source").alias("summary")))).otherwise(F.left("text", F.lit(300))))
+    d = table(spark, sf_dir, "documents").withColumn("summary", F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("source").alias("summary")))).otherwise(F.col("text")))
     p = N.parse_summary(F.col("summary"), F.col("lang"), F.lit(1))
     return d.select("doc_id", p["word_count"].alias("word_count"), p["text_summary"].alias("text_summary"))

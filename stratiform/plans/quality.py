@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from stratiform.functions import stats as X
-from stratiform.operators import quality as Q
+from stratiform.operators import citations as C, quality as Q
 from stratiform.plans.base import query, table
 
-_G = "g AS (SELECT l_returnflag AS grp, l_linenumber AS iter, l_extendedprice / 1000.0 AS value FROM lineitem WHERE l_linenumber <= 7 AND l_orderkey % 10 = 1)"
+_G = "g AS (SELECT l_returnflag AS grp, l_linenumber AS iter, l_extendedprice / 1000.0 AS value FROM lineitem)"
 
 
 def samples(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 7 and l_orderkey % 10 = 1")
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_returnflag").alias("grp"), F.col("l_linenumber").alias("iter"), (F.col("l_extendedprice") / 1000.0).alias("value"))
 
 
@@ -43,12 +43,6 @@ def cohens_d_plain(spark, sf_dir):
     return _sides(spark, sf_dir).select(F.col("grp2").alias("grp"), F.round(X.cohens_d_plain(F.col("m1"), F.col("v1"), F.col("m2"), F.col("v2")), 6).alias("d"))
 
 
-@query("compare_groups", f"{_A} SELECT b.grp, round(b.m - a.m, 6) AS diff, round((b.m - a.m) / a.m * 100, 4) AS percent FROM s a, s b WHERE a.grp = 'A' AND b.grp <> 'A'")
-def compare_groups(spark, sf_dir):
-    diff = F.col("m2") - F.col("m1")
-    return _sides(spark, sf_dir).select(F.col("grp2").alias("grp"), F.round(diff, 6).alias("diff"), F.round(diff / F.col("m1") * 100, 4).alias("percent"))
-
-
 _PAIR = f"""WITH {_G}, i AS (SELECT grp, iter, avg(value) AS value FROM g GROUP BY 1, 2), p AS (SELECT b.grp, b.iter, b.value - a.value AS d FROM i a JOIN i b USING (iter) WHERE a.grp = 'A' AND b.grp <> 'A'),
  t AS (SELECT grp, count(*) AS n, CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) ELSE 0 END AS t FROM p GROUP BY 1)"""
 
@@ -59,12 +53,26 @@ def _paired(spark, sf_dir):
     return i.filter("grp <> 'A'").join(a, "iter").withColumn("d", F.col("value") - F.col("base")).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), X.paired_t(F.col("d")).alias("t"))
 
 
+_P = "CASE WHEN n - 1 >= 30 THEN CASE WHEN abs(t) > 3.29 THEN 0.001 WHEN abs(t) > 2.58 THEN 0.01 WHEN abs(t) > 1.96 THEN 0.05 ELSE 0.1 END ELSE CASE WHEN abs(t) > 4 THEN 0.001 WHEN abs(t) > 3 THEN 0.01 WHEN abs(t) > 2 THEN 0.05 ELSE 0.1 END END::DOUBLE"
+
+
+@query("compare_groups", f"""{_PAIR}, s AS (SELECT grp, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM g GROUP BY 1), w AS (SELECT b.grp, a.m - b.m AS diff, CASE WHEN b.m <> 0 THEN (a.m - b.m) / b.m * 100 ELSE 0 END AS percent,
+ (a.m - b.m) / CASE WHEN ((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) > 0 THEN sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) ELSE 0.001 END AS d FROM s a, s b WHERE a.grp = 'A' AND b.grp <> 'A'), p AS (SELECT grp, -t AS t, {_P} AS p FROM t)
+ SELECT grp, round(diff, 6) AS diff, round(percent, 4) AS percent, round(d, 6) AS d, round(t, 6) AS t, p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM w JOIN p USING (grp)""".replace("p AS (SELECT grp, -t", "q AS (SELECT grp, -t").replace("w JOIN p USING", "w JOIN q USING"))
+def compare_groups(spark, sf_dir):
+    """Group A against each other group."""
+    diff = F.col("m1") - F.col("m2")
+    w = _sides(spark, sf_dir).select(F.col("grp2").alias("grp"), diff.alias("diff"), F.when(F.col("m2") != 0, diff / F.col("m2") * 100).otherwise(0.0).alias("percent"), X.cohens_d_weighted(*(F.col(c) for c in ("n2", "m2", "v2", "n1", "m1", "v1"))).alias("d"))
+    t = _paired(spark, sf_dir).select("grp", (-F.col("t")).alias("t"), X.p_step(F.col("t"), F.col("n") - 1).alias("p"))
+    return w.join(t, "grp").select("grp", F.round("diff", 6).alias("diff"), F.round("percent", 4).alias("percent"), F.round("d", 6).alias("d"), F.round("t", 6).alias("t"), "p", X.stars(F.col("p")).alias("stars"))
+
+
 @query("paired_t", f"{_PAIR} SELECT grp, n, round(t, 6) AS t FROM t")
 def paired_t(spark, sf_dir):
     return _paired(spark, sf_dir).select("grp", "n", F.round("t", 6).alias("t"))
 
 
-@query("p_step", f"{_PAIR} SELECT grp, CASE WHEN n - 1 <= 2 THEN CASE WHEN abs(t) > 4.303 THEN 0.01 WHEN abs(t) > 2.92 THEN 0.05 WHEN abs(t) > 1.886 THEN 0.1 ELSE 0.2 END ELSE CASE WHEN abs(t) > 2.576 THEN 0.01 WHEN abs(t) > 1.96 THEN 0.05 WHEN abs(t) > 1.645 THEN 0.1 ELSE 0.2 END END::DOUBLE AS p FROM t")
+@query("p_step", f"{_PAIR} SELECT grp, {_P} AS p FROM t")
 def p_step(spark, sf_dir):
     return _paired(spark, sf_dir).select("grp", X.p_step(F.col("t"), F.col("n") - 1).alias("p"))
 
@@ -84,25 +92,54 @@ def sentence_claims(spark, sf_dir):
     return Q.claims(s, Q.ENGLISH_CLAIMS).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("faithfulness", f"WITH {_SENT}, c AS (SELECT doc_id, contains(lower(s), ' the ') OR contains(lower(s), ' de ') AS ok FROM sent WHERE contains(s, ',')) SELECT d.doc_id, count(c.doc_id) AS n_claims, round(coalesce(sum(c.ok::INTEGER)::DOUBLE / count(c.doc_id), 1.0), 6) AS faithfulness FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1")
+#: Evidence, marks of depth and words of the English texts here; the rules are those of planning texts.
+EVIDENCE = {"number": r"[0-9]+", "name": r"[A-Z][a-z]{5,}"}
+DEPTH = {"marks": {r"[0-9]+ ?%|[0-9]{4}": 1.0, r"(?i)license": 0.5, r"[A-Z]{3,}": 0.5}, "methods": ["tion", "que", "und"], "advice": ["the", "for", "que", "ing", "ent", "al"]}
+
+
+@query("faithfulness", f"""WITH {_SENT}, x AS (SELECT s.doc_id, s.s, b.text AS ctx FROM sent s LEFT JOIN documents b ON b.doc_id = s.doc_id + 1 WHERE contains(s, ',') OR regexp_matches(s, '[0-9]')),
+ c AS (SELECT doc_id, coalesce(len(list_filter(list_concat(regexp_extract_all(s, '[0-9]+'), regexp_extract_all(s, '[A-Z][a-z]{{5,}}')), lambda e: contains(ctx, e))) > 0, false) AS ok FROM x)
+ SELECT d.doc_id, count(c.doc_id) AS n_claims, round(coalesce(sum(c.ok::INTEGER)::DOUBLE / count(c.doc_id), 1.0), 6) AS faithfulness FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1""")
 def faithfulness(spark, sf_dir):
+    """Claims of each document that the next document supports."""
     d = table(spark, sf_dir, "documents")
-    s = Q.sentences(d, r"[.!?\n]", 10).filter(F.col("sentence").contains(","))
-    ok = F.lower("sentence").contains(" the ") | F.lower("sentence").contains(" de ")
-    return Q.support_rate(d.select("doc_id"), s.withColumn("supported", ok), "doc_id")
+    s = Q.sentences(d, r"[.!?\n]", 10).filter(F.col("sentence").contains(",") | F.col("sentence").rlike("[0-9]"))
+    context = table(spark, sf_dir, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("context"))
+    s = s.join(context, "doc_id", "left").withColumn("supported", Q.support(F.col("sentence"), F.col("context"), EVIDENCE).isNotNull())
+    return Q.support_rate(d.select("doc_id"), s, "doc_id")
 
 
-@query("depth_score", """SELECT doc_id, least(5, 1 + (length(text) > 500)::INTEGER + (length(text) > 2000)::INTEGER + regexp_matches(text, '[0-9]')::INTEGER + contains(text, '|')::INTEGER + (len(string_split(text, chr(10))) >= 5)::INTEGER)::INTEGER AS depth FROM documents""")
+@query("depth_score", """SELECT doc_id, round(least(5.0::DOUBLE, 1.0::DOUBLE + CASE WHEN regexp_matches(text, '[0-9]+ ?%|[0-9]{4}') THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)license') THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(text, '[A-Z]{3,}') THEN 0.5::DOUBLE ELSE 0 END
+ + least(1.0::DOUBLE, 0.5::DOUBLE * (contains(text, 'tion')::INTEGER + contains(text, 'que')::INTEGER + contains(text, 'und')::INTEGER)) + least(1.0::DOUBLE, 0.2::DOUBLE * (contains(text, 'the')::INTEGER + contains(text, 'for')::INTEGER + contains(text, 'que')::INTEGER + contains(text, 'ing')::INTEGER + contains(text, 'ent')::INTEGER + contains(text, 'al')::INTEGER))), 6) AS depth FROM documents""")
 def depth_score(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", Q.depth(F.col("text")).alias("depth"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(Q.depth(F.col("text"), DEPTH), 6).alias("depth"))
 
 
-@query("token_overlap", """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 2000)), '[a-z]{3,}')) AS t FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS t FROM benchmark WHERE item_id < 5)
+@query("token_overlap", """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS t FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS t FROM benchmark WHERE item_id % 20 = 0)
  SELECT doc_id, item_id, round(CASE WHEN least(len(w.t), len(b.t)) > 0 THEN len(list_intersect(w.t, b.t))::DOUBLE / least(len(w.t), len(b.t)) ELSE 0 END, 6) AS overlap FROM w, b""")
 def token_overlap(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", Q.tokens(F.lower(F.left("text", F.lit(2000)))).alias("a"))
-    b = table(spark, sf_dir, "benchmark").filter("item_id < 5").select("item_id", Q.tokens(F.lower("text")).alias("b"))
-    return d.crossJoin(F.broadcast(b)).select("doc_id", "item_id", F.round(Q.overlap(F.col("a"), F.col("b")), 6).alias("overlap"))  # five stated items
+    """All documents with every 20th item of the benchmark."""
+    d = table(spark, sf_dir, "documents").select("doc_id", Q.tokens(F.lower("text")).alias("a"))
+    b = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select("item_id", Q.tokens(F.lower("text")).alias("b"))
+    return d.crossJoin(b).select("doc_id", "item_id", F.round(Q.overlap(F.col("a"), F.col("b")), 6).alias("overlap"))  # a stated query set
+
+
+@query("zipped_pairs", "SELECT a.l_orderkey AS order_id, count(*) AS n, round(avg(a.l_quantity - b.l_quantity), 6) AS mean_diff FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey + 1 AND a.l_linenumber = b.l_linenumber GROUP BY 1")
+def zipped_pairs(spark, sf_dir):
+    """Values of one order with those of the next by position, as far as both go."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("x"))
+    nxt = li.select((F.col("order_id") - 1).alias("order_id"), "pos", F.col("x").alias("y"))
+    return li.join(nxt, ["order_id", "pos"]).groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("x") - F.col("y")), 6).alias("mean_diff"))
+
+
+_CITED = {"law": [r"[A-Z][a-z]+ License", r"All rights reserved"], "standard": [r"[A-Z]{2,}[ -]?[0-9]+"], "indicator": [r"[0-9]+ ?%"]}
+
+
+@query("citation_extract", """WITH c AS (SELECT DISTINCT doc_id, kind, unnest(list_concat(regexp_extract_all(text, p), CASE WHEN q <> '' THEN regexp_extract_all(text, q) ELSE [] END)) AS citation FROM documents,
+ (VALUES ('law', '[A-Z][a-z]+ License', 'All rights reserved'), ('standard', '[A-Z]{2,}[ -]?[0-9]+', ''), ('indicator', '[0-9]+ ?%', '')) v(kind, p, q)), p AS (SELECT c.*, strpos(text, citation) - 1 AS position, text FROM c JOIN documents USING (doc_id))
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY position, kind, citation))::INTEGER AS "order", position::INTEGER AS position, kind, citation, substr(text, greatest(0, position - 100) + 1, position + length(citation) + 100 - greatest(0, position - 100)) AS context FROM p""")
+def citation_extract(spark, sf_dir):
+    return C.extract(table(spark, sf_dir, "documents"), _CITED)
 
 
 @query("feedback_score", """WITH x AS (SELECT a.doc_id, a.text AS new, b.text AS old FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
@@ -135,6 +172,6 @@ def quality_by_label(spark, sf_dir):
 
 @query("change_degree")
 def change_degree(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("length(text) < 1500").select("doc_id", F.col("text").alias("new"))
-    old = table(spark, sf_dir, "documents").filter("length(text) < 1500").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("old"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("new"))
+    old = table(spark, sf_dir, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("old"))
     return d.join(old, "doc_id").select("doc_id", F.round(Q.change_degree(F.col("old"), F.col("new")), 6).alias("change"))

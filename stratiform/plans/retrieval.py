@@ -8,13 +8,13 @@ from stratiform.operators import retrieval as R
 from stratiform.plans.base import query, table
 
 _S = """s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label AS doc_type, e.vec_id // 10 AS parent_id,
- round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda t: (t[1]::DOUBLE - t[2]::DOUBLE) * (t[1]::DOUBLE - t[2]::DOUBLE))), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q)"""
+ round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda t: (t[1]::DOUBLE - t[2]::DOUBLE) * (t[1]::DOUBLE - t[2]::DOUBLE))), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)"""
 _T = "t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS r0 FROM s), k AS (SELECT query_id, chunk_id, doc_type, parent_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id))::INTEGER AS rank FROM t WHERE r0 <= 10 AND score <= 1.6)"
 
 
 def scores(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     passages = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_type"), F.floor(F.col("vec_id") / 10).cast("long").alias("parent_id"), "embedding")
     return R.scored(queries, passages)
 
@@ -60,14 +60,14 @@ def calibrate_median(spark, sf_dir):
     return m.select(F.round("m", 6).alias("offset_cos"), F.round(1 - F.col("m"), 6).alias("scale"))
 
 
-@query("chunk_ancestors", "SELECT vec_id AS chunk_id, vec_id // (CASE d WHEN 1 THEN 10 WHEN 2 THEN 100 ELSE 1000 END) AS ancestor_id, d AS distance FROM embeddings, (VALUES (1), (2)) v(d) WHERE (d = 1 AND vec_id >= 10) OR (d = 2 AND vec_id >= 100)")
+@query("chunk_ancestors", "WITH RECURSIVE a AS (SELECT vec_id AS chunk_id, vec_id // 10 AS ancestor_id, 1 AS distance FROM embeddings WHERE vec_id >= 10 UNION ALL SELECT chunk_id, ancestor_id // 10, distance + 1 FROM a WHERE ancestor_id >= 10) SELECT * FROM a")
 def chunk_ancestors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"))
     tree = e.withColumn("parent_id", F.when(F.col("chunk_id") >= 10, F.floor(F.col("chunk_id") / 10)).cast("long"))
-    return R.ancestors(tree, 4)
+    return R.ancestors(tree)
 
 
-@query("parent_context", "SELECT lang AS parent_id, count(*) AS n, left(string_agg(left(text, 40), chr(10) ORDER BY doc_id), 2000) || CASE WHEN length(string_agg(left(text, 40), chr(10) ORDER BY doc_id)) > 2000 THEN '…' ELSE '' END AS content FROM documents WHERE doc_id < 400 GROUP BY 1")
+@query("parent_context", "SELECT lang AS parent_id, count(*) AS n, left(string_agg(text, chr(10) ORDER BY doc_id), 2000) || CASE WHEN length(string_agg(text, chr(10) ORDER BY doc_id)) > 2000 THEN '…' ELSE '' END AS content FROM documents GROUP BY 1")
 def parent_context(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id < 400").select(F.col("lang").alias("parent_id"), F.col("doc_id").alias("chunk_index"), F.left("text", F.lit(40)).alias("content"))
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("parent_id"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"))
     return R.with_children(d.groupBy("parent_id").agg(F.count(F.lit(1)).alias("n")), d, 2000)

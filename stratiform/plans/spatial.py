@@ -128,8 +128,8 @@ def travel_reach(spark, sf_dir):
     return out.select("point_id", F.round("metres", 3).alias("metres"), F.round("minutes", 4).alias("minutes"), "reachable", "in_time")
 
 
-@query("site_score", """SELECT s_suppkey AS facility_id, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' WHEN score >= 20 THEN 'poor' ELSE 'unsuitable' END AS level FROM (SELECT s_suppkey, round(score, 1) AS score FROM (SELECT s_suppkey,
- round((0.30::DOUBLE * (s_suppkey % 101)::DOUBLE + 0.25::DOUBLE * coalesce(CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey * 7 % 101)::DOUBLE END, 50.0) + 0.20::DOUBLE * (s_suppkey * 13 % 101)::DOUBLE + 0.15::DOUBLE * 50.0 + 0.05::DOUBLE * 50.0 + 0.05::DOUBLE * 50.0) / 1.0::DOUBLE, 6) AS score FROM supplier))""")
+@query("site_score", """SELECT s_suppkey AS facility_id, round(score, 1) AS score, CASE WHEN score >= 80 THEN 'Excellent' WHEN score >= 60 THEN 'Good' WHEN score >= 40 THEN 'Moderate' WHEN score >= 20 THEN 'Poor' ELSE 'Unsuitable' END AS level FROM (SELECT s_suppkey,
+ round((0.30::DOUBLE * (s_suppkey % 101)::DOUBLE + 0.25::DOUBLE * coalesce(CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey * 7 % 101)::DOUBLE END, 50.0) + 0.20::DOUBLE * (s_suppkey * 13 % 101)::DOUBLE + 0.15::DOUBLE * 50.0 + 0.05::DOUBLE * 50.0 + 0.05::DOUBLE * 50.0) / 1.0::DOUBLE, 6) AS score FROM supplier)""")
 def site_score(spark, sf_dir):
     k = F.col("s_suppkey")
     s = table(spark, sf_dir, "supplier").select(k.alias("facility_id"), (k % 101).cast("double").alias("a"), F.when(k % 4 > 0, (k * 7 % 101).cast("double")).alias("b"), (k * 13 % 101).cast("double").alias("c"))

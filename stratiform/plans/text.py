@@ -22,17 +22,20 @@ def terrain_argmax(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.best_tag(F.col("text"), X.ENGLISH_WORDS, "all").alias("terrain"))
 
 
-@query("doc_type_cascade", "SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9]') THEN 'standard' WHEN contains(lower(text), 'license') THEN 'policy' WHEN contains(text, '|') THEN 'report' ELSE 'general' END AS doc_type FROM documents")
+_TYPES = " ".join(f"WHEN regexp_matches({'lower(name)' if k == 'standard' else 'name'}, '{w}') THEN '{k}'" for k, w in X.DOC_TYPES)
+_TITLES = " ".join(f"WHEN regexp_matches({'lower(name)' if k == 'standard' else 'name'}, '{w}{'|法' if k == 'policy' else ''}') THEN '{k}'" for k, w in X.DOC_TYPES)
+
+
+@query("doc_type_cascade", rf"""WITH n AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS name FROM documents)
+ SELECT doc_id, CASE WHEN regexp_matches(text, '第[一二三四五六七八九十\d]+章') THEN 'textbook' {_TYPES} ELSE 'report' END AS of_file, CASE WHEN regexp_matches(name, '(?i)[A-Z]{{2,4}}[/\-]?\d{{4,}}') THEN 'standard' {_TITLES} ELSE 'report' END AS of_title FROM n""")
 def doc_type_cascade(spark, sf_dir):
-    t = F.col("text")
-    kind = F.when(t.rlike("[0-9]"), "standard").when(F.lower(t).contains("license"), "policy").when(t.contains("|"), "report").otherwise("general")
-    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("doc_type"))
+    name = F.split("text", "\n", -1)[0]
+    return table(spark, sf_dir, "documents").select("doc_id", X.doc_type_of_file(name, F.col("text")).alias("of_file"), X.doc_type_of_title(name).alias("of_title"))
 
 
-@query("metrics_extract", "SELECT doc_id, try_cast(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS DOUBLE) AS first_number, len(regexp_extract_all(text, '[0-9]+'))::BIGINT AS n_numbers FROM documents")
+@query("metrics_extract", "SELECT doc_id, " + ", ".join(f"try_cast(nullif(regexp_extract(text, '{p}', 1), '') AS DOUBLE) AS {k}" for k, p in X.METRICS.items()) + " FROM documents")
 def metrics_extract(spark, sf_dir):
-    n = F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", X.first_number(F.col("text"), "([0-9]+)").alias("first_number"), n.alias("n_numbers"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[v.alias(k) for k, v in X.metrics(F.col("text")).items()])
 
 
 @query("document_lines", "SELECT doc_id, i - 1 AS pos, md5(l[i]) AS line_md5 FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1))::INTEGER AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
@@ -48,23 +51,22 @@ def clean_lines(spark, sf_dir):
     return O.clean_lines(O.lines(table(spark, sf_dir, "documents")), "^All rights", "License", 2).select("doc_id", "pos")
 
 
-_HP = f"""{_L}, h AS (SELECT doc_id, pos, CASE WHEN pos % 7 = 0 THEN '# ' || left(line, 10) WHEN pos % 3 = 0 THEN '## ' || left(line, 10) ELSE left(line, 10) END AS line FROM l),
+_HP = f"""{_L}, h AS (SELECT doc_id, pos, CASE WHEN pos % 7 = 0 THEN '# ' || line WHEN pos % 3 = 0 THEN '## ' || line ELSE 'x' || line END AS line FROM l),
  g AS (SELECT *, CASE WHEN starts_with(line, '# ') THEN 1 WHEN starts_with(line, '## ') THEN 2 END AS level FROM h)"""
 
 
 def _headed(spark, sf_dir):
     r = O.lines(table(spark, sf_dir, "documents"))
-    cut = F.left("line", F.lit(10))
-    return r.withColumn("line", F.when(F.col("pos") % 7 == 0, F.concat(F.lit("# "), cut)).when(F.col("pos") % 3 == 0, F.concat(F.lit("## "), cut)).otherwise(F.concat(F.lit("x"), cut)))
+    return r.withColumn("line", F.when(F.col("pos") % 7 == 0, F.concat(F.lit("# "), "line")).when(F.col("pos") % 3 == 0, F.concat(F.lit("## "), "line")).otherwise(F.concat(F.lit("x"), "line")))
 
 
-@query("heading_path", f"""WITH {_HP.replace("ELSE left(line, 10)", "ELSE 'x' || left(line, 10)")}, p AS (SELECT doc_id, pos, level, last_value(CASE WHEN level = 1 THEN pos END IGNORE NULLS) OVER w AS p1, last_value(CASE WHEN level <= 2 THEN pos END IGNORE NULLS) OVER w AS p2 FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+@query("heading_path", f"""WITH {_HP}, p AS (SELECT doc_id, pos, level, last_value(CASE WHEN level = 1 THEN pos END IGNORE NULLS) OVER w AS p1, last_value(CASE WHEN level <= 2 THEN pos END IGNORE NULLS) OVER w AS p2 FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
  SELECT p.doc_id, p.pos, p.level, ltrim(a.line[2:]) AS h1, CASE WHEN b.level = 2 THEN ltrim(b.line[3:]) END AS h2 FROM p LEFT JOIN g a ON a.doc_id = p.doc_id AND a.pos = p.p1 LEFT JOIN g b ON b.doc_id = p.doc_id AND b.pos = p.p2""")
 def heading_path(spark, sf_dir):
     return O.heading_paths(_headed(spark, sf_dir)).select("doc_id", "pos", "level", "h1", "h2")
 
 
-@query("section_sizes", f"""WITH {_HP.replace("ELSE left(line, 10)", "ELSE 'x' || left(line, 10)")}, s AS (SELECT doc_id, count(level) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section, pos, line FROM g)
+@query("section_sizes", f"""WITH {_HP}, s AS (SELECT doc_id, count(level) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section, pos, line FROM g)
  SELECT doc_id, section, md5(string_agg(line, chr(10) ORDER BY pos)) AS content_md5 FROM s GROUP BY 1, 2""")
 def section_sizes(spark, sf_dir):
     return O.sections(_headed(spark, sf_dir)).select("doc_id", "section", F.md5(F.col("content").cast("binary")).alias("content_md5"))
@@ -109,7 +111,7 @@ def depth_histogram(spark, sf_dir):
     return O.lines(d).join(d.select("doc_id", "lang"), "doc_id").groupBy("lang", F.least("pos", F.lit(4)).alias("depth")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("phrase_frequency", "SELECT lang, p, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[a-z]{6,8}')) AS p FROM documents) GROUP BY 1, 2 HAVING count(*) >= 5")
+@query("phrase_frequency", "SELECT lang, p, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[a-z]{6,8}')) AS p FROM documents) GROUP BY 1, 2 HAVING count(*) >= 2")
 def phrase_frequency(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[a-z]{6,8}"), F.lit(0))).alias("p"))
-    return d.groupBy("lang", "p").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    return d.groupBy("lang", "p").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")

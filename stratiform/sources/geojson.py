@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Words in a layer's properties by the kind of layer they tell.
-LAYER_WORDS = {"hazard": ["灾害", "hazard"], "protection": ["BUFF_DIST", "保护"], "water": ["HYDC", "water"], "road": ["RN", "highway"], "annotation": ["注记", "text"]}
+# Properties that tell a layer's kind, by the geometry of its first feature, and the kind without them.
+LAYER_KINDS = {
+    "Polygon": ([("boundary", ["boundary", "admin_level"]), ("water", ["water", "waterway"]), ("road", ["highway"])], "boundary"),
+    "LineString": ([("road", ["highway", "railway"]), ("water", ["waterway"])], "road"),
+    "Point": ([("residential", ["place", "building"])], None),
+}
 FEATURE = "struct<type: string, features: array<struct<geometry: struct<type: string, coordinates: string>, properties: string>>>"
 
 
@@ -20,21 +24,24 @@ def point(coordinates: Column) -> Column:
     return F.from_json(coordinates, "array<double>")
 
 
-def outer_ring(geometry_type: Column, coordinates: Column) -> Column:
-    """First ring of a polygon, or of the first polygon of several."""
+def outer_rings(geometry_type: Column, coordinates: Column) -> Column:
+    """Outer ring of a polygon, or of each polygon of several; null for other geometries."""
     one = F.from_json(coordinates, "array<array<array<double>>>")
     many = F.from_json(coordinates, "array<array<array<array<double>>>>")
-    return F.when(geometry_type == "Polygon", F.try_element_at(one, F.lit(1))).when(geometry_type == "MultiPolygon", F.try_element_at(F.try_element_at(many, F.lit(1)), F.lit(1)))
+    return F.when(geometry_type == "Polygon", F.array(F.try_element_at(one, F.lit(1)))).when(geometry_type == "MultiPolygon", F.transform(many, lambda p: F.try_element_at(p, F.lit(1))))
 
 
-def layer_kind(properties: Column) -> Column:
+def layer_kind(geometry_type: Column, properties: Column) -> Column:
+    """boundary, road, water or residential of a layer's first feature; null if it tells none. Empty, zero and false properties count as absent."""
     out = None
-    for kind, words in LAYER_WORDS.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | properties.contains(w)
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.otherwise("unknown")
+    for geometry, (kinds, otherwise) in LAYER_KINDS.items():
+        kind = F.lit(otherwise).cast("string")
+        for name, keys in reversed(kinds):
+            given = [F.coalesce(~F.get_json_object(properties, f"$.{k}").isin("", "0", "false", "null", "[]", "{}"), F.lit(False)) for k in keys]
+            kind = F.when(given[0] if len(given) == 1 else given[0] | given[1], name).otherwise(kind)
+        mine = (geometry_type == geometry) | ((geometry_type == f"Multi{geometry}") & F.lit(geometry != "Point"))
+        out = F.when(mine, kind) if out is None else out.when(mine, kind)
+    return out
 
 
 def point_features(df: DataFrame, lon: str, lat: str) -> DataFrame:

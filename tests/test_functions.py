@@ -1,13 +1,14 @@
 """Golden values worked out by hand, and properties."""
 
 import math
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from stratiform.functions import geo, stats, text as X
-from stratiform.operators import graph, quality, spatial, store, text as O
+from stratiform.operators import assemble, citations, graph, quality, retrieval, spatial, store, text as O
 from stratiform.sources import files, geojson, sinks
 from stratiform.streaming import events
 
@@ -45,7 +46,54 @@ def test_statistics(spark):
     assert stats.two_sided_p(2.776, 4) == pytest.approx(0.05, abs=1e-4)
     assert stats.two_sided_p(12.706, 1) == pytest.approx(0.05, abs=1e-4)
     r = one(spark, stats.p_step(F.lit(5.0), F.lit(2)), stats.cohens_d_plain(F.lit(1.0), F.lit(4.0), F.lit(3.0), F.lit(4.0)), stats.cohens_d_weighted(F.lit(3), F.lit(1.0), F.lit(0.0), F.lit(3), F.lit(2.0), F.lit(0.0)), stats.cohens_d_plain(F.lit(1.0), F.lit(0.0), F.lit(3.0), F.lit(0.0)))
-    assert list(r) == [0.01, 1.0, 1000.0, 0.0]
+    assert list(r) == [0.001, 1.0, 1000.0, 0.0]
+
+
+def test_p_steps_and_effects(spark):
+    steps = one(spark, *[stats.p_step(F.lit(t), F.lit(df)) for t, df in ((4.1, 5), (-3.5, 29), (2.1, 2), (2.0, 2), (3.3, 30), (2.6, 40), (-1.97, 30), (1.9, 99))])
+    assert list(steps) == [0.001, 0.01, 0.05, 0.1, 0.001, 0.01, 0.05, 0.1]
+    words = one(spark, *[stats.effect_word(F.lit(d)) for d in (0.9, 0.5, 0.2, 0.1, -3.0)], *[stats.stars(F.lit(p)) for p in (0.0005, 0.001, 0.01, 0.05)])
+    assert list(words) == ["large", "medium", "small", "negligible", "negligible", "***", "**", "*", "ns"]
+    assert one(spark, stats.t_quantile(F.lit(4)))[0] == pytest.approx(2.776445, abs=1e-5)
+
+
+def test_claims_depth_and_support(spark):
+    texts = ["村庄道路密度为8.5米每公顷，现状。", "根据《土地管理法》第三十二条规定须办理手续。", "短句5米", "没有任何具体内容的一句普通文字描述啊"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["kind"]) for r in quality.claims(quality.sentences(df, r"[。！？\n]", 10), quality.CHINESE_CLAIMS).collect())
+    assert got == [(0, "number"), (1, "duty"), (1, "law")]
+    t = F.lit("采用分析方法，按 GB 50188 与《镇规划标准》，道路 8 米，建议加宽，应保留。")
+    r = one(spark, quality.depth(t), quality.depth(F.lit("无")), quality.depth_reason(t, F.lit(4.6)), quality.depth_reason(F.lit("无"), F.lit(1.0)))
+    assert r[0] == pytest.approx(1 + 1 + 0.5 + 0.5 + 1.0 + 0.4) and r[1] == 1.0
+    assert r[2] == "评分 4.6 分：包含具体数值指标, 引用法规文件, 引用技术标准, 包含技术方法描述" and r[3] == "评分 1.0 分：缺乏具体技术内容"
+    r = one(spark, *[quality.support(F.lit(c), F.lit("密度 6.4，依《镇规划标准》与GB 50188")) for c in ("约6.4公里", "依《镇规划标准》执行", "见GB 50188", "长 9 米", "无")])
+    assert list(r) == ["6.4", "《镇规划标准》", "50188", None, None]
+
+
+def test_citations(spark):
+    text = "根据《土地管理法》第三条，道路不低于 8 米。参考《镇规划标准》GB 50188-2007，另见《土地管理法》。"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "无")], "doc_id long, text string")
+    rows = citations.extract(df).orderBy("order").collect()
+    assert [(r["kind"], r["citation"], r["position"]) for r in rows] == [("law", "《土地管理法》", 2), ("clause", "第三条", 9), ("indicator", "不低于 8 米", 15), ("law", "《镇规划标准》", 25), ("standard", "GB 50188-2007", 32)]
+    assert rows[0]["context"] == text and all(r["citation"] in r["context"] for r in rows)
+    kb = F.lit("土地管理法规定，GB50188 2007 适用。不低于 8 米的道路")
+    c = citations.extract(df)
+    c = c.withColumn("exists_in_kb", citations.exists_in(F.col("kind"), F.col("citation"), kb)).withColumn("accuracy", citations.accuracy(F.col("exists_in_kb"), F.col("citation"), F.col("context"), kb)).withColumn("support_type", citations.support_type(F.substring("context", F.col("position") - 1, F.lit(9))))
+    got = {r["citation"]: r for r in c.collect()}
+    assert {k: v["exists_in_kb"] for k, v in got.items()} == {"《土地管理法》": True, "第三条": False, "不低于 8 米": True, "《镇规划标准》": False, "GB 50188-2007": True}
+    assert got["第三条"]["accuracy"] == 0 and got["《土地管理法》"]["accuracy"] == 50 and 0 <= got["不低于 8 米"]["accuracy"] <= 100
+    e = citations.evaluate(c).first()
+    assert (e["total"], e["existing"], e["existence_rate"]) == (5, 3, 0.6) and e["supportive"] + e["decorative"] == 5
+    assert list(one(spark, *[citations.support_type(F.lit(x)) for x in ("根据本法应当", "参考手册", "按照要求参考", "其他")])) == ["supportive", "decorative", "supportive", "supportive"]
+
+
+def test_document_types_and_figures(spark):
+    cases = [("乡村教材.md", "", "textbook"), ("a.md", "第三章 总则", "textbook"), ("操作手册", "", "guide"), ("管理办法", "", "policy"), ("GB50188", "", "standard"), ("村庄规划", "", "case"), ("其他", None, "report")]
+    assert list(one(spark, *[X.doc_type_of_file(F.lit(n), F.lit(c).cast("string")) for n, c, _ in cases])) == [k for _, _, k in cases]
+    assert list(one(spark, *[X.doc_type_of_title(F.lit(n)) for n in ("GB50188 教材", "城乡规划法", "规划指南", "村庄规划标准", "x")])) == ["standard", "policy", "guide", "standard", "report"]
+    m = one(spark, *X.metrics(F.lit("面积 12.5 公顷，人口 340 人，90 户，覆盖 45%，投资 3万元，路长1.2km，30 m²")).values())
+    assert list(m) == [12.5, None, 340.0, 90.0, 45.0, 3.0, 1.2, 30.0]
+    assert list(one(spark, *[assemble.legal_level(F.lit(t)) for t in ("《中华人民共和国土地管理法》", "广东省城乡规划条例", "平远县总体规划", "平远县简介", "国土空间用途", "其他")])) == ["national", "provincial", "planning", None, "planning", None]
 
 
 def test_planning_words(spark):
@@ -56,8 +104,12 @@ def test_planning_words(spark):
 
 def test_addresses_and_headings(spark):
     r = one(spark, X.address_parts(F.lit("广东省梅州市平远县泗水镇金田村")), X.address_parts(F.lit("金田村")), *[X.heading_level(F.lit(s)) for s in ("# 总则", "第一章 总则", "1.2.3 范围", "一、目标", "（一）目标", "1. 目标", "(1) 目标", "普通文字")])
-    assert list(r[0]) == ["广东省", "梅州市", "平远县", "泗水镇", "金田村"] and r[1]["village"] == "金田村" and r[1]["county"] is None
-    assert list(r[2:]) == [1, 1, 3, 2, 3, 3, 4, None]
+    assert list(r[0]) == ["广东省", "广东省梅州市", "平远县", "泗水镇", "金田村"] and r[1]["village"] == "金田村" and r[1]["county"] is None
+    assert list(r[2:]) == [1, 1, 3, 2, 3, 2, 3, None]
+    lines = ["正文。", "1. 目标", "说明文字", "2. 任务", "3. 任务", "IV. 总论", "iv) 条目", "第3.2条 范围", "  ## 二级"]
+    kinds = one(spark, *[X.heading_kind(F.lit(x), F.lit(a).cast("string"), F.lit(b).cast("string")) for a, x, b in zip([None, *lines], lines, [*lines[1:], None])])
+    assert [k and tuple(k) for k in kinds] == [None, ("section", 2), None, None, ("section", 2), ("section", 2), ("item", 3), ("article", 2), ("markdown", 2)]
+    assert list(one(spark, *[X.numbered_line(F.lit(x)) for x in ("1. a", "（二）b", "(3) c", "三、d", "e 1.")])) == [True, True, True, True, False]
 
 
 def test_extraction(spark):
@@ -97,6 +149,11 @@ def test_split_table_repeats_the_header():
 def test_heading_pairs_and_placeholders(spark):
     rows = spark.createDataFrame([(1, 0, "# 第一章"), (1, 1, "# 总则"), (1, 2, "text"), (1, 3, "## a")], "doc_id long, pos int, line string")
     assert [r["line"] for r in O.merge_heading_pairs(rows).orderBy("pos").collect()] == ["# 第一章 总则", "text", "## a"]
+    more = ["# 第一章", "# 第二章", "# 第3节", "# 名称", "# 普通", "# 另一个", "## 第十二条", "", "## 条文", "# 第一章"]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(more)], "doc_id long, pos int, line string")
+    assert [r["line"] for r in O.merge_heading_pairs(rows).orderBy("pos").collect()] == ["# 第一章 第二章", "# 第3节 名称", "# 普通", "# 另一个", "## 第十二条 条文", "# 第一章"]
+    text = spark.createDataFrame([(1, i, x) for i, x in enumerate(["# a", "## b", "x", "# c"])], "doc_id long, pos int, line string")
+    assert O.blank_after_headings(text).first()["content"] == "# a\n## b\n\nx\n# c"
     c = spark.createDataFrame([(1, ["a", "b", "c"]), (1, ["a"])], "doc_id long, path array<string>")
     assert [r["path"] for r in O.placeholders(c).collect()] == [["a", "b"]]
 
@@ -116,6 +173,41 @@ def test_radius_pairs_equal_brute_force(spark):
     assert got == {(r["a"], r["b"]) for r in brute.collect()} and got
 
 
+def test_radius_pairs_at_poles_and_date_line(spark):
+    r = random.Random(4)
+    spots = [(r.uniform(-180, 180), 90 - r.random() ** 2) for _ in range(30)] + [(r.choice([-1, 1]) * (180 - r.random() / 9), r.uniform(-1, 1)) for _ in range(30)] + [(r.uniform(0, 0.5), 75 + r.uniform(0, 0.1)) for _ in range(30)]
+    pts = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "a int, lon double, lat double")
+    fac = pts.select(F.col("a").alias("b"), F.col("lon").alias("lon_2"), F.col("lat").alias("lat_2"))
+    for metres in (3000.0, 20000.0):
+        got = {(x["a"], x["b"]) for x in spatial.radius_pairs(pts, fac, metres).collect()}
+        assert got == {(x["a"], x["b"]) for x in pts.crossJoin(fac).filter(geo.haversine(F.col("lon"), F.col("lat"), F.col("lon_2"), F.col("lat_2")) <= metres).collect()} and len(got) > 100
+
+
+def test_trees(spark):
+    tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 6), (8, 2)], "chunk_id long, parent_id long")
+    got = {(x["chunk_id"], x["ancestor_id"], x["distance"]) for x in retrieval.ancestors(tree).collect()}
+    assert {g for g in got if g[0] == 7} == {(7, 6, 1), (7, 5, 2), (7, 4, 3), (7, 3, 4), (7, 2, 5), (7, 1, 6)} and len(got) == 1 + 2 + 3 + 4 + 5 + 6 + 2
+    s = spark.createDataFrame([(1, None, 0, "A", "a"), (2, 1, 1, "B", "b"), (3, 1, 2, "C", "c"), (4, 2, 3, "D", "d"), (5, None, 4, "E", "e")], "section_id long, parent_id long, pos int, title string, content string")
+    assert retrieval.subtree_text(s, "A").first()["content"] == "A\na\nB\nb\nD\nd\nC\nc" and retrieval.subtree_text(s, "B").first()["content"] == "B\nb\nD\nd"
+
+
+def test_search_scores_in_blocks(spark, monkeypatch):
+    e = spark.range(40).select(F.col("id").alias("chunk_id"), F.array(*[(F.col("id") * k % 7).cast("float") for k in (1, 2, 3)]).alias("embedding"))
+    q = e.filter("chunk_id % 3 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    once = sorted(map(tuple, retrieval.scored(q, e).select("query_id", "chunk_id", "score").collect()))
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST", 4)
+    assert once == sorted(map(tuple, retrieval.scored(q, e).select("query_id", "chunk_id", "score").collect())) and len(once) == 560
+
+
+def test_filters_and_context(spark):
+    df = spark.createDataFrame([("plain", "policy", 1), ("hill", "case", 1), ("plain", "case", 2)], "terrain string, doc_type string, task int")
+    n = lambda c: df.filter(c).count()
+    t = F.col("task") == 1
+    assert n(retrieval.metadata_filter(terrain="all")) == 3 and n(retrieval.metadata_filter(task=t, terrain="plain")) == 1 and n(retrieval.metadata_filter(doc_type="case")) == 2
+    assert n(retrieval.metadata_filter(policy=F.col("doc_type") == "policy", summary=F.col("doc_type") == "case", task=t)) == 2
+    assert list(one(spark, *[retrieval.context_around(F.lit("abcdefg"), F.lit(h), k) for h, k in (("d", 0), ("d", 2), ("a", 3), ("z", 1))])) == ["d", "bcdef", "abcd", None]
+
+
 def test_prefer_keeps_an_empty_answer(spark):
     a = spark.createDataFrame([("x", True, None), ("y", False, None)], "k string, ok boolean, poi string")
     b = spark.createDataFrame([("x", True, "p"), ("y", True, "q")], "k string, ok boolean, poi string")
@@ -135,10 +227,13 @@ def test_files_and_geojson(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[-1]: r for r in files.read_directory(spark, str(tmp_path / "d")).collect()}
     assert set(got) == {"a.txt", "b.html", "c.docx", "bad.docx"} and got["bad.docx"]["error"] and got["a.txt"]["text"].startswith("乡村规划")
     assert got["b.html"]["text"] == "Visible words here" and got["c.docx"]["text"] == "First paragraph\na | b"
-    (tmp_path / "g.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]},"properties":{"BUFF_DIST":5}},{"type":"Feature","geometry":null,"properties":{}}]}')
+    (tmp_path / "g.geojson").write_text('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]},"properties":{"water":5}},{"type":"Feature","geometry":null,"properties":{}}]}')
     f = geojson.read_features(spark, str(tmp_path / "g.geojson"))
-    r = f.select(F.size(geojson.outer_ring(F.col("geometry_type"), F.col("coordinates"))).alias("n"), geojson.layer_kind(F.col("properties")).alias("kind")).collect()
-    assert [(x["n"], x["kind"]) for x in r] == [(4, "protection")]
+    r = f.select(F.size(F.element_at(geojson.outer_rings(F.col("geometry_type"), F.col("coordinates")), 1)).alias("n"), geojson.layer_kind(F.col("geometry_type"), F.col("properties")).alias("kind")).collect()
+    assert [(x["n"], x["kind"]) for x in r] == [(4, "water")]
+    kinds = [("Polygon", '{"boundary":"x","water":1}', "boundary"), ("MultiPolygon", '{"highway":"a"}', "road"), ("Polygon", "{}", "boundary"), ("LineString", '{"waterway":"r"}', "water"), ("MultiLineString", "{}", "road"), ("Point", '{"place":""}', None), ("Point", '{"building":"yes"}', "residential"), ("MultiPoint", '{"place":"a"}', None)]
+    assert list(one(spark, *[geojson.layer_kind(F.lit(g), F.lit(p)) for g, p, _ in kinds])) == [k for *_, k in kinds]
+    assert one(spark, F.size(geojson.outer_rings(F.lit("MultiPolygon"), F.lit("[[[[0,0],[1,0],[0,0]]],[[[5,5],[6,5],[5,5]]]]"))))[0] == 2
     pts = spark.createDataFrame([(1.0, 2.0, "n")], "lon double, lat double, name string")
     assert geojson.point_features(pts, "lon", "lat").first()["feature"] == '{"type":"Feature","geometry":{"type":"Point","coordinates":[1.0,2.0]},"properties":{"name":"n"}}'
     for run in (1, 2, 1):
