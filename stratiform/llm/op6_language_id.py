@@ -198,7 +198,7 @@ def learn(docs: DataFrame, learnable: F.Column | None = None) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 names, index = np.unique(np.array(part.column("lang").to_pylist(), dtype=object), return_inverse=True)
                 gram, doc = ngrams(*characters(part.column("text").to_pylist()))
                 for j, name in enumerate(names):
@@ -221,7 +221,7 @@ def learn(docs: DataFrame, learnable: F.Column | None = None) -> Model:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 h, n = entropies(shared.value, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(n, pa.int64()), pa.array([x.tolist() for x in h], pa.list_(pa.float64()))], ["lang", "n", "h"])
 
@@ -256,7 +256,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 lang, score, out = decide(shared.value, *entropies(shared.value, part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], [*kept, "lang_pred", "score", "rejected"]

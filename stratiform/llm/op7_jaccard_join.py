@@ -125,7 +125,7 @@ def _keys(docs: DataFrame, words: int) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 v, d = shingle_sets(part.column("text").to_pylist(), words)
                 size, node = set_digests(v, d, part.num_rows)
                 cols = [part.column("doc_id"), part.column("t"), pa.array(size, pa.int64()), pa.array(node), pa.array(parity_sketches(v, d, size), pa.binary())]
@@ -138,7 +138,7 @@ def _keys(docs: DataFrame, words: int) -> DataFrame:
 def _signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 v, d = shingle_sets(part.column("text").to_pylist(), words)
                 size, node = set_digests(v, d, part.num_rows)
                 s, owner = signatures(v, d, size, percent)
@@ -251,7 +251,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 v, d = shingle_sets(part.column("text").to_pylist(), words)
                 _, node = set_digests(v, d, part.num_rows)
                 cut = np.searchsorted(d, np.arange(part.num_rows + 1))
