@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratiform.functions import geo
 
@@ -124,3 +124,20 @@ def prefer(frames: Sequence[DataFrame], key: str) -> DataFrame:
         merged = part if merged is None else merged.unionByName(part)
     best = merged.filter("ok").groupBy(key).agg(F.min("_rank").alias("_best"))
     return merged.join(best, key).filter("_rank = _best").drop("_rank", "_best")
+
+
+def nearest_k(points: DataFrame, facilities: DataFrame, within: float, k: int, key: str, name: str, on: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` nearest facilities of each point within a distance, ties by name, with their rank."""
+    near = radius_pairs(points.select(key, *on, "lon", "lat"), facilities, within, on)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("distance", 4), name))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, name, "distance", "rank")
+
+
+#: Metres around water in which no facility may stand.
+WATER_BUFFER = 50.0
+
+
+def in_buffer(points: DataFrame, features: DataFrame, radius: float = WATER_BUFFER, key: str = "point_id") -> DataFrame:
+    """Each point with the distance of the nearest feature's centre closer than ``radius``, null where none is, and whether one is."""
+    near = radius_pairs(points.select(key, "lon", "lat"), features, radius).filter(F.col("distance") < radius)
+    return points.select(key).join(near.groupBy(key).agg(F.min("distance").alias("distance")), key, "left").withColumn("in_buffer", F.col("distance").isNotNull())
