@@ -15,6 +15,8 @@ ORDER = 4
 #: Bounds of what is learned from: documents of a language for counts, and in all for calibration;
 #: most n-grams of a language that a model keeps (the most frequent; all lower orders follow from them).
 TRAIN_DOCS, CALIBRATION_DOCS, MOST_NGRAMS = 4_000, 3_000, 300_000
+#: Bytes of text that are looked up at once.
+SLICE = 1 << 19
 HELD_OUT, FOLDS = 0, 5
 UNKNOWN = "und"
 _U = np.uint64
