@@ -175,22 +175,22 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     nodes = materialize(per_doc.groupBy("leaf", "node").agg(F.count(F.lit(1)).alias("n_docs")), "op2-nodes")
     full = nodes.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
     full = materialize(full, "op2-leaves")
-    texts = _tokens(docs, key_filter(full, "leaf")).join(full, "leaf", "left_semi").dropDuplicates(["node"])
-    texts = materialize(texts.join(nodes.select("node", "n_docs"), "node"), "op2-texts")
+    texts = _tokens(docs, key_filter(full, "leaf")).join(full.hint("merge"), "leaf", "left_semi").dropDuplicates(["node"])
+    texts = materialize(texts.hint("merge").join(nodes.select("node", "n_docs"), "node"), "op2-texts")
     groups = materialize(grouped(_segments(texts), "sig", "node"), "op2-groups")
-    members = distinct_groups(groups, "sig").select("g", "node").join(texts.drop("leaf"), "node")
+    members = distinct_groups(groups, "sig").select("g", "node").join(texts.drop("leaf").hint("merge"), "node")
     parsed = materialize(_parsed(members), "op2-parsed")
     release(groups)
     # the documents of a template: of lines that recur by themselves their number will do
     counted = parsed.join(nodes.select("node", "n_docs"), "node")
     often = counted.where(F.col("n_docs") >= min_docs).select("template")
-    few = counted.where(F.col("n_docs") < min_docs).join(lines.select("node", "r"), "node").select("template", "r").distinct()
+    few = counted.where(F.col("n_docs") < min_docs).hint("merge").join(lines.select("node", "r"), "node").select("template", "r").distinct()
     often = often.union(few.groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")).distinct()
     links = materialize(parsed.join(often, "template").select("node", "template"), "op2-links")
     labels = connected_components(links, "node", "template")
     known = nodes.select("node", "n_docs").join(labels, "node", "left").where((F.col("n_docs") >= min_docs) | F.col("component_id").isNotNull())
     known = materialize(known.select("node", F.coalesce("component_id", "node").alias("class")), "op2-classes")
-    hits = lines.join(known, "node").select("class", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r", "line_no").alias("at"))
+    hits = lines.join(known.hint("merge"), "node").select("class", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r", "line_no").alias("at"))
     first = hits.groupBy("class").agg(F.min("at").alias("first"))
     gone = hits.join(first, "class").where("at <> first").select("at.r", "at.line_no")
     return gone.groupBy("r").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
@@ -213,7 +213,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     and one. Other columns pass through; an empty table gives no rows.
     """
     drops = recurring_lines(docs, min_docs).select(F.col("r").alias("op2_r"), F.col("drop").alias("op2_drop"))
-    keyed = docs.join(drops, F.xxhash64("doc_id", "text") == F.col("op2_r"), "left")
+    keyed = docs.join(drops.hint("merge"), F.xxhash64("doc_id", "text") == F.col("op2_r"), "left")
     lines = F.split("text", "\n", -1)
     dropped = F.coalesce(F.col("op2_drop"), F.array().cast("array<int>"))
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("op2_drop"), i))

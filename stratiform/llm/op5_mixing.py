@@ -100,7 +100,7 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     copies = materialize(copies.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("_t").alias("t"), "copies", "n"), "op5-copies")
     release(sized)
     same = F.col("_id").eqNullSafe(F.col("i")) & F.col("_src").eqNullSafe(F.col("s")) & (F.col("_t") == F.col("t"))
-    found = keyed.join(copies, same)
+    found = keyed.join(copies.hint("merge"), same)
     found = found.where("n = 1").unionByName(found.where("n > 1").dropDuplicates(["i", "s", "t"]))
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 

@@ -260,7 +260,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.binary())], ["node", "set"]).filter(pa.array(right))
 
     texts = docs.select(F.xxhash64("text").alias("t"), "text").where("text is not null").mapInArrow(likely, "t long, text string")
-    texts = texts.join(wanted.select("t", "node"), "t").dropDuplicates(["node", "t"]).select("node", "text")
+    texts = texts.join(wanted.select("t", "node").hint("merge"), "t").dropDuplicates(["node", "t"]).select("node", "text")
     return texts.mapInArrow(compute, "node long, set binary").dropDuplicates(["node"])
 
 
@@ -278,7 +278,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     x, y = (sets.select(F.col("node").alias(p), F.col("set").alias(c)) for p, c in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 @tidy
@@ -292,12 +292,12 @@ def jaccard_rows(docs: DataFrame, words: int = QUERY[0], percent: int = QUERY[1]
     nodes = keys.where("node <> 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("t").alias("t"))
     members = materialize(members_of(groups), "op7-members")
     release(groups)
-    sketched = lambda rows: rows.join(nodes.drop("t"), "node")
+    sketched = lambda rows: rows.join(nodes.drop("t").hint("merge"), "node")
     near = materialize(candidates(sketched(members.withColumn("label", F.col("node"))), percent, "node"), "op7-near")
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     # a node without a candidate has none in later turns, nor has a group
     sets = materialize(node_sets(docs, materialize(ends.join(nodes.select("node", "t"), "node"), "op7-wanted"), words), "op7-sets")
-    live = materialize(members.join(near.select("g").distinct(), "g", "left_semi"), "op7-live")
+    live = materialize(members.join(near.select("g").distinct().hint("merge"), "g", "left_semi"), "op7-live")
     release(members)
     pairs = tried = materialize(nearest(near), "op7-pairs")
     links = materialize(verified(pairs, sets, percent), "op7-links")
@@ -347,7 +347,7 @@ def keep_one_each(docs: DataFrame, words: int = STAGE[0], percent: int = STAGE[1
     kept = first.join(copies, first["op7_id"].eqNullSafe(copies["doc_id"]) & (first["op7_t"] == copies["t"])).select("op7_id", "op7_t", "op7_n")
     kept = materialize(kept, "op7-kept")
     worded = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    found = docs.where(worded).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("op7_id")) & (F.xxhash64("text") == F.col("op7_t")))
+    found = docs.where(worded).join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("op7_id")) & (F.xxhash64("text") == F.col("op7_t")))
     once = found.where("op7_n > 1").dropDuplicates(["op7_id", "op7_t"])  # repeated rows: one of them
     return found.where("op7_n = 1").unionByName(once).select(*docs.columns).unionByName(docs.where(~worded))
 
