@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from stratiform.llm.common import materialize, reread
+from stratiform.llm.common import materialize, reread, tidy
 from stratiform.llm.components import connected_components
 
 THRESHOLD = 0.95
@@ -142,43 +142,9 @@ def _decode(raw: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(data, dtype).astype(np.float64).reshape(len(raw), -1)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Link vectors by cosine >= threshold: vec_id, n_links, component_id, kept.
-
-    Vectors that are null, empty, zero or hold a null or non-finite component link with nothing,
-    nor does one of a length other than the most frequent one. Equal vectors are one node (by a
-    64-bit digest) that counts its copies; repeated rows are copies. Lists beyond a block are cut
-    into blocks by hash, members against queries, and a block returns counts and one link per
-    node instead of pairs. The model is fitted on ``SAMPLE`` vectors at most; all vectors are
-    indexed, and probing and table distances keep every link (up to rounding).
-    """
-    spark = vectors.sparkSession
-    double = isinstance(vectors.schema["embedding"].dataType.elementType, T.DoubleType)
-    dtype = "<f8" if double else "<f4"
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("embedding")
-            out = []
-            for v in column:
-                x = None
-                if v.is_valid and len(v.values) and not v.values.null_count:
-                    x = v.values.to_numpy(zero_copy_only=False)
-                    if not np.isfinite(x).all() or not x.any():
-                        x = None
-                out.append(None if x is None else (x + 0).astype(dtype).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "raw"])
-
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>" if double else "array<float>").alias("embedding"))
-    rows = rows.mapInArrow(clean, "vec_id long, raw binary").withColumn("node", F.when(F.col("raw").isNotNull(), F.xxhash64("raw")))
-    rows = materialize(rows, "op1-vectors")
-    usual = rows.where("raw is not null").groupBy(F.length("raw").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if usual is None:
-        return alone
-    size = usual["size"]
-    nodes = rows.where(F.length("raw") == size).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw"))
-    nodes = materialize(nodes, "op1-nodes")
+def _links(nodes: DataFrame, threshold: float, dtype: str) -> DataFrame:
+    """(node, links, root) of distinct vectors (node, n, raw) of one length: a row for each block in which a node has links."""
+    spark = nodes.sparkSession
     total = nodes.count()
     share = min(1.0, SAMPLE / total)
     picked = nodes.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 20)) < F.lit(int(np.ceil(share * (1 << 20))))).select("raw").limit(2 * SAMPLE).collect()
@@ -229,7 +195,49 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     keys = ["cell", "m", "q"]
     found = members.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(compare, "node long, links long, root long")
-    found = materialize(found, "op1-links")
+    return materialize(found, "op1-links")
+
+
+@tidy
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Link vectors by cosine >= threshold: vec_id, n_links, component_id, kept.
+
+    Vectors that are null, empty, zero or hold a null or non-finite component link with nothing.
+    Vectors of each length are compared with one another, however long. Equal vectors are one node (by a
+    64-bit digest) that counts its copies; repeated rows are copies. Lists beyond a block are cut
+    into blocks by hash, members against queries, and a block returns counts and one link per
+    node instead of pairs. The model is fitted on ``SAMPLE`` vectors at most; all vectors are
+    indexed, and probing and table distances keep every link (up to rounding).
+    """
+    spark = vectors.sparkSession
+    double = isinstance(vectors.schema["embedding"].dataType.elementType, T.DoubleType)
+    dtype = "<f8" if double else "<f4"
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("embedding")
+            out = []
+            for v in column:
+                x = None
+                if v.is_valid and len(v.values) and not v.values.null_count:
+                    x = v.values.to_numpy(zero_copy_only=False)
+                    if not np.isfinite(x).all() or not x.any():
+                        x = None
+                out.append(None if x is None else (x + 0).astype(dtype).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "raw"])
+
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>" if double else "array<float>").alias("embedding"))
+    rows = rows.mapInArrow(clean, "vec_id long, raw binary").withColumn("node", F.when(F.col("raw").isNotNull(), F.xxhash64("raw")))
+    rows = materialize(rows, "op1-vectors")
+    nodes = rows.where("raw is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw"))
+    nodes = materialize(nodes, "op1-nodes")
+    sizes = [r["size"] for r in nodes.groupBy(F.length("raw").alias("size")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").orderBy("size").collect()]  # one row for each length of vectors
+    found = None
+    for size in sizes:
+        part = _links(nodes.where(F.length("raw") == size), threshold, dtype)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "node long, links long, root long")
     labels = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     per_node = nodes.select("node", "n").join(sums, "node", "left").join(labels.withColumnRenamed("component_id", "label"), "node", "left")

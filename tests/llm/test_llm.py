@@ -95,6 +95,12 @@ def test_embeddings_against_all_pairs(spark):
     assert op1.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [0.9, 0.1, 0.0]), (7, [2.0]), (8, [3.0]), (9, [-1.0]), (10, [1.0] * 5)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op1.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (1, 7), 8: (1, 7), 9: (0, 9), 10: (0, 10)}
+
+
 def test_line_dedup(docs, empty):
     out = {(r["doc_id"], r["text"]): r for r in op2.dedup_lines(docs).collect()}
     text = defaultdict(list)
