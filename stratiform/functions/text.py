@@ -153,6 +153,11 @@ def address_parts(text: Column) -> Column:
     return F.struct(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")).alias(k) for k, p in ADDRESS.items()])
 
 
+def is_village(text: Column) -> Column:
+    """Whether an address names a village."""
+    return F.coalesce(text.rlike(ADDRESS["village"]), F.lit(False))
+
+
 # Figures of a planning text, by name.
 METRICS = {
     "area_ha": r"([\d.]+)\s*公顷", "area_mu": r"([\d.]+)\s*亩", "population": r"(\d+)\s*人", "households": r"(\d+)\s*户",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratiform.functions import text as X
 
@@ -164,3 +165,42 @@ def table_numbers(rows: DataFrame, by: str, block: int = 1000) -> DataFrame:
     ranges = per_doc.groupBy(by, "_b").agg(F.sum("_t").alias("_t")).withColumn("_r", before("_b")).drop("_t")
     docs = per_doc.withColumn("_d", before("_b", "doc_id")).join(ranges, [by, "_b"]).select(by, "doc_id", (F.col("_d") + F.col("_r")).alias("_before"))
     return r.join(docs, [by, "doc_id"]).withColumn("table_no", F.col("_no") + F.col("_before")).drop("_no", "_before")
+
+
+# The heading of a table of contents, and lines after which one ends anyway.
+CONTENTS, MOST_CONTENTS = r"^(#+)\s*目\s*[录次]", 50
+
+
+def without_contents(lines: list[str], heading: str = CONTENTS, most: int = MOST_CONTENTS) -> list[str]:
+    """Lines without tables of contents.
+
+    A table runs from its heading over deeper headings and dotted lines; another line, a heading
+    of its level or above, or ``most`` lines end it. Lines in code fences are never part of one.
+    """
+    out, depth, seen, code = [], 0, 0, False
+    for line in lines:
+        s = line.strip()
+        fence = s.startswith("```")
+        code ^= fence
+        if fence or code:
+            out.append(line)
+        elif opening := re.match(heading, s):
+            depth, seen = len(opening[1]), 0
+        else:
+            seen += 1
+            mark = re.match(r"#+(?=\s)", s)
+            if depth and seen <= most and (".." in s or mark) and not (mark and len(mark[0]) <= depth):
+                continue
+            depth = 0
+            out.append(line)
+    return out
+
+
+def drop_contents(text: Column) -> Column:
+    """A text without its tables of contents (a pandas function: where one ends depends on what was read)."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else "\n".join(without_contents(t.split("\n"))))
+
+    return run(text)

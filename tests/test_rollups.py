@@ -6,7 +6,8 @@ import json
 import duckdb
 from pyspark.sql import functions as F
 
-from stratiform.operators import quality, rollups as U
+from stratiform.functions import text as X
+from stratiform.operators import quality, rollups as U, text as O
 from stratiform.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -27,6 +28,13 @@ def test_periods_names_and_tables(spark):
     assert list(one(spark, U.travel_minutes(F.lit(500.0), F.lit(5.0)), U.travel_minutes(F.lit(500.0), F.lit(0.0)), U.first_nonempty(F.lit(""), F.lit(None).cast("string"), F.lit("x")))) == [6.0, None, "x"]
 
 
+def test_tables_of_contents_and_villages(spark):
+    text = "# 标题\n## 目 录\n### 第一节 ..... 1\n第二节.....2\n正文开始\n...留下\n# 目录\n## 一\n# 总则\n```\n# 目录\n```\n## 目次\n" + "\n".join(f"条{i}..{i}" for i in range(52))
+    want = ["# 标题", "正文开始", "...留下", "# 总则", "```", "# 目录", "```", "条50..50", "条51..51"]
+    r = one(spark, O.drop_contents(F.lit(text)), O.drop_contents(F.lit(None).cast("string")), X.is_village(F.lit("平远县金田村")), X.is_village(F.lit("金田村委会")), X.is_village(F.lit("平远县")))
+    assert r[0].split("\n") == want and list(r[1:]) == [None, True, False, False]
+
+
 def test_cached_vectors_are_new_and_distinct(spark):
     texts = spark.createDataFrame([("a",), ("a",), ("bb",), ("c",)], "text string")
     cache = texts.filter("text = 'c'").select(F.md5("text").alias("md5"))
