@@ -13,6 +13,9 @@ from stratiform.llm import (
     op8_fingerprints,
     op9_passages,
     op10_secrets,
+    op11_fill_in_middle,
+    op12_merkle,
+    op13_exact_topk,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints.query,
     "op9_repeated_passages": op9_passages.query,
     "op10_secret_scan": op10_secrets.query,
+    "op11_fill_in_middle": op11_fill_in_middle.query,
+    "op12_merkle_manifest": op12_merkle.query,
+    "op13_exact_topk": op13_exact_topk.query,
 }
 
-ORACLES = {"op5_mixing": op5_mixing.ORACLE}
+ORACLES = {"op5_mixing": op5_mixing.ORACLE, "op11_fill_in_middle": op11_fill_in_middle.ORACLE, "op12_merkle_manifest": op12_merkle.ORACLE, "op13_exact_topk": op13_exact_topk.ORACLE}
