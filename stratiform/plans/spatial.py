@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratiform.functions import geo
-from stratiform.operators import spatial as P
+from stratiform.operators import shapes, spatial as P
 from stratiform.plans.base import query, table
 
 _LON, _LAT = "(116.0::DOUBLE + (({0} * 37) % 1000) / 10000.0::DOUBLE)", "(24.8::DOUBLE + (({0} * 53) % 1000) / 10000.0::DOUBLE)"
@@ -43,9 +43,9 @@ def service_coverage_rate(spark, sf_dir):
     return P.coverage_rate(P.covered(points(spark, sf_dir), f, 500.0, "point_id", "facility_id", "facility_id"), "population", by=["area"])
 
 
-@query("nearest_facility", f"WITH {_P}, {_F}, n AS (SELECT point_id, min({_H}) AS distance FROM p JOIN f USING (kind) WHERE {_H} <= 3000 GROUP BY 1) SELECT p.point_id, round(n.distance, 4) AS distance FROM p LEFT JOIN n USING (point_id)")
+@query("nearest_facility", f"WITH {_P}, {_F}, n AS (SELECT point_id, min({_H}) AS distance FROM p JOIN f USING (kind) GROUP BY 1) SELECT point_id, round(distance, 4) AS distance FROM n")
 def nearest_facility(spark, sf_dir):
-    out = P.nearest(points(spark, sf_dir), facilities(spark, sf_dir), 3000.0, "point_id", "facility_id", ["kind"])
+    out = shapes.nearest_point(points(spark, sf_dir), "point_id", facilities(spark, sf_dir), "facility_id", ["kind"])
     return out.select("point_id", F.round("distance", 4).alias("distance"))
 
 
