@@ -6,9 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Least characters of a stored text that counts as a result when a session is rebuilt.
-REBUILT = 50
-
 
 def availability(flags: Sequence[Column]) -> Column:
     """Share of layers that are there."""
@@ -88,30 +85,10 @@ def checkpoint_lists(checkpoints: DataFrame, by: Sequence[str], time: str, ident
     return checkpoints.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(time, ident))), lambda x: x[ident]).alias("checkpoints"))
 
 
-def rebuilt_events(reports: DataFrame, reached: DataFrame, session: str, layer: str, key: str, content: str) -> DataFrame:
-    """Events that a listener would have seen of stored reports: a layer's completion, then its dimensions with a text beyond ``REBUILT``.
-
-    ``reached`` holds each session and the layer it has completed.
-    """
-    r = reached.select(F.col(session).alias("_s"), F.col("completed_layer").alias("_c"))
-    rows = reports.join(r, (F.col(session) == F.col("_s")) & (F.col(layer) <= F.col("_c")))
-    layers = rows.select(session, layer).distinct().select(session, layer, F.lit("layer_completed").alias("type"), F.lit(None).cast("string").alias(key))
-    texts = rows.filter(F.length(content) > REBUILT).select(session, layer, F.lit("dimension_complete").alias("type"), F.col(key).cast("string").alias(key))
-    order = Window.partitionBy(session).orderBy(layer, F.when(F.col("type") == "layer_completed", 0).otherwise(1), key)
-    return layers.unionByName(texts).withColumn("seq", F.row_number().over(order))
-
-
-def cleared_cache(events: DataFrame, session: str, seq: str, kind: str, layer: str) -> DataFrame:
-    """Events still cached at a session's end: a change of layer clears those of other layers."""
-    started = F.max(F.when(F.col(kind) == "layer_started", F.struct(seq, layer))).over(Window.partitionBy(session))
-    now = events.withColumn("_now", started)
-    return now.filter(F.col("_now").isNull() | F.col(layer).eqNullSafe(F.col("_now")[layer]) | (F.col(seq) > F.col("_now")[seq])).drop("_now")
-
-
 def newest_report(projects: DataFrame, sessions: DataFrame, reports: DataFrame, project: str, session: str, created: str, key: str, version: str, value: str) -> DataFrame:
-    """Reports of the newest session of each project, the highest version of each dimension."""
+    """Reports of the newest session of each project, the highest version of each dimension, of equals the greatest value."""
     newest = projects.select(project).join(sessions, project).groupBy(project).agg(F.max_by(session, F.struct(created, session)).alias(session))
-    best = reports.groupBy(session, key).agg(F.max_by(value, version).alias(value), F.max(version).alias(version))
+    best = reports.groupBy(session, key).agg(F.max(F.struct(version, value)).alias("_v")).select(session, key, F.col(f"_v.{value}").alias(value), F.col(f"_v.{version}").alias(version))
     return newest.join(best, session)
 
 

@@ -101,25 +101,8 @@ def checkpoint_lists(spark, sf_dir):
     return out.select("session_id", "layer", F.array_join(F.transform("checkpoints", lambda x: x.cast("string")), ",").alias("checkpoints"))
 
 
-@query("rebuilt_events", """WITH r AS (SELECT l_orderkey AS session_id, l_linenumber AS layer, l_partkey::VARCHAR AS dimension_key, repeat('x', (l_quantity * 2)::INTEGER) AS content FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND l_linenumber <= o_custkey % 5),
- e AS (SELECT DISTINCT session_id, layer, 'layer_completed' AS type, NULL AS dimension_key FROM r UNION ALL SELECT session_id, layer, 'dimension_complete', dimension_key FROM r WHERE length(content) > 50)
- SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY layer, CASE WHEN type = 'layer_completed' THEN 0 ELSE 1 END, dimension_key))::INTEGER AS seq FROM e""")
-def rebuilt_events(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("layer"), F.col("l_partkey").alias("dimension_key"), F.expr("repeat('x', cast(l_quantity * 2 as int))").alias("content"))
-    reached = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), (F.col("o_custkey") % 5).alias("completed_layer"))
-    return U.rebuilt_events(li, reached, "session_id", "layer", "dimension_key", "content")
-
-
-@query("cleared_cache", """WITH n AS (SELECT user_id, event_id, event_type, (event_id % 3)::INTEGER AS layer, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
- s AS (SELECT user_id, max(seq) AS since, arg_max(layer, seq) AS cur FROM n WHERE event_type = 'signup' GROUP BY 1) SELECT n.user_id, event_id FROM n LEFT JOIN s USING (user_id) WHERE cur IS NULL OR layer = cur OR seq > since""")
-def cleared_cache(spark, sf_dir):
-    kind = F.when(F.col("event_type") == "signup", "layer_started").otherwise("other")
-    e = numbered(spark, sf_dir).withColumn("kind", kind).withColumn("layer", (F.col("event_id") % 3).cast("int"))
-    return U.cleared_cache(e, "user_id", "seq", "kind", "layer").select("user_id", "event_id")
-
-
 @query("newest_reports", """WITH s AS (SELECT c_mktsegment AS project, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS session_id FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
- SELECT project, session_id, l_returnflag AS dimension_key, arg_max(l_partkey, l_linenumber) AS report_id, max(l_linenumber) AS version FROM s JOIN lineitem ON l_orderkey = session_id GROUP BY 1, 2, 3""")
+ SELECT project, session_id, l_returnflag AS dimension_key, arg_max(l_partkey, (l_linenumber, l_partkey)) AS report_id, max(l_linenumber) AS version FROM s JOIN lineitem ON l_orderkey = session_id GROUP BY 1, 2, 3""")
 def newest_reports(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("project"))
     sessions = table(spark, sf_dir, "orders").join(c, "o_custkey").select("project", F.col("o_orderkey").alias("session_id"), "o_orderdate")
