@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratiform.plans import assembly, events, graph, planning, quality, retrieval, rollups, sessions, shapes, spatial, store, text  # noqa: F401
+from stratiform.plans import assembly, events, graph, planning, quality, retrieval, rollups, sections, sessions, shapes, spatial, store, text  # noqa: F401
 from stratiform.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -91,24 +92,29 @@ def parse(name: str, data: bytes) -> str:
     return html_to_text(text) if ext in ("html", "htm") else text
 
 
-def read_directory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, kind, content_hash, text, error) of all files below a directory; a bad file spoils no other.
+def texts_of(files: DataFrame) -> DataFrame:
+    """(path, kind, content_hash, text, error) of files (path, content): parsed and hashed in one pass.
 
-    Texts of fewer than ``LEAST`` characters between blanks are left out, failures stay as rows.
+    A bad file spoils no other: its error is its result. Texts of fewer than ``LEAST`` characters
+    between blanks are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for name, data in zip(f["path"], f["content"]):
+                digest = hashlib.md5(data).hexdigest()
                 try:
-                    rows.append((name, parse(name, data), None))
+                    rows.append((name, digest, parse(name, data), None))
                 except Exception as e:  # the error is the row's result
-                    rows.append((name, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+                    rows.append((name, digest, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "content_hash", "text", "error"])
 
-    hashes = files.select("path", F.md5("content").alias("content_hash"))
-    parsed = files.select("path", "content").mapInPandas(run, "path string, text string, error string")
-    out = parsed.join(hashes, "path").withColumn("kind", file_kind(F.col("path")))
+    parsed = files.select("path", "content").mapInPandas(run, "path string, content_hash string, text string, error string")
+    out = parsed.withColumn("kind", file_kind(F.col("path")))
     return out.filter(F.col("error").isNotNull() | (F.length(F.trim("text")) >= LEAST)).select("path", "kind", "content_hash", "text", "error")
+
+
+def read_directory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``texts_of`` all files below a directory."""
+    return texts_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path))
