@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratiform.settle import settled
+
 # Phases, their dimensions in file order, and what each depends on within its phase,
 # on the first layer, and on the phase before.
 PHASES = {
@@ -54,28 +56,43 @@ def edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(EDGES, "src string, dst string, kind string")
 
 
-def waves(dims: DataFrame, deps: DataFrame, most: int = 50) -> DataFrame:
-    """Wave of each dimension: 1 + the latest wave of what it depends on within its phase."""
-    own = deps.filter("kind = 'depends_on'").select("src", "dst")
-    return dims.sparkSession.sql(
-        f"""WITH RECURSIVE r(key, wave) AS (SELECT key, 1 FROM {{dims}} UNION ALL SELECT e.dst, r.wave + 1 FROM r JOIN {{own}} e ON e.src = r.key WHERE r.wave < {most})
-        SELECT d.key, d.layer, d.pos, max(r.wave) AS wave FROM r JOIN {{dims}} d ON d.key = r.key GROUP BY 1, 2, 3""",
-        dims=dims,
-        own=own,
-    )
+def waves(dims: DataFrame, deps: DataFrame) -> DataFrame:
+    """Wave of each dimension: 1 + the latest wave of what it depends on within its phase.
+
+    Each round takes the dimensions that wait for none any more, so rounds are as many as there
+    are waves and every edge is met once. Edges from what is no dimension do not count;
+    dimensions on a cycle, or behind one, have no wave and no row.
+    """
+    known = dims.select(F.col("key").alias("src"))
+    left = settled(deps.filter("kind = 'depends_on'").select("src", "dst").distinct().join(known, "src", "left_semi"))
+    todo = settled(dims.select("key", "layer", "pos"))
+    out, wave = None, 1
+    while True:
+        waiting = left.select(F.col("dst").alias("key")).distinct()
+        free = settled(todo.join(waiting, "key", "left_anti").withColumn("wave", F.lit(wave)))
+        if free.isEmpty():
+            return out if out is not None else free
+        out = free if out is None else out.unionByName(free)
+        todo = settled(todo.join(waiting, "key", "left_semi"))
+        left = settled(left.join(free.select(F.col("key").alias("src")), "src", "left_anti"))
+        wave += 1
 
 
-def impact(deps: DataFrame, targets: Sequence[str]) -> DataFrame:
+def impact(deps: DataFrame, targets: Sequence[str] | DataFrame) -> DataFrame:
     """What changes with each target: (target, key, level), the level of its first visit.
 
-    Breadth first: each round visits only what no earlier one did, so many paths cost nothing.
+    ``targets`` is a list or a table (target). Breadth first: each round visits only what no
+    earlier one did, so many paths cost nothing, and cycles end.
     """
-    spark = deps.sparkSession
-    step = deps.select("src", "dst").distinct()
-    seen = front = spark.createDataFrame([(t, t, 0) for t in targets], "target string, key string, level int")
+    if isinstance(targets, DataFrame):
+        front = targets.select("target", F.col("target").alias("key"), F.lit(0).alias("level")).distinct()
+    else:
+        front = deps.sparkSession.createDataFrame([(t, t, 0) for t in targets], "target string, key string, level int")
+    step = settled(deps.select("src", "dst").distinct())
+    seen = front = settled(front)
     while True:
-        found = front.join(step, F.col("key") == F.col("src")).select("target", F.col("dst").alias("key"), F.col("level") + 1).distinct().toDF("target", "key", "level")
-        front = found.join(seen.select("target", "key"), ["target", "key"], "left_anti").checkpoint() if spark.sparkContext.getCheckpointDir() else found.join(seen.select("target", "key"), ["target", "key"], "left_anti")
+        found = front.join(step, F.col("key") == F.col("src")).select("target", F.col("dst").alias("key"), (F.col("level") + 1).alias("level")).distinct()
+        front = settled(found.join(seen.select("target", "key"), ["target", "key"], "left_anti"))
         if front.isEmpty():
             return seen.filter("key <> target")
         seen = seen.unionByName(front)
@@ -99,27 +116,30 @@ def dispatch(dims: DataFrame, deps: DataFrame, completed: DataFrame, layer: int,
     return found.filter(F.col("layer") == layer if step_mode else F.col("layer").isin(layer, layer + 1))
 
 
-def next_wave(levels: DataFrame, completed: DataFrame) -> DataFrame:
-    """All dimensions of the first wave that has an unfinished one."""
-    first = levels.join(completed.select("key"), "key", "left_anti").agg(F.min("wave").alias("_first"))
-    return levels.crossJoin(F.broadcast(first)).filter("wave = _first").drop("_first")  # a single row
+def next_wave(levels: DataFrame, completed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All dimensions of the first wave that has an unfinished one, of each value of ``by``."""
+    first = levels.join(completed.select("key"), "key", "left_anti").groupBy(*by).agg(F.min("wave").alias("_first"))
+    joined = levels.join(first, list(by)) if by else levels.crossJoin(F.broadcast(first))  # a single row
+    return joined.filter("wave = _first").drop("_first")
 
 
-def revision_plan(deps: DataFrame, targets: Sequence[str], completed: DataFrame) -> DataFrame:
+def revision_plan(deps: DataFrame, targets: Sequence[str] | DataFrame, completed: DataFrame) -> DataFrame:
     """(key, wave): targets in wave 0, what they change in the latest wave any target gives, completed only."""
-    spark = deps.sparkSession
     tree = impact(deps, targets).groupBy("key").agg(F.max("level").alias("wave"))
-    zero = spark.createDataFrame([(t, 0) for t in targets], "key string, wave int")
+    if isinstance(targets, DataFrame):
+        zero = targets.select(F.col("target").alias("key"), F.lit(0).alias("wave")).distinct()
+    else:
+        zero = deps.sparkSession.createDataFrame([(t, 0) for t in targets], "key string, wave int")
     rest = tree.join(zero, "key", "left_anti").join(completed.select("key"), "key", "left_semi")
     return zero.unionByName(rest.select("key", F.col("wave").cast("int").alias("wave")))
 
 
-def layers_complete(dims: DataFrame, completed: DataFrame) -> DataFrame:
-    """Per layer: all and finished dimensions, and whether the sets are equal."""
-    done = dims.join(completed.select("key").withColumn("_done", F.lit(1)), "key", "left")
-    return done.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.count("_done").alias("n_done")).withColumn("complete", F.col("n") == F.col("n_done"))
+def layers_complete(dims: DataFrame, completed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per layer (and ``by``): all and finished dimensions, and whether the sets are equal."""
+    done = dims.join(completed.select("key").distinct().withColumn("_done", F.lit(1)), "key", "left")
+    return done.groupBy(*by, "layer").agg(F.count(F.lit(1)).alias("n"), F.count("_done").alias("n_done")).withColumn("complete", F.col("n") == F.col("n_done"))
 
 
-def first_pending(dims: DataFrame, completed: DataFrame) -> DataFrame:
-    """The pending dimension of each layer that stands first in the file."""
-    return dims.join(completed.select("key"), "key", "left_anti").groupBy("layer").agg(F.min_by("key", "pos").alias("key"))
+def first_pending(dims: DataFrame, completed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The pending dimension of each layer (and ``by``) that stands first in the file."""
+    return dims.join(completed.select("key"), "key", "left_anti").groupBy(*by, "layer").agg(F.min_by("key", F.struct("pos", "key")).alias("key"))

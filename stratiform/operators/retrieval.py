@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stratiform.settle import settled
+
 #: Queries that may be broadcast; more are joined by a key of blocks instead.
 MOST_BROADCAST = 1000
 
@@ -123,13 +125,15 @@ def with_children(parents: DataFrame, chunks: DataFrame, most: int, mark: str =
 def ancestors(chunks: DataFrame) -> DataFrame:
     """(chunk_id, ancestor_id, distance), near to far, for trees of any depth; a cycle ends where it meets its start.
 
-    Each round doubles the distance covered, so a tree of depth d takes about log2(d) joins.
+    Each round doubles the distance covered, so a tree of depth d takes about log2(d) joins; pairs
+    that are known already are not met again, so rounds end on cycles too.
     """
-    up = chunks.filter("parent_id is not null").select(F.col("chunk_id").alias("_c"), F.col("parent_id").alias("_a"), F.lit(1).alias("_d"))
-    known, far = up, 1
+    known = settled(chunks.filter("parent_id is not null and parent_id <> chunk_id").select(F.col("chunk_id").alias("_c"), F.col("parent_id").alias("_a"), F.lit(1).alias("_d")))
+    far = 1
     while True:
         step = known.filter(F.col("_d") == far).select(F.col("_c").alias("chunk_id"), F.col("_a").alias("_m"))
         more = step.join(known, step["_m"] == known["_c"]).select(F.col("chunk_id").alias("_c"), "_a", (F.col("_d") + far).alias("_d")).filter("_a <> _c")
+        more = settled(more.groupBy("_c", "_a").agg(F.min("_d").alias("_d")).join(known.select("_c", "_a"), ["_c", "_a"], "left_anti"))
         if more.isEmpty():
             break
         known, far = known.unionByName(more), far * 2
