@@ -84,20 +84,25 @@ def has_table(text: Column) -> Column:
     return text.contains("<table>") | (text.contains("|") & text.contains("---"))
 
 
-# Headings by pattern, with kind and level (0: told by its kind only), in the order in which they are tried.
-# The last six need a blank line or a heading before, or a line of text that is not numbered after.
+# Headings by pattern in the order in which they are tried, with their kind and level (0: not told by the
+# pattern). The last six need a blank line or a heading before, or a line of text that is not numbered after.
 HEADINGS = [
-    (r"^第[一二三四五六七八九十百零]+[编章部分]", "chapter", 1, False),
-    (r"^第[一二三四五六七八九十百零]+节", "section", 2, False),
-    (r"^第[一二三四五六七八九十百零]+[条款目]", "article", 3, False),
-    (r"^第?\d+(?:\.\d+)+", "article", None, False),
-    (r"^[一二三四五六七八九十]+[、.]\s*.+$", "section", 2, True),
-    (r"^[（(][一二三四五六七八九十]+[）)]", "item", 3, True),
-    (r"^\d+[.、]\s*.+$", "section", 2, True),
-    (r"^[（(]?\d+[）)]\s*.+$", "item", 3, True),
-    (r"^[IVXLCDM]+[.、]\s*.+$", "section", 2, True),
-    (r"^[ivxlcdm]+[)）]\s*.+$", "item", 3, True),
+    (r"^第([一二三四五六七八九十百零]+)([章节部分编目])\s*(.*)$", "by unit", 0, False),
+    (r"^第([一二三四五六七八九十百零]+)([条款目])\s*(.*)$", "article", 0, False),
+    (r"^第?(\d+(?:\.\d+)+)[条款]?\s*(.*)$", "article", None, False),
+    (r"^([一二三四五六七八九十]+)[、\.]\s*(.+)$", "section", 2, True),
+    (r"^[（\(]([一二三四五六七八九十]+)[）\)]\s*(.*)$", "item", 3, True),
+    (r"^(\d+)[\.\、]\s*(.+)$", "section", 2, True),
+    (r"^[（\(]?(\d+)[）\)]\s*(.+)$", "item", 3, True),
+    (r"^([IVXLCDM]+)[\.\、]\s*(.+)$", "section", 2, True),
+    (r"^([ivxlcdm]+)[\)）]\s*(.+)$", "item", 3, True),
 ]
+# Kinds by unit of the first pattern.
+UNITS = {"编": "chapter", "章": "chapter", "节": "section", "部": "chapter", "分": "chapter", "目": "item"}
+#: Levels of kinds whose pattern tells none.
+KIND_LEVELS = {"chapter": 1, "section": 2, "article": 3, "item": 3}
+#: What any heading starts with: other lines are told by one look.
+_OPENS = r"^[#第一二三四五六七八九十（(\dIVXLCDMivxlcdm]"
 # What a numbered line starts with.
 NUMBERED = r"^(?:\d+[.)、]|[（(]\d+[）)]|[一二三四五六七八九十]+[、.)]|[（(][一二三四五六七八九十]+[）)])"
 
@@ -107,7 +112,7 @@ def numbered_line(line: Column) -> Column:
 
 
 def heading_kind(line: Column, before: Column | None = None, after: Column | None = None) -> Column:
-    """(kind, level) of a heading, null for other lines; the first pattern that holds counts.
+    """(kind, level) of a heading, null for other lines; the first pattern that holds counts, level 0 where it tells none.
 
     ``before`` and ``after`` are the lines around it, null at the ends of a text; without them
     the lines around are taken to allow a heading.
@@ -117,20 +122,24 @@ def heading_kind(line: Column, before: Column | None = None, after: Column | Non
     if before is not None:
         b, a = F.trim(F.coalesce(before, F.lit(""))), F.trim(F.coalesce(after, F.lit("")))
         alone = (F.length(s) < 100) & ((b == "") | b.startswith("#") | ((a != "") & ~numbered_line(a)))
-    kind = lambda k, level: F.struct(F.lit(k).alias("kind"), level.cast("int").alias("level"))
-    out = F.when(s.startswith("#"), kind("markdown", F.length(F.regexp_extract(s, "^(#+)", 1))))
+    kind = lambda k, level: F.struct(k.alias("kind"), level.cast("int").alias("level"))
+    units = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    out = F.when(~s.rlike(_OPENS), F.lit(None)).when(s.startswith("#"), kind(F.lit("markdown"), F.length(F.regexp_extract(s, "^(#+)", 1))))
     for pattern, name, level, free in HEADINGS:
         dots = F.length(F.regexp_replace(F.regexp_extract(s, r"^第?(\d+(?:\.\d+)+)", 1), "[^.]", ""))
         hit = s.rlike(pattern) & (alone if free else F.lit(True))
-        if free and pattern.startswith(r"^\d") and after is not None:
+        if free and pattern.startswith(r"^(\d") and after is not None:
             hit = hit & ~F.trim(F.coalesce(after, F.lit(""))).rlike(r"^\d+[.、]")
-        out = out.when(hit, kind(name, F.lit(level) if level else dots + 1))
+        named = units[F.regexp_extract(s, pattern, 2)] if name == "by unit" else F.lit(name)
+        out = out.when(hit, kind(named, F.lit(level) if level is not None else dots + 1))
     return out
 
 
 def heading_level(line: Column) -> Column:
-    """1 to 4 for Markdown and numbered headings, else null."""
-    level = heading_kind(line)["level"]
+    """1 to 4 for Markdown and numbered headings, else null; kinds without a level of their own have that of ``KIND_LEVELS``."""
+    kind = heading_kind(line)
+    levels = F.create_map(*[F.lit(x) for pair in KIND_LEVELS.items() for x in pair])
+    level = F.when(kind["level"] > 0, kind["level"]).otherwise(levels[kind["kind"]])
     return F.when(level.isNotNull() & (F.trim(line).startswith("#") | (F.length(line) < 100)), F.least(level, F.lit(4)))
 
 

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stratiform.operators.quality import similarity
+from stratiform.operators.titles import matched
+
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in order."""
@@ -66,15 +69,13 @@ def plan_json(nested: DataFrame, plan: str) -> DataFrame:
 
 
 def route(patterns: DataFrame, titles: DataFrame, least: float = 0.65) -> DataFrame:
-    """Section of each pattern: contained title first, else shared keyword, else the most similar title.
+    """Section of each pattern: a title that holds it or is held first, then one of the same core word, then the most similar.
 
-    Both sides are small, stated lists (an outline and its articles).
+    Titles (title, title_pos) of equal standing are taken by position.
     """
-    from stratiform.operators.quality import similarity
-
-    pairs = patterns.crossJoin(titles)
-    exact = F.col("title").contains(F.col("pattern")) | F.col("pattern").contains(F.col("title"))
-    ratio = similarity(F.col("pattern"), F.col("title"))
-    scored = pairs.withColumn("score", F.when(exact, 1.0).otherwise(ratio)).filter(F.col("score") >= least)
-    w = Window.partitionBy("pattern").orderBy(F.desc("score"), "title_pos")
-    return scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("pattern", "title", "score")
+    rank = {"exact": 0, "keyword": 1, "similar": 2}
+    hits = matched(patterns, titles, least=least).join(titles.groupBy("title").agg(F.min("title_pos").alias("title_pos")), "title")
+    place = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])[F.col("how")]
+    closeness = F.when(F.col("how") == "similar", similarity(F.col("pattern"), F.col("title"))).otherwise(1.0)
+    w = Window.partitionBy("pattern").orderBy(place, F.desc("score"), "title_pos")
+    return hits.withColumn("score", closeness).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("pattern", "title", "how", "score")

@@ -18,21 +18,40 @@ DECORATIVE = "参考|借鉴|参照|可参考|详见"
 AROUND, ACCURATE, UNKNOWN = 100, 70.0, 50.0
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """All matches of a pattern as (citation, position), positions from 0: the pieces between them tell where each starts."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.greatest(F.size(found), F.lit(0))).alias("gap"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<citation:string,position:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["gap"])
+        here = F.array(F.struct(x["m"].alias("citation"), at.cast("int").alias("position")))
+        return F.struct((at + F.length(x["m"])).alias("at"), F.concat(acc["out"], here).alias("out"))
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
 def extract(docs: DataFrame, patterns: dict[str, list[str]] | None = None, around: int = AROUND) -> DataFrame:
-    """(doc_id, position, kind, citation, context): each different citation of a text where it first stands, in order of position.
+    """(doc_id, order, position, kind, citation, context): each different citation of a text and kind, by position.
 
-    ``order`` numbers them from 1. A citation that several patterns of a kind find counts once.
+    A citation stands where the first of its kind's patterns that finds it does so first, and its
+    context is the text around that place. Of equal positions those of earlier patterns come
+    first. Patterns must not match an empty text. Null texts have none.
     """
     patterns = patterns or CHINESE_CITATIONS
-    found = F.flatten(F.array(*[
-        F.transform(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in ps]))), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("citation")))
-        for k, ps in patterns.items()
-    ]))
-    rows = docs.where("text is not null").select("doc_id", "text", F.explode(found).alias("c")).select("doc_id", "text", "c.kind", "c.citation")
-    rows = rows.withColumn("position", F.instr("text", F.col("citation")) - 1)
-    start = F.greatest(F.lit(0), F.col("position") - around)
-    rows = rows.withColumn("context", F.substring("text", start + 1, F.col("position") + F.length("citation") + around - start))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("position", "kind", "citation"))
+    flat = [(kind, p) for kind, ps in patterns.items() for p in ps]
+
+    def found(rank: int, kind: str, pattern: str) -> Column:
+        return F.transform(matches(F.col("text"), pattern), lambda m: F.struct(F.lit(rank).alias("rank"), m["position"].alias("position"), F.lit(kind).alias("kind"), m["citation"].alias("citation")))
+
+    lists = [found(i, k, p) for i, (k, p) in enumerate(flat)]
+    rows = docs.where("text is not null").select("doc_id", "text", F.explode(F.flatten(F.array(*lists))).alias("c")).select("doc_id", "text", "c.*")
+    first = F.row_number().over(Window.partitionBy("doc_id", "kind", "citation").orderBy("rank", "position"))
+    start, end = F.greatest(F.lit(0), F.col("position") - around), F.col("position") + F.length("citation") + around
+    rows = rows.withColumn("context", F.substring("text", start + 1, end - start)).drop("text")
+    rows = rows.withColumn("_n", first).where("_n = 1")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("position", "rank"))
     return rows.withColumn("order", order).select("doc_id", "order", "position", "kind", "citation", "context")
 
 
@@ -60,11 +79,13 @@ def support_type(context: Column, supportive: str = SUPPORTIVE, decorative: str
     return F.when(context.rlike(supportive), "supportive").when(context.rlike(decorative), "decorative").otherwise("supportive")
 
 
-def evaluate(cited: DataFrame) -> DataFrame:
-    """Rates of each text's citations (doc_id, exists_in_kb, accuracy, support_type): a row per text that cites."""
+def evaluate(docs: DataFrame, cited: DataFrame) -> DataFrame:
+    """Counts and rates of the citations (doc_id, exists_in_kb, accuracy, support_type) of every text; 0 for those without any."""
     g = cited.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if("exists_in_kb").alias("existing"), F.count_if(F.col("accuracy") >= ACCURATE).alias("accurate"),
         F.count_if(F.col("support_type") == "supportive").alias("supportive"), F.count_if(F.col("support_type") == "decorative").alias("decorative"),
     )
-    rate = lambda c: F.round(F.col(c) / F.col("total"), 6)
-    return g.select("*", rate("existing").alias("existence_rate"), rate("accurate").alias("accuracy_rate"), rate("supportive").alias("supportive_rate"))
+    names = ["total", "existing", "accurate", "supportive", "decorative"]
+    out = docs.select("doc_id").join(g, "doc_id", "left").select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+    rate = lambda c: F.round(F.coalesce(F.col(c) / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)), 6)
+    return out.select("*", rate("existing").alias("existence_rate"), rate("accurate").alias("accuracy_rate"), rate("supportive").alias("supportive_rate"))

@@ -136,12 +136,6 @@ def place_names(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), fit)
 
 
-def table_rows(text: Column) -> Column:
-    """Cells of the rows of Markdown tables in a text, without ruling lines and empty cells."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.contains("|") & ~F.regexp_like(F.trim(x), F.lit(r"^[|\s:-]+$")))
-    return F.transform(lines, lambda x: F.filter(F.transform(F.split(x, r"\|", -1), lambda c: F.trim(c)), lambda c: c != ""))
-
-
 def summary_row(metric: Column, m1: Column, m2: Column, percent: Column, d: Column, p: Column, stars: Column) -> list[Column]:
     """A comparison as a report prints it: fixed decimals, a sign before the change."""
     signed = F.concat(F.when(percent >= 0, "+").otherwise(""), F.format_string("%.1f", percent), F.lit("%"))

@@ -167,6 +167,31 @@ def table_numbers(rows: DataFrame, by: str, block: int = 1000) -> DataFrame:
     return r.join(docs, [by, "doc_id"]).withColumn("table_no", F.col("_no") + F.col("_before")).drop("_no", "_before")
 
 
+def markdown_tables(rows: DataFrame, longest_name: int = 60) -> DataFrame:
+    """(doc_id, table_no, name, headers, rows) of the Markdown tables in lines (doc_id, pos, line).
+
+    A table is a run of lines that start with a bar; its first one that is no rule is the header,
+    a rule right after that is left out, and the others are rows of their cells with text. The
+    name is the nearest line before that has text and starts with neither bar nor hyphen. Tables
+    without a header or a row are none.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    s = F.regexp_replace("line", r"^\s+|\s+$", "")
+    r = rows.select("doc_id", "pos", s.alias("s")).withColumn("bar", F.col("s").startswith("|"))
+    start = F.when(F.col("bar") & ~F.coalesce(F.lag("bar").over(w), F.lit(False)), 1).otherwise(0)
+    title = F.when((F.col("s") != "") & ~F.col("bar") & ~F.col("s").startswith("-"), F.substring("s", 1, longest_name))
+    r = r.withColumns({"run": F.sum(start).over(w.rowsBetween(Window.unboundedPreceding, 0)), "name": F.coalesce(F.last(title, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(""))}).where("bar")
+    by = Window.partitionBy("doc_id", "run").orderBy("pos")
+    r = r.withColumn("head", F.min(F.when(~F.col("s").startswith("|---"), F.col("pos"))).over(Window.partitionBy("doc_id", "run"))).where("pos >= head")
+    r = r.withColumn("n", F.row_number().over(by)).where(~((F.col("n") == 2) & F.col("s").rlike(r"^\|[\s\-:]+\|")))
+    cells = F.filter(F.transform(F.split("s", r"\|", -1), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda c: c != "")
+    r = r.withColumn("cells", cells)
+    body = F.array_sort(F.collect_list(F.when((F.col("n") > 1) & (F.size("cells") > 0), F.struct("pos", "cells"))))  # the rows of one table
+    t = r.groupBy("doc_id", "run").agg(F.min_by("name", "pos").alias("name"), F.min_by("cells", "pos").alias("headers"), F.transform(body, lambda x: x["cells"]).alias("rows"))
+    t = t.where((F.size("headers") > 0) & (F.size("rows") > 0))
+    return t.withColumn("table_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("run"))).select("doc_id", "table_no", "name", "headers", "rows")
+
+
 # The heading of a table of contents, and lines after which one ends anyway.
 CONTENTS, MOST_CONTENTS = r"^(#+)\s*目\s*[录次]", 50
 

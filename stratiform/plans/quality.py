@@ -135,13 +135,49 @@ def zipped_pairs(spark, sf_dir):
 _CITED = {"law": [r"[A-Z][a-z]+ License", r"All rights reserved"], "standard": [r"[A-Z]{2,}[ -]?[0-9]+"], "indicator": [r"[0-9]+ ?%"]}
 
 
-@query("citation_extract", """WITH c AS (SELECT DISTINCT doc_id, kind, unnest(list_concat(regexp_extract_all(text, p), CASE WHEN q <> '' THEN regexp_extract_all(text, q) ELSE [] END)) AS citation FROM documents,
- (VALUES ('law', '[A-Z][a-z]+ License', 'All rights reserved'), ('standard', '[A-Z]{2,}[ -]?[0-9]+', ''), ('indicator', '[0-9]+ ?%', '')) v(kind, p, q)), p AS (SELECT c.*, strpos(text, citation) - 1 AS position, text FROM c JOIN documents USING (doc_id))
- SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY position, kind, citation))::INTEGER AS "order", position::INTEGER AS position, kind, citation, substr(text, greatest(0, position - 100) + 1, position + length(citation) + 100 - greatest(0, position - 100)) AS context FROM p""")
+_MATCHES = """m AS (SELECT doc_id, text, rank, kind, regexp_extract_all(text, p) AS ms FROM documents, (VALUES (0, 'law', '[A-Z][a-z]+ License'), (1, 'law', 'All rights reserved'), (2, 'standard', '[A-Z]{2,}[ -]?[0-9]+'), (3, 'indicator', '[0-9]+ ?%')) v(rank, kind, p) WHERE text IS NOT NULL),
+ f AS (SELECT doc_id, text, rank, kind, unnest(list_reduce(ms, lambda a, x: {'off': a.off + strpos(substr(text, a.off + 1), x) - 1 + length(x), 'got': list_append(a.got, {'citation': x, 'position': a.off + strpos(substr(text, a.off + 1), x) - 1})}, {'off': 0::BIGINT, 'got': []::STRUCT(citation VARCHAR, "position" BIGINT)[]}).got) AS c FROM m),
+ c AS (SELECT * FROM (SELECT doc_id, text, rank, kind, c.citation AS citation, c."position" AS pos, row_number() OVER (PARTITION BY doc_id, kind, c.citation ORDER BY rank, c."position") AS n FROM f) WHERE n = 1),
+ x AS (SELECT *, substr(text, greatest(0, pos - 100) + 1, pos + length(citation) + 100 - greatest(0, pos - 100)) AS context FROM c)"""
+
+
+@query("citation_extract", f"""WITH {_MATCHES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos, rank))::INTEGER AS "order", pos::INTEGER AS position, kind, citation, context FROM x""")
 def citation_extract(spark, sf_dir):
     return C.extract(table(spark, sf_dir, "documents"), _CITED)
 
 
+_WORDS = r"list_distinct(regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{N}}_]+'))"
+
+
+@query("citation_quality", rf"""WITH {_MATCHES}, k AS (SELECT x.*, b.text AS kb, strpos(b.text, citation) AS spot, coalesce(contains(b.text, citation), false) OR (kind = 'standard' AND coalesce(contains(regexp_replace(b.text, '[ -]', '', 'g'), regexp_replace(citation, '[ -]', '', 'g')), false)) AS ok FROM x LEFT JOIN documents b ON b.doc_id = x.doc_id + 1),
+ w AS (SELECT *, {_WORDS.format('context')} AS a, {_WORDS.format("substr(kb, greatest(0, spot - 51) + 1, spot + 99 - greatest(0, spot - 51))")} AS b FROM k),
+ s AS (SELECT *, CASE WHEN NOT ok THEN 0.0 WHEN spot = 0 THEN 50.0 ELSE coalesce(len(list_intersect(a, b))::DOUBLE / nullif(least(len(a), len(b)), 0) * 100, 50.0) END AS score, CASE WHEN regexp_matches(context, 'the [a-z]') THEN 'supportive' WHEN regexp_matches(context, 'and|que') THEN 'decorative' ELSE 'supportive' END AS kind_of FROM w),
+ g AS (SELECT doc_id, count(*) AS total, count(*) FILTER (ok) AS existing, count(*) FILTER (score >= 70) AS accurate, count(*) FILTER (kind_of = 'supportive') AS supportive FROM s GROUP BY 1)
+ SELECT d.doc_id, coalesce(total, 0) AS total, coalesce(existing, 0) AS existing, coalesce(accurate, 0) AS accurate, coalesce(supportive, 0) AS supportive, round(coalesce(existing::DOUBLE / total, 0), 6) AS existence_rate, round(coalesce(accurate::DOUBLE / total, 0), 6) AS accuracy_rate FROM documents d LEFT JOIN g USING (doc_id)""")
+def citation_quality(spark, sf_dir):
+    """Citations of every document, with the next one as what is known."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("kb"))
+    c = C.extract(d, _CITED).join(known, "doc_id", "left")
+    c = c.withColumn("exists_in_kb", F.coalesce(C.exists_in(F.col("kind"), F.col("citation"), F.col("kb")), F.lit(False)))
+    c = c.withColumns({"accuracy": C.accuracy(F.col("exists_in_kb"), F.col("citation"), F.col("context"), F.col("kb")), "support_type": C.support_type(F.col("context"), "the [a-z]", "and|que")})
+    return C.evaluate(d, c).select("doc_id", "total", "existing", "accurate", "supportive", "existence_rate", "accuracy_rate")
+
+
+@query("claim_evidence", f"""WITH {_SENT}, x AS (SELECT s.doc_id, s.s, b.text AS ctx FROM sent s JOIN documents b ON b.doc_id = s.doc_id + 1 WHERE contains(s, ',') OR regexp_matches(s, '[0-9]')),
+ e AS (SELECT *, list_filter(regexp_extract_all(s, '[0-9]+'), lambda v: contains(ctx, v))[1] AS num, list_filter(regexp_extract_all(s, '[A-Z][a-z]{{5,}}'), lambda v: contains(ctx, v))[1] AS name FROM x),
+ t AS (SELECT doc_id, s, CASE WHEN num IS NOT NULL THEN regexp_extract(ctx, '.{{0,50}}' || num || '.{{0,50}}') WHEN name IS NOT NULL THEN 'name ' || name || ' is there' END AS evidence FROM e)
+ SELECT doc_id, count(*) AS n, count(evidence) AS supported, md5(string_agg(evidence, '|' ORDER BY s, evidence)) AS evidence_md5 FROM t GROUP BY 1""")
+def claim_evidence(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    s = Q.sentences(d, r"[.!?\n]", 10).filter(F.col("sentence").contains(",") | F.col("sentence").rlike("[0-9]"))
+    context = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("context")).where("context is not null")
+    told = s.join(context, "doc_id").withColumn("evidence", Q.support_evidence(F.col("sentence"), F.col("context"), EVIDENCE, {"name": ("name ", " is there")}))
+    parts = F.array_sort(F.collect_list(F.when(F.col("evidence").isNotNull(), F.struct("sentence", "evidence"))))  # a text's claims
+    listed = F.when(F.size(parts) > 0, F.md5(F.array_join(F.transform(parts, lambda p: p["evidence"]), "|").cast("binary")))
+    return told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count("evidence").alias("supported"), listed.alias("evidence_md5"))
+
+
 @query("feedback_score", """WITH x AS (SELECT a.doc_id, a.text AS new, b.text AS old FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
  SELECT doc_id, round(((contains(new, 'the')::INTEGER + contains(new, 'tion')::INTEGER + contains(new, 'que')::INTEGER) / 3.0::DOUBLE), 6) AS coverage,
  round(CASE WHEN (contains(old, 'ing')::INTEGER + contains(old, 'ment')::INTEGER) > 0 THEN 1 - (contains(new, 'ing')::INTEGER + contains(new, 'ment')::INTEGER) / (contains(old, 'ing')::INTEGER + contains(old, 'ment')::INTEGER)::DOUBLE

@@ -105,10 +105,28 @@ def table_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.has_table(F.col("text")).alias("has_table"), X.cache_key(F.col("doc_id").cast("string"), F.col("lang")).alias("cache_key"))
 
 
-@query("depth_histogram", f"WITH {_L} SELECT lang, least(pos, 4) AS depth, count(*) AS n FROM l JOIN documents USING (doc_id) GROUP BY 1, 2")
+@query("depth_histogram", f"""WITH {_HP}, p AS (SELECT doc_id, pos, count(level) OVER w AS section, max(CASE WHEN level = 1 THEN pos END) OVER w AS p1, max(CASE WHEN level <= 2 THEN pos END) OVER w AS p2 FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ s AS (SELECT doc_id, section, max((p1 IS NOT NULL)::INTEGER + (p2 IS NOT NULL AND p2 IS DISTINCT FROM p1)::INTEGER) AS depth FROM p GROUP BY 1, 2) SELECT lang, depth, count(*) AS n FROM s JOIN documents USING (doc_id) GROUP BY 1, 2""")
 def depth_histogram(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return O.lines(d).join(d.select("doc_id", "lang"), "doc_id").groupBy("lang", F.least("pos", F.lit(4)).alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+    """Sections of the documents of each language by the depth of their headings."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return O.sections(_headed(spark, sf_dir)).join(d, "doc_id").groupBy("lang", F.size("path").alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ROWS = "t AS (SELECT doc_id, pos, CASE pos % 6 WHEN 2 THEN '| ' || line || ' | b |' WHEN 3 THEN '|---|---|' WHEN 4 THEN '| x | ' || line || ' |' ELSE line END AS line FROM l)"
+
+
+@query("markdown_tables", rf"""WITH {_L}, {_ROWS}, s AS (SELECT doc_id, pos, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM t), u AS (SELECT *, s LIKE '|%' AS bar, coalesce(lag(s LIKE '|%') OVER w, false) AS was, last_value(CASE WHEN s <> '' AND s NOT LIKE '|%' AND s NOT LIKE '-%' THEN left(s, 60) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS name FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ r AS (SELECT *, sum((bar AND NOT was)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run, list_filter(list_transform(string_split(s, '|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS cells FROM u),
+ h AS (SELECT *, min(CASE WHEN s NOT LIKE '|---%' THEN pos END) OVER (PARTITION BY doc_id, run) AS head FROM r WHERE bar), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS n FROM h WHERE pos >= head),
+ g AS (SELECT doc_id, run, arg_min(coalesce(name, ''), pos) AS name, arg_min(cells, pos) AS headers, count(*) FILTER (n > 1 AND len(cells) > 0 AND NOT (n = 2 AND regexp_matches(s, '^\|[\s\-:]+\|'))) AS n_rows, coalesce(string_agg(array_to_string(cells, ','), ';' ORDER BY pos) FILTER (n > 1 AND len(cells) > 0 AND NOT (n = 2 AND regexp_matches(s, '^\|[\s\-:]+\|'))), '') AS body FROM k GROUP BY 1, 2)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run))::INTEGER AS table_no, name, array_to_string(headers, ',') AS headers, n_rows, md5(body) AS rows_md5 FROM g WHERE len(headers) > 0 AND n_rows > 0""")
+def markdown_tables(spark, sf_dir):
+    n = F.col("pos") % 6
+    line = F.when(n == 2, F.concat(F.lit("| "), "line", F.lit(" | b |"))).when(n == 3, "|---|---|").when(n == 4, F.concat(F.lit("| x | "), "line", F.lit(" |"))).otherwise(F.col("line"))
+    t = O.markdown_tables(O.lines(table(spark, sf_dir, "documents")).withColumn("line", line))
+    body = F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";")
+    return t.select("doc_id", "table_no", "name", F.array_join("headers", ",").alias("headers"), F.size("rows").cast("long").alias("n_rows"), F.md5(body.cast("binary")).alias("rows_md5"))
 
 
 @query("phrase_frequency", "SELECT lang, p, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[a-z]{6,8}')) AS p FROM documents) GROUP BY 1, 2 HAVING count(*) >= 2")

@@ -82,7 +82,7 @@ def test_citations(spark):
     got = {r["citation"]: r for r in c.collect()}
     assert {k: v["exists_in_kb"] for k, v in got.items()} == {"《土地管理法》": True, "第三条": False, "不低于 8 米": True, "《镇规划标准》": False, "GB 50188-2007": True}
     assert got["第三条"]["accuracy"] == 0 and got["《土地管理法》"]["accuracy"] == 50 and 0 <= got["不低于 8 米"]["accuracy"] <= 100
-    e = citations.evaluate(c).first()
+    e = citations.evaluate(df, c).first()
     assert (e["total"], e["existing"], e["existence_rate"]) == (5, 3, 0.6) and e["supportive"] + e["decorative"] == 5
     assert list(one(spark, *[citations.support_type(F.lit(x)) for x in ("根据本法应当", "参考手册", "按照要求参考", "其他")])) == ["supportive", "decorative", "supportive", "supportive"]
 

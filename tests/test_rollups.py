@@ -21,7 +21,6 @@ def test_periods_names_and_tables(spark):
     r = one(spark, *[U.planning_period(F.lit(x).cast("string"), 2024) for x in ("2023-2035年", "2025", None, "近期")])
     assert [tuple(x) for x in r] == [(2023, 2035), (2025, 2028), (2024, 2027), (2024, 2027)]
     assert one(spark, U.place_names(F.lit("上村、下村，东至河,12,很长很长的一个名字, 甲")))[0] == ["上村", "下村"] and one(spark, U.place_names(F.lit("上村、下村。中村")))[0] == ["上村", "下村"]
-    assert one(spark, U.table_rows(F.lit("text\n| a | b |\n|---|:-:|\n| 1 |  | 2 |\nend")))[0] == [["a", "b"], ["1", "2"]]
     row = one(spark, *U.summary_row(F.lit("depth"), F.lit(2.4), F.lit(2.168), F.lit(10.7), F.lit(1.234), F.lit(0.031), F.lit("*")))
     assert list(row) == ["depth", "2.40", "2.17", "0.23", "+10.7%", "1.23", "0.0310", "*"]
     assert list(one(spark, *U.approved(F.lit("layer1"), F.lit("layer2")).values())) == [False, 0, "layer2", 1]
