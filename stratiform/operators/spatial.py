@@ -141,3 +141,41 @@ def in_buffer(points: DataFrame, features: DataFrame, radius: float = WATER_BUFF
     """Each point with the distance of the nearest feature's centre closer than ``radius``, null where none is, and whether one is."""
     near = radius_pairs(points.select(key, "lon", "lat"), features, radius).filter(F.col("distance") < radius)
     return points.select(key).join(near.groupBy(key).agg(F.min("distance").alias("distance")), key, "left").withColumn("in_buffer", F.col("distance").isNotNull())
+
+
+#: How far beyond the circle of a travel time a probe stands (a fixed value).
+PROBE = 1.2
+
+
+def sampled_boundaries(centres: DataFrame, routes: DataFrame, minutes: float, mode: str, points: int = 36, key: str = "centre_id") -> DataFrame:
+    """(key, radius, ring): where one gets from each centre (key, lon, lat) in a time, probed by bearing.
+
+    Probes stand ``PROBE`` times the radius away, bearing k at k / ``points`` of a turn. ``routes``
+    (key, bearing, duration_s) tell how long each takes: one that is reached in time is a corner,
+    a longer one is scaled back by time over duration, and a probe without a route (or of no
+    duration known) falls back to the circle itself. A centre's ring is closed, by bearing.
+    """
+    radius = F.lit(minutes / 60.0 * SPEED_KMH[mode] * 1000)
+    probes = centres.select(key, "lon", "lat").withColumn("bearing", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    r = routes.select(key, "bearing", F.col("duration_s").cast("double").alias("_s")).groupBy(key, "bearing").agg(F.min("_s").alias("_s"))
+    known = probes.join(r, [key, "bearing"], "left")
+    share = F.when(F.col("_s").isNull(), 1.0 / PROBE).when(F.col("_s") / 60.0 <= minutes, 1.0).otherwise(minutes / F.nullif(F.col("_s") / 60.0, F.lit(0.0)))
+    far, angle = radius * PROBE * share, F.col("bearing") * (2 * math.pi / points)
+    corner = F.array(F.col("lon") + far * F.cos(angle) / geo.METRES_LON, F.col("lat") + far * F.sin(angle) / geo.METRES_LAT)
+    corners = F.array_sort(F.collect_list(F.struct("bearing", corner.alias("p"))))  # ``points`` of them
+    rings = known.groupBy(key).agg(F.transform(corners, lambda c: c["p"]).alias("ring"))
+    return rings.select(key, F.round(radius, 2).alias("radius"), geo.close_ring(F.col("ring")).alias("ring"))
+
+
+def zone_coverage(zones: DataFrame, pois: DataFrame, hits: DataFrame, zone: str, poi: str, shown: int = 20) -> DataFrame:
+    """(zone, total_in_zone, coverage_rate, shown): points of interest in each zone, their share of all, and the first by key.
+
+    ``hits`` (zone, poi) tell which lie where, as ``shapes.contained`` finds them.
+    """
+    total = pois.agg(F.count(F.lit(1)).alias("_all"))
+    found = hits.select(zone, poi).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(zone).orderBy(poi)))
+    g = found.groupBy(zone).agg(F.count(F.lit(1)).alias("_c"), F.array_sort(F.collect_list(F.when(F.col("_n") <= shown, F.col(poi)))).alias("shown"))
+    out = zones.select(zone).join(g, zone, "left").crossJoin(F.broadcast(total))  # a single row
+    n = F.coalesce("_c", F.lit(0))
+    rate = F.coalesce(n / F.nullif(F.col("_all"), F.lit(0)), F.lit(0.0))
+    return out.select(zone, n.alias("total_in_zone"), rate.alias("coverage_rate"), F.coalesce("shown", F.array().cast(f"array<{pois.schema[poi].dataType.simpleString()}>")).alias("shown"))
