@@ -16,7 +16,7 @@ def settled(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         path = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not path and not sc.master.startswith("local["):
+        if not path and sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="stratiform-"))
     return df.checkpoint()
