@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratiform.plans import appendix, assembly, events, graph, planning, quality, results, retrieval, rollups, sections, sessions, shapes, spatial, store, text  # noqa: F401
+from stratiform.plans import appendix, articles, assembly, events, graph, planning, providers, quality, results, retrieval, rollups, sections, sessions, shapes, spatial, store, text  # noqa: F401
 from stratiform.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
