@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Name of a report without headings, default type of a reference, project and phase, marks of parsers, most rows shown.
 WHOLE, REFERENCE, PROJECT, PHASE = "规划内容", "法规", "村庄规划", "init"
+UNKNOWN = "未知"
 PARSER, SECONDS = r"<!--\s*解析器:\s*([\p{L}\p{N}_]+)\s*-->", r"<!--\s*解析耗时:\s*([\d.]+)s\s*-->"
-REGULATIONS, REFERENCES, PROJECT_CHARS, KEPT_EVENTS = 5, 3, 50, 500
+REGULATIONS, REFERENCES, PROJECT_CHARS, KEPT_EVENTS, KEY_POINTS, POINT_CHARS, DETAILED = 5, 3, 50, 500, 5, (4, 50), 5
 # Summary fields by the figure they stand in for.
 SUMMARY_FIELDS = {
     "population_registered": ("socio_economic.registered_population",), "population_resident": ("socio_economic.resident_population",), "population_household": ("socio_economic.households",),
@@ -122,12 +123,32 @@ def reference_context(hits: DataFrame, by: str, rank: str, doc_types: Sequence[s
     ``doc_types`` keeps hits of those types only. Hits of equal rank go by source, then content.
     """
     kept = hits.where(F.col("doc_type").isin(*doc_types)) if doc_types else hits
-    order = [F.col(rank), F.col("source").asc_nulls_last(), F.col("content").asc_nulls_last()]
-    top = kept.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= most)
+    top = _ranked(kept, by, rank, most)
     part = F.concat(F.lit("【参考"), F.col("_n").cast("string"), F.lit(" - "), F.coalesce("doc_type", F.lit(REFERENCE)), F.lit("】\n来源: "), F.coalesce("source", F.lit("Unknown")), F.lit("\n内容:\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
     return top.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", part.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
 
 
+def _ranked(hits: DataFrame, by: str, rank: str, most: int) -> DataFrame:
+    order = [F.col(rank), F.col("source").asc_nulls_last(), F.col("content").asc_nulls_last()]
+    return hits.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= most)
+
+
+def detailed_context(hits: DataFrame, by: str, rank: str, most: int = DETAILED) -> DataFrame:
+    """(by, text): source, place (page, else paragraph) and content of the best hits of each query, unknown where null."""
+    known = lambda *c: F.coalesce(*[F.col(x).cast("string") for x in c], F.lit(UNKNOWN))
+    part = F.concat(F.lit("来源: "), known("source"), F.lit("\n位置: "), known("page", "paragraph"), F.lit("\n内容: "), F.coalesce("content", F.lit("")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", part.alias("t")))), lambda x: x["t"]), "\n\n")
+    return _ranked(hits, by, rank, most).groupBy(by).agg(text.alias("text"))
+
+
+def key_points(text: Column) -> Column:
+    """The first headings of level three and deeper, then bold passages not among them, each of 4 to 50 characters; a heading may repeat."""
+    low, high = POINT_CHARS
+    found = lambda p: F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(1)), _trim), lambda t: F.length(t).between(low, high))
+    headings = found(rf"###{_SPACE}+([^\n]+)")
+    return F.slice(F.concat(headings, F.array_except(found(r"\*\*([^\n]+?)\*\*"), headings)), 1, KEY_POINTS)
+
+
 def regulation_context(keys: DataFrame, regulations: DataFrame, key: str, most: int = REGULATIONS) -> DataFrame:
     """(key, name, n_regulations, total_length, text): the first regulations (key, name, pos, source, content) of each key asked for.
 
@@ -153,6 +174,21 @@ def checkpoint_saved(checkpoint: Column, layer: Column, phase: Column, session:
     return F.to_json(F.struct(F.lit("checkpoint_saved").alias("type"), checkpoint.alias("checkpoint_id"), layer.alias("layer"), phase.alias("phase"), session.alias("session_id"), revision.alias("is_revision"), revised.alias("revised_dimensions")))
 
 
+def session_completed(session: Column) -> Column:
+    """JSON of the event that a session is done."""
+    return F.to_json(F.struct(F.lit("completed").alias("type"), session.alias("session_id")))
+
+
+def session_failed(session: Column, message: Column) -> Column:
+    """JSON of the event that a session failed; a null message is left out."""
+    return F.to_json(F.struct(F.lit("error").alias("type"), session.alias("session_id"), message.alias("message")))
+
+
+def layer_started(layer: Column, name: Column, dimensions: Column, session: Column) -> Column:
+    """JSON of the event that a layer begins, with the number of its dimensions."""
+    return F.to_json(F.struct(F.lit("layer_started").alias("type"), layer.alias("layer"), name.alias("layer_name"), dimensions.alias("dimension_count"), session.alias("session_id")))
+
+
 def session_view(state: Column) -> Column:
     """struct(phase, project_name) of a session's state as JSON, with their defaults; a name taken from its village data is cut."""
     v = F.try_parse_json(state)

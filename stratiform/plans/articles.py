@@ -71,6 +71,26 @@ def reference_contexts(spark, sf_dir):
     return A.reference_context(hits, "order_id", "score", ["policy", "guide"])
 
 
+@query("detailed_contexts", """WITH n AS (SELECT o_custkey AS customer_id, o_orderkey, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, 'f' || o_orderkey) AS n FROM orders)
+ SELECT customer_id, string_agg('来源: f' || o_orderkey || chr(10) || '位置: ' || CASE o_orderkey % 3 WHEN 0 THEN '4' WHEN 1 THEN o_orderstatus ELSE '未知' END || chr(10) || '内容: ' || o_orderpriority, chr(10) || chr(10) ORDER BY n) AS text FROM n WHERE n <= 5 GROUP BY 1""")
+def detailed_contexts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    hits = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer_id"), F.col("o_totalprice").alias("score"), F.concat(F.lit("f"), k.cast("string")).alias("source"), F.when(k % 3 == 0, 4).alias("page"), F.when(k % 3 == 1, F.col("o_orderstatus")).alias("paragraph"), F.col("o_orderpriority").alias("content"))
+    return A.detailed_context(hits, "customer_id", "score")
+
+
+_POINT = "list_filter(list_transform(regexp_extract_all(t, '{}', 1), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288))), lambda x: length(x) BETWEEN 4 AND 50)"
+
+
+@query("key_points", f"""WITH t AS (SELECT doc_id, coalesce(text, '') || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '### head ' || doc_id % 5 ELSE '**head 1** **abc**' END || chr(10) || '**head ' || doc_id % 3 || '** and **bold** or **bold**' AS t FROM documents),
+ p AS (SELECT doc_id, {_POINT.format('###[\\s\\x{00A0}\\x{3000}]+([^\\n]+)')} AS h, {_POINT.format('\\*\\*([^\\n]+?)\\*\\*')} AS b FROM t)
+ SELECT doc_id, array_to_string(list_concat(h, list_filter(b, lambda x, i: list_position(b, x) = i AND NOT list_contains(h, x)))[1:5], '|') AS points FROM p""")
+def key_points(spark, sf_dir):
+    tail = F.expr("CASE WHEN doc_id % 2 = 0 THEN '### head ' || doc_id % 5 ELSE '**head 1** **abc**' END || '\\n' || '**head ' || doc_id % 3 || '** and **bold** or **bold**'")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), tail)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(A.key_points(text), "|").alias("points"))
+
+
 @query("regulation_contexts", """WITH r AS (SELECT p_brand AS brand, 'B ' || p_brand AS name, p_partkey AS pos, p_name AS source, p_type AS content FROM part WHERE p_size % 2 = 0 AND p_brand NOT LIKE '%1'), n AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY pos, source, content) AS n FROM r),
  g AS (SELECT brand, min(name) AS name, count(*) AS k, sum(length(content)) AS total, string_agg('【' || source || '】' || chr(10) || content, chr(10) || chr(10) ORDER BY n) AS text FROM n WHERE n <= 5 GROUP BY 1)
  SELECT b.brand, coalesce(g.name, b.brand) AS name, coalesce(k, 0)::BIGINT AS n_regulations, coalesce(total, 0)::BIGINT AS total_length, coalesce(text, '') AS text FROM (SELECT DISTINCT p_brand AS brand FROM part) b LEFT JOIN g USING (brand)""")

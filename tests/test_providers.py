@@ -130,3 +130,16 @@ def test_registry(spark, seed):
     want = {(s, v): n for s, (_, h) in state.items() for n, v in enumerate(h[-2:], 1)}
     assert {(r["s"], r["value"]): r["place"] for r in A.registry_history(df, "s", ["i"], 2).collect()} == want
     assert A.registry_values(df.limit(0), "s", ["i"]).count() == 0
+
+
+def test_points_and_events(spark):
+    text = "### First point\n#### Deep one\n### abc\n**bold text** **bold text** **First point** **x\ny**\n**fifth** **sixth**"
+    r = one(spark, A.key_points(F.lit(text)), A.key_points(F.lit(None).cast("string")), A.session_failed(F.lit("s"), F.lit("m")), A.session_completed(F.lit("s")), A.layer_started(F.lit(1), F.lit("n"), F.lit(2), F.lit("s")))
+    assert r[0] == ["First point", "Deep one", "bold text", "fifth", "sixth"] and r[1] == []
+    assert list(r[2:]) == ['{"type":"error","session_id":"s","message":"m"}', '{"type":"completed","session_id":"s"}', '{"type":"layer_started","layer":1,"layer_name":"n","dimension_count":2,"session_id":"s"}']
+
+
+def test_detailed(spark):
+    hits = spark.createDataFrame([(1, 0.5, "a", 3, "p", "x"), (1, 0.1, None, None, "p", None), (1, 0.9, "c", None, None, "z")], "k int, score double, source string, page int, paragraph string, content string")
+    assert A.detailed_context(hits, "k", "score", 2).first()["text"] == "来源: 未知\n位置: p\n内容: \n\n来源: a\n位置: 3\n内容: x"
+    assert A.reference_context(hits.withColumn("doc_type", F.lit(None).cast("string")), "k", "score", most=1).first()["text"] == "【参考1 - 法规】\n来源: Unknown\n内容:\n\n"
