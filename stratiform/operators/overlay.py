@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -11,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratiform.functions import geo
+from stratiform.operators import alike
 
 #: The plane is turned by this angle (radians) first, so that no edge of usual data is upright in it.
 ANGLE = 0.5772156649015329
 #: Edges that a strip should hold: a sweep compares all pairs of them.
 PER_STRIP = 128
+#: Tasks that share the strips, at most.
+MOST_TASKS = 2000
 #: Heights and widths below this share of the largest coordinate are rounding, not area.
 NOISE = 1e-12
 MODES = ("intersection", "difference", "symmetric_difference", "union", "clip", "dissolve")
@@ -82,16 +84,17 @@ def sweep(layer: list[int], key: list, part: list, u1: np.ndarray, v1: np.ndarra
         x0, x1 = left[first : first + 256], right[first : first + 256]
         slab, edge = np.nonzero((a <= x0[:, None]) & (b >= x1[:, None]))
         height = v1[edge] + ((x0 + x1)[slab] / 2 - u1[edge]) * slope[edge]
-        order = np.lexsort((height, slab))
+        # edges that lie on each other keep their order from slab to slab, so gaps between them go on
+        order = np.lexsort((edge, np.round(height / noise), slab))
         slab, edge, height = slab[order].tolist(), edge[order].tolist(), height[order].tolist()
         now, last = None, None
         for s, e, h in zip(slab, edge, height):
             if s != now:
                 now, last = s, None
                 active: set = set()
-                counts: list[dict] = [defaultdict(int), defaultdict(int)]
+                counts: list[dict] = [{}, {}]  # only what covers the place: keys that left are taken out
             if last is not None and h - last[1] > noise and active:
-                for ka, kb in keys([k for k, c in counts[0].items() if c], [k for k, c in counts[1].items() if c]):
+                for ka, kb in keys(*counts):
                     name, span = (last[0], e, ka, kb), running.get((last[0], e, ka, kb))
                     if span and span[1] == x0[s]:
                         span[1] = float(x1[s])
@@ -100,12 +103,15 @@ def sweep(layer: list[int], key: list, part: list, u1: np.ndarray, v1: np.ndarra
                             close(name, span)
                         running[name] = [float(x0[s]), float(x1[s])]
             who = owner[e]
+            held = counts[who[0]]
             if who in active:
                 active.remove(who)
-                counts[who[0]][who[1]] -= 1
+                held[who[1]] -= 1
+                if not held[who[1]]:
+                    del held[who[1]]
             else:
                 active.add(who)
-                counts[who[0]][who[1]] += 1
+                held[who[1]] = held.get(who[1], 0) + 1
             last = (e, h)
     for name, span in running.items():
         close(name, span)
@@ -132,15 +138,15 @@ def edges(shapes: DataFrame, key: str, rings: str = "rings", part: str | None =
     return e.where(finite & (F.col("u1") < F.col("u2")))
 
 
-def _in_strips(e: DataFrame, per_strip: int) -> DataFrame | None:
-    """Edges with the strips (strip, sub, lo, hi) that they pass; None where there are none.
+def _in_strips(e: DataFrame, per_strip: int) -> tuple[DataFrame | None, int]:
+    """Edges with the strips (strip, sub, lo, hi) that they pass, None where there are none, and tasks to share them.
 
     Strips are as wide as an even spread of edges asks for, but not narrower than a mean edge;
     those that hold more edges than ``per_strip`` are cut again, so dense places share the work.
     """
     got = e.agg(F.min("u1").alias("lo"), F.max("u2").alias("hi"), F.count(F.lit(1)).alias("n"), F.avg(F.col("u2") - F.col("u1")).alias("mean")).first()
     if not got["n"]:
-        return None
+        return None, 1
     lo, width = got["lo"], max((got["hi"] - got["lo"]) * per_strip / got["n"], got["mean"])
     number = lambda u: F.floor((F.col(u) - lo) / width).cast("long")
     passed = e.withColumn("strip", F.explode(F.sequence(number("u1"), number("u2"))))
@@ -150,7 +156,7 @@ def _in_strips(e: DataFrame, per_strip: int) -> DataFrame | None:
     inside = lambda k: F.greatest(F.lit(0), F.least(k, F.col("subs") - 1))
     fine = fine.withColumn("sub", F.explode(F.sequence(inside(place("u1")), inside(place("u2")))))
     bound = lambda k: F.lit(lo) + F.lit(width) * (F.col("strip") + k / F.col("subs"))
-    return fine.withColumns({"lo": bound(F.col("sub")), "hi": bound(F.col("sub") + 1)})
+    return fine.withColumns({"lo": bound(F.col("sub")), "hi": bound(F.col("sub") + 1)}), min(MOST_TASKS, -(-got["n"] // per_strip))
 
 
 def pieces(e: DataFrame, how: str, type_a: str, type_b: str = "string", per_strip: int = PER_STRIP) -> DataFrame:
@@ -158,7 +164,7 @@ def pieces(e: DataFrame, how: str, type_a: str, type_b: str = "string", per_stri
     keys = _keys(how)
     names = ["a", "b", "left", "right", "low_l", "low_r", "high_l", "high_r"]
     schema = f"a {type_a}, b {type_b}, " + ", ".join(f"{x} double" for x in names[2:])
-    strips = _in_strips(e, per_strip)
+    strips, tasks = _in_strips(e, per_strip)
     if strips is None:
         rows = e.sparkSession.createDataFrame([], schema)
     else:
@@ -173,7 +179,8 @@ def pieces(e: DataFrame, how: str, type_a: str, type_b: str = "string", per_stri
             return pa.table([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], names)
 
         columns = ["strip", "sub", "lo", "hi", "layer", "key_a", "key_b", "part", "u1", "v1", "u2", "v2"]
-        rows = strips.select(*columns).groupBy("strip", "sub").applyInArrow(work, schema)
+        # a strip is little data and much work: their number, not their bytes, says how many tasks share them
+        rows = strips.select(*columns).repartition(tasks, "strip", "sub").groupBy("strip", "sub").applyInArrow(work, schema)
     c, s = math.cos(ANGLE), math.sin(ANGLE)
     back = lambda u, v: F.array(F.col(u) * c - F.col(v) * s, F.col(u) * s + F.col(v) * c)
     corners = [back("left", "low_l"), back("right", "low_r"), back("right", "high_r"), back("left", "high_l"), back("left", "low_l")]
@@ -185,6 +192,36 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def by_shape(shapes: DataFrame, key: str, rings: str) -> tuple[DataFrame, DataFrame]:
+    """Features with their shapes, and the polygons of each shape."""
+    rows = shapes.select(F.col(key).alias("key"), F.col(rings).alias("rings")).where("rings is not null")
+    named = alike.members(rows, "key", "rings")
+    return named, alike.content(rows, named, "key", "rings")
+
+
+def shared_pieces(a: DataFrame, b: DataFrame, how: str, per_strip: int) -> DataFrame:
+    """Pieces of the overlay of two layers of polygons (shape, rings), by shapes."""
+    left, right = edges(_numbered(a, "shape", "rings"), "key", "rings", "part", 0), edges(_numbered(b, "shape", "rings"), "key", "rings", "part", 1)
+    left = left.withColumns({"key_a": F.col("key"), "key_b": F.lit(None).cast("string")})
+    right = right.withColumns({"key_b": F.col("key"), "key_a": F.lit(None).cast("string")})
+    return pieces(left.drop("key").unionByName(right.drop("key")), how, "string", "string", per_strip)
+
+
+def _checked(how: str) -> str:
+    if how not in MODES[:-1]:
+        raise ValueError(f"how: one of {', '.join(MODES[:-1])}")
+    return how
+
+
+def _featured(found: DataFrame, named_a: DataFrame, named_b: DataFrame, how: str) -> DataFrame:
+    """Rows of shapes (a, b) as rows of the features that have them."""
+    if how in ("clip", "difference"):
+        kind = named_b.schema["key"].dataType
+        return alike.expanded(found, named_a, "a").withColumn("b", F.lit(None).cast(kind))
+    join = "inner" if how == "intersection" else "left"
+    return alike.expanded(alike.expanded(found, named_a, "a", join), named_b, "b", join)
+
+
 def overlay(a: DataFrame, b: DataFrame, how: str, key_a: str, key_b: str, rings: str = "rings", per_strip: int = PER_STRIP) -> DataFrame:
     """Overlay of two polygon layers: disjoint pieces (a, b, ring, area) of each result feature.
 
@@ -192,15 +229,35 @@ def overlay(a: DataFrame, b: DataFrame, how: str, key_a: str, key_b: str, rings:
     is in no b (b null). ``symmetric_difference``: that of either side. ``union``: all three.
     ``clip``: what of a lies in any b. Features may overlap within a layer and have holes (even-odd
     rule) and parts; rows of equal key are one feature. Features that only touch share no piece.
-    Areas are in the plane of the coordinates, squared. Empty layers are allowed.
+    Areas are in the plane of the coordinates, squared. Empty layers are allowed. Features of the
+    same polygons are swept as one and get their pieces each.
     """
-    if how not in MODES[:-1]:
-        raise ValueError(f"how: one of {', '.join(MODES[:-1])}")
-    ta, tb = _type(a, key_a), _type(b, key_b)
-    left, right = edges(_numbered(a, key_a, rings), "key", "rings", "part", 0), edges(_numbered(b, key_b, rings), "key", "rings", "part", 1)
-    left = left.withColumns({"key_a": F.col("key"), "key_b": F.lit(None).cast(tb)})
-    right = right.withColumns({"key_b": F.col("key"), "key_a": F.lit(None).cast(ta)})
-    return pieces(left.drop("key").unionByName(right.drop("key")), how, ta, tb, per_strip)
+    _checked(how)
+    (named_a, left), (named_b, right) = by_shape(a, key_a, rings), by_shape(b, key_b, rings)
+    return _featured(shared_pieces(left, right, how, per_strip), named_a, named_b, how)
+
+
+def overlay_areas(a: DataFrame, b: DataFrame, how: str, key_a: str, key_b: str, rings: str = "rings", per_strip: int = PER_STRIP) -> DataFrame:
+    """``areas`` of ``overlay`` by both features (a, b, area, pieces), summed before features of one shape part."""
+    _checked(how)
+    (named_a, left), (named_b, right) = by_shape(a, key_a, rings), by_shape(b, key_b, rings)
+    return _featured(areas(shared_pieces(left, right, how, per_strip), "a", "b"), named_a, named_b, how)
+
+
+def overlay_sums(a: DataFrame, b: DataFrame, how: str, key_a: str, key_b: str, rings: str = "rings", per_strip: int = PER_STRIP) -> DataFrame:
+    """(in_a, in_b, area): area of all features of ``overlay`` together, by the layers that cover them.
+
+    A piece counts once for each pair of features that share it, so shapes count by their features.
+    """
+    _checked(how)
+    (named_a, left), (named_b, right) = by_shape(a, key_a, rings), by_shape(b, key_b, rings)
+    found = areas(shared_pieces(left, right, how, per_strip), "a", "b")
+    for side, named in (("a", named_a), ("b", named_b)):
+        n = alike.sizes(named).select(F.col("shape").alias(side), F.col("n").alias(f"n_{side}"))
+        found = found.join(n, side, "left")
+    times = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(1.0))
+    held = found.select(F.col("a").isNotNull().alias("in_a"), F.col("b").isNotNull().alias("in_b"), (F.col("area") * times("n_a") * times("n_b")).alias("area"))
+    return held.groupBy("in_a", "in_b").agg(F.sum("area").alias("area"))
 
 
 def _numbered(shapes: DataFrame, key: str, rings: str) -> DataFrame:

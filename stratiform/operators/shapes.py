@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stratiform.functions import geo
-from stratiform.operators import overlay as O
+from stratiform.operators import alike, overlay as O
 from stratiform.settle import settled
 
 #: Cells of level L are 2 ** L wide. Shapes smaller than 2 ** FINEST count as that small.
@@ -104,9 +104,22 @@ def contained(points: DataFrame, polygons: DataFrame, key: str, rings: str = "ri
     Points first meet polygons by the cells of their boxes, then only those edges whose heights
     enclose the point's, again by cells. A row of ``polygons`` is a part, and a key with several
     rows is their union; a name with several points is inside where one of them is. Points on an
-    edge count for one side of it.
+    edge count for one side of it. Points of the same places, and polygons of the same rings, are
+    tested as one: only the result is as long as their pairs.
     """
-    p = points.where("x is not null and y is not null")
+    named_p, named_s, found = contained_shapes(points, polygons, key, rings)
+    return alike.expanded(alike.expanded(found, named_p, "point"), named_s, "polygon")
+
+
+def contained_shapes(points: DataFrame, polygons: DataFrame, key: str, rings: str = "rings") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``contained`` by shapes: the shapes of points and polygons (key, shape), and the pairs of shapes (point, polygon)."""
+    points, polygons = points.where("x is not null and y is not null"), polygons.where(F.col(rings).isNotNull())
+    named_p, named_s = alike.members(points, "point", "x", "y"), alike.members(polygons, key, rings)
+    p = alike.content(points, named_p, "point", "x", "y").withColumnRenamed("shape", "point")
+    return named_p, named_s, _contained(p, alike.content(polygons, named_s, key, rings), "shape", rings)
+
+
+def _contained(p: DataFrame, polygons: DataFrame, key: str, rings: str) -> DataFrame:
     parts = polygons.select(F.col(key).alias("polygon"), F.xxhash64(F.to_json(rings)).alias("part"), F.col(rings).alias("rings")).where("rings is not null").distinct()
     edge = segments(parts.withColumn("name", F.struct("polygon", "part")), "name", "rings", closed=True)
     edge = edge.select("key.polygon", "key.part", "x1", "y1", "x2", "y2").where("y1 <> y2")
@@ -138,14 +151,17 @@ def intersects(a: DataFrame, b: DataFrame, key_a: str, key_b: str, filled_a: boo
 
     ``filled`` shapes are polygons (rings, even-odd), others lines or points. Either some segments
     meet, or one shape lies inside the other. Rows of equal key are one shape; empty and null
-    shapes meet nothing.
+    shapes meet nothing. Equal shapes are tested as one and stand for their keys in the result.
     """
-    pairs = touching(segments(a, key_a, shape, closed=filled_a), segments(b, key_b, shape, closed=filled_b))
+    a, b = a.where(F.col(shape).isNotNull()), b.where(F.col(shape).isNotNull())
+    named_a, named_b = alike.members(a, key_a, shape), alike.members(b, key_b, shape)
+    a, b = alike.content(a, named_a, key_a, shape), alike.content(b, named_b, key_b, shape)
+    pairs = touching(segments(a, "shape", shape, closed=filled_a), segments(b, "shape", shape, closed=filled_b))
     if filled_b:
-        pairs = pairs.unionByName(contained(_corners(a, key_a, shape), b, key_b, shape).toDF("a", "b"))
+        pairs = pairs.unionByName(_contained(_corners(a, "shape", shape), b, "shape", shape).toDF("a", "b"))
     if filled_a:
-        pairs = pairs.unionByName(contained(_corners(b, key_b, shape), a, key_a, shape).toDF("b", "a").select("a", "b"))
-    return pairs.distinct()
+        pairs = pairs.unionByName(_contained(_corners(b, "shape", shape), a, "shape", shape).toDF("b", "a").select("a", "b"))
+    return alike.expanded(alike.expanded(pairs.distinct(), named_a, "a"), named_b, "b")
 
 
 def within(a: DataFrame, b: DataFrame, key_a: str, key_b: str, shape: str = "rings", slack: float = 1e-9) -> DataFrame:
@@ -154,9 +170,11 @@ def within(a: DataFrame, b: DataFrame, key_a: str, key_b: str, shape: str = "rin
     The overlay of both layers decides: b must cover the area of a but for the share ``slack``,
     which is for rounding. Polygons without area lie in none.
     """
-    own = O.areas(O.dissolve(a, key_a, shape), "a").select("a", F.col("area").alias("whole"))
-    shared = O.areas(O.overlay(a, b, "intersection", key_a, key_b, shape), "a", "b")
-    return shared.join(own, "a").where(F.col("area") >= F.col("whole") * (1 - slack)).select("a", "b")
+    (named_a, left), (named_b, right) = O.by_shape(a, key_a, shape), O.by_shape(b, key_b, shape)
+    own = O.areas(O.dissolve(left, "shape"), "a").select("a", F.col("area").alias("whole"))
+    shared = O.areas(O.shared_pieces(left, right, "intersection", O.PER_STRIP), "a", "b")
+    held = shared.join(own, "a").where(F.col("area") >= F.col("whole") * (1 - slack)).select("a", "b")
+    return alike.expanded(alike.expanded(held, named_a, "a"), named_b, "b")
 
 
 def to_segment(x: str = "x", y: str = "y") -> Column:
@@ -178,7 +196,19 @@ def nearest_of(points: DataFrame, key: str, at: Sequence[str], targets: DataFram
     it, measures the targets there, and where the least distance found passes the cells' width
     looks once more at the level as wide as it: what is nearer touches a neighbour there. So no
     point meets all targets, and none is left out. Levels start at the mean spacing of targets.
+    Points of one place look once, and of targets that differ in ``name`` only the first is met.
     """
+    spot = F.struct(*on, *at)
+    places = points.where(" and ".join(f"{c} is not null" for c in at)).select(spot.alias("_spot"), *on, *at).distinct()
+    rest = [c for c in targets.columns if c != name]
+    near = _nearest_spots(places, "_spot", at, targets.groupBy(*rest).agg(F.min(name).alias(name)), name, box, distance, on)
+    found = points.select(key, spot.alias("_spot")).join(near, "_spot")
+    best = found.groupBy(key).agg(F.min(F.struct("distance", name)).alias("_b"))
+    return best.select(key, F.col(f"_b.{name}").alias(name), F.col("_b.distance").alias("distance"))
+
+
+def _nearest_spots(points: DataFrame, key: str, at: Sequence[str], targets: DataFrame, name: str, box: Sequence[tuple[str, str]], distance: Column, on: Sequence[str]) -> DataFrame:
+    """``nearest_of`` for points and targets that are all different."""
     names = [f"_c{i}" for i in range(len(at))]
     points = points.select(key, *on, *at).where(" and ".join(f"{c} is not null" for c in at))
     targets = targets.where(" and ".join(f"{lo} is not null and {hi} is not null" for lo, hi in box))
@@ -239,7 +269,7 @@ def nearest_point(points: DataFrame, key: str, targets: DataFrame, name: str, on
         return df.withColumns(dict(zip(names, (F.cos(b) * F.cos(a) * geo.EARTH, F.cos(b) * F.sin(a) * geo.EARTH, F.sin(b) * geo.EARTH))))
 
     p = space(points, "lon", "lat", ["px", "py", "pz"])
-    t = space(targets, "lon_2", "lat_2", ["tx", "ty", "tz"])
+    t = space(targets.select(name, *on, "lon_2", "lat_2"), "lon_2", "lat_2", ["tx", "ty", "tz"])
     held = p.select(key, *on, "px", "py", "pz")
     # the way along the globe is never shorter than the difference of any coordinate in space
     lon, lat = F.degrees(F.atan2("py", "px")), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("pz") / geo.EARTH))))
@@ -264,10 +294,12 @@ def protection_conflicts(points: DataFrame, key: str, zones: DataFrame, zone_id:
 
     ``conflicts`` lists (zone_type, severity) by type, empty where no zone holds the point.
     """
-    hit = contained(points.select(F.col(key).alias("point"), "x", "y"), zones, zone_id, rings)
-    kinds = zones.select(F.col(zone_id).alias("polygon"), F.col(zone_type).alias("zone_type")).distinct()
+    named_p, named_z, hit = contained_shapes(points.select(F.col(key).alias("point"), "x", "y"), zones, zone_id, rings)
+    kinds = alike.expanded(named_z.select(F.col("shape").alias("polygon"), F.col("key").alias("zone")), zones.select(F.col(zone_id).alias("shape"), F.col(zone_type).alias("key")), "zone")
+    kinds = kinds.select("polygon", F.col("zone").alias("zone_type")).distinct()
     severity = F.when(F.col("zone_type") == SEVERE_ZONE, SEVERE).otherwise(MODERATE)
     found = hit.join(kinds, "polygon").select("point", "zone_type").distinct().groupBy("point").agg(F.array_sort(F.collect_list(F.struct("zone_type", severity.alias("severity")))).alias("conflicts"))
+    found = alike.expanded(found, named_p, "point")
     out = points.join(found, points[key] == found["point"], "left").drop("point")
     none = F.array().cast("array<struct<zone_type:string,severity:string>>")
     return out.withColumn("in_protected_zone", F.col("conflicts").isNotNull()).withColumn("conflicts", F.coalesce("conflicts", none))
@@ -276,7 +308,8 @@ def protection_conflicts(points: DataFrame, key: str, zones: DataFrame, zone_id:
 def hazard_state(points: DataFrame, key: str, zones: DataFrame, zone_id: str, rings: str = "rings", near: float = HAZARD_NEAR) -> DataFrame:
     """Each point (key, x, y) with whether a hazard zone holds it, and else whether one is within ``near`` metres."""
     p = points.select(F.col(key).alias("point"), "x", "y")
-    inside = contained(p, zones, zone_id, rings).select("point").distinct().withColumn("_in", F.lit(True))
+    named, _, hit = contained_shapes(p, zones, zone_id, rings)
+    inside = alike.expanded(hit.select("point").distinct(), named, "point").withColumn("_in", F.lit(True))
     border = nearest_segment(p, "point", zones.select(zone_id, F.transform(rings, geo.close_ring).alias("lines")), zone_id)
     out = p.join(inside, "point", "left").join(border.select("point", F.col("metres").alias("_m")), "point", "left")
     inside_zone = F.coalesce("_in", F.lit(False))

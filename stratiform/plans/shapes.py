@@ -53,14 +53,14 @@ def _rounded(area):
 
 @query("overlay_intersection", f"{_XY} SELECT point_id, facility_id, round(s * 1e8, 3) AS area FROM (SELECT point_id, facility_id, {_SHARE.format('o')} - {_SHARE.format('h')} AS s FROM a, b) WHERE s > 1e-13")
 def overlay_intersection(spark, sf_dir):
-    got = O.areas(O.overlay(plots(spark, sf_dir), zones(spark, sf_dir), "intersection", "point_id", "facility_id"), "a", "b")
+    got = O.overlay_areas(plots(spark, sf_dir), zones(spark, sf_dir), "intersection", "point_id", "facility_id")
     return got.where("area > 1e-13").select(F.col("a").alias("point_id"), F.col("b").alias("facility_id"), _rounded(F.col("area")).alias("area"))
 
 
 @query("overlay_clip_difference", f"{_XY}, {_CELLS}, c AS (SELECT point_id, sum({_SHARE.format('c.')}) AS s FROM a, cells c WHERE a.x1 < c.x2 AND c.x1 < a.x2 AND a.y1 < c.y2 AND c.y1 < a.y2 GROUP BY 1) SELECT point_id, round(coalesce(s, 0) * 1e8, 3) AS clipped, round(((x2 - x1) * (y2 - y1) - coalesce(s, 0)) * 1e8, 3) + 0.0 AS left_over FROM a LEFT JOIN c USING (point_id)")
 def overlay_clip_difference(spark, sf_dir):
     a, b = plots(spark, sf_dir), zones(spark, sf_dir)
-    part = lambda how: O.areas(O.overlay(a, b, how, "point_id", "facility_id"), "a").select(F.col("a").alias("point_id"), F.col("area").alias(how))
+    part = lambda how: O.overlay_areas(a, b, how, "point_id", "facility_id").select(F.col("a").alias("point_id"), F.col("area").alias(how))
     out = a.select("point_id").join(part("clip"), "point_id", "left").join(part("difference"), "point_id", "left")
     zero = F.lit(0.0)
     return out.select("point_id", _rounded(F.coalesce("clip", zero)).alias("clipped"), _rounded(F.coalesce("difference", zero)).alias("left_over"))
@@ -69,8 +69,8 @@ def overlay_clip_difference(spark, sf_dir):
 @query("overlay_union_totals", f"""{_XY}, {_CELLS}, u AS (SELECT x1, x2, y1, y2 FROM a), xa AS (SELECT sum((x2 - x1) * (y2 - y1)) AS s FROM cells)
  SELECT round(s * 1e8, 3) AS zones_area, (SELECT round(sum(i) * 1e8, 2) FROM (SELECT {_SHARE.format('o')} - {_SHARE.format('h')} AS i FROM a, b)) AS shared_area FROM xa""")
 def overlay_union_totals(spark, sf_dir):
-    whole = O.overlay(plots(spark, sf_dir), zones(spark, sf_dir), "union", "point_id", "facility_id")
-    shared = whole.where("a is not null and b is not null").agg(F.round(F.sum("area") * 1e8, 2).alias("shared_area"))
+    whole = O.overlay_sums(plots(spark, sf_dir), zones(spark, sf_dir), "union", "point_id", "facility_id")
+    shared = whole.where("in_a and in_b").agg(F.round(F.sum("area") * 1e8, 2).alias("shared_area"))
     return O.dissolve(zones(spark, sf_dir)).agg(_rounded(F.sum("area")).alias("zones_area")).crossJoin(shared)  # one row each
 
 
