@@ -12,9 +12,10 @@ def availability(flags: Sequence[Column]) -> Column:
     return sum((F.coalesce(f.cast("int"), F.lit(0)) for f in flags), F.lit(0)) / len(flags)
 
 
-def distance_stats(pairs: DataFrame, by: Sequence[str], distance: str = "distance") -> DataFrame:
-    """Least, mean and greatest distance of each group."""
-    return pairs.groupBy(*by).agg(F.min(distance).alias("least"), F.avg(distance).alias("mean"), F.max(distance).alias("most"))
+def distance_stats(pairs: DataFrame, by: Sequence[str], distance: str = "distance", times: str | None = None) -> DataFrame:
+    """Least, mean and greatest distance of each group; ``times`` tells how many pairs a row stands for."""
+    mean = F.sum(F.col(distance) * F.col(times)) / F.sum(times) if times else F.avg(distance)
+    return pairs.groupBy(*by).agg(F.min(distance).alias("least"), mean.alias("mean"), F.max(distance).alias("most"))
 
 
 def overall(stats: DataFrame, n: str, empty: str, latency_sum: str) -> DataFrame:

@@ -50,17 +50,27 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, on: Sequence[
 
 def covered(points: DataFrame, facilities: DataFrame, radius: float, key: str, rank: str, name: str) -> DataFrame:
     """Each point with whether a facility is within the radius, and the one that stands first in the list."""
-    near = radius_pairs(points.select(key, "lon", "lat"), facilities, radius)
-    first = near.groupBy(key).agg(F.min_by(F.struct(name, "distance"), rank).alias("_f"))
-    out = points.join(first, key, "left")
-    return out.select(*points.columns, F.col("_f").isNotNull().alias("covered"), F.col(f"_f.{name}").alias(name), F.col("_f.distance").alias("distance")).drop("_f")
+    spots = facilities.groupBy("lon_2", "lat_2").agg(F.min(F.struct(F.col(rank).alias("_r"), F.col(name).alias("_n"))).alias("_s"))
+    near = radius_pairs(points.select("lon", "lat").distinct(), spots, radius)
+    first = near.groupBy("lon", "lat").agg(F.min(F.struct("_s", "distance")).alias("_f"))
+    out = points.join(first, ["lon", "lat"], "left")
+    return out.select(*points.columns, F.col("_f").isNotNull().alias("covered"), F.col("_f._s._n").alias(name), F.col("_f.distance").alias("distance"))
 
 
 def nearest(points: DataFrame, facilities: DataFrame, within: float, key: str, name: str, on: Sequence[str] = ()) -> DataFrame:
     """Nearest facility of each point within a distance, ties by name; null where there is none."""
-    near = radius_pairs(points.select(key, *on, "lon", "lat"), facilities, within, on)
-    best = near.groupBy(key).agg(F.min(F.struct("distance", name)).alias("_b"))
-    return points.select(key).join(best, key, "left").select(key, F.col(f"_b.{name}").alias(name), F.col("_b.distance").alias("distance"))
+    at = [*on, "lon", "lat"]
+    spots = facilities.groupBy(*on, "lon_2", "lat_2").agg(F.min(name).alias(name))
+    near = radius_pairs(points.select(*at).distinct(), spots, within, on)
+    best = near.groupBy(*at).agg(F.min(F.struct("distance", name)).alias("_b"))
+    return points.select(key, *at).join(best, at, "left").select(key, F.col(f"_b.{name}").alias(name), F.col("_b.distance").alias("distance"))
+
+
+def weighted_pairs(points: DataFrame, facilities: DataFrame, radius: float, on: Sequence[str] = ()) -> DataFrame:
+    """(on, distance, n) of pairs of places within ``radius`` metres: n pairs of a point and a facility have it."""
+    places = points.groupBy(*on, "lon", "lat").agg(F.count(F.lit(1)).alias("_n"))
+    spots = facilities.groupBy(*on, "lon_2", "lat_2").agg(F.count(F.lit(1)).alias("_n2"))
+    return radius_pairs(places, spots, radius, on).select(*on, "distance", (F.col("_n") * F.col("_n2")).alias("n"))
 
 
 def coverage_rate(df: DataFrame, weight: str, flag: str = "covered", by: Sequence[str] = ()) -> DataFrame:
@@ -128,9 +138,13 @@ def prefer(frames: Sequence[DataFrame], key: str) -> DataFrame:
 
 def nearest_k(points: DataFrame, facilities: DataFrame, within: float, k: int, key: str, name: str, on: Sequence[str] = ()) -> DataFrame:
     """The ``k`` nearest facilities of each point within a distance, ties by name, with their rank."""
-    near = radius_pairs(points.select(key, *on, "lon", "lat"), facilities, within, on)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("distance", 4), name))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, name, "distance", "rank")
+    at, spot = [*on, "lon", "lat"], [*on, "lon_2", "lat_2"]
+    # at one place the first k names stand for all, and points of one place share their list
+    first = facilities.select(*spot, name).withColumn("_n", F.row_number().over(Window.partitionBy(*spot).orderBy(name))).filter(F.col("_n") <= k).drop("_n")
+    near = radius_pairs(points.select(*at).distinct(), first, within, on)
+    rank = F.row_number().over(Window.partitionBy(*at).orderBy(F.round("distance", 4), name))
+    lists = near.withColumn("rank", rank).filter(F.col("rank") <= k).select(*at, name, "distance", "rank")
+    return points.select(key, *at).join(lists, at).select(key, name, "distance", "rank")
 
 
 #: Metres around water in which no facility may stand.
@@ -139,8 +153,9 @@ WATER_BUFFER = 50.0
 
 def in_buffer(points: DataFrame, features: DataFrame, radius: float = WATER_BUFFER, key: str = "point_id") -> DataFrame:
     """Each point with the distance of the nearest feature's centre closer than ``radius``, null where none is, and whether one is."""
-    near = radius_pairs(points.select(key, "lon", "lat"), features, radius).filter(F.col("distance") < radius)
-    return points.select(key).join(near.groupBy(key).agg(F.min("distance").alias("distance")), key, "left").withColumn("in_buffer", F.col("distance").isNotNull())
+    near = radius_pairs(points.select("lon", "lat").distinct(), features.select("lon_2", "lat_2").distinct(), radius).filter(F.col("distance") < radius)
+    least = near.groupBy("lon", "lat").agg(F.min("distance").alias("distance"))
+    return points.select(key, "lon", "lat").join(least, ["lon", "lat"], "left").select(key, "distance", F.col("distance").isNotNull().alias("in_buffer"))
 
 
 #: How far beyond the circle of a travel time a probe stands (a fixed value).

@@ -19,8 +19,8 @@ def layer_availability(spark, sf_dir):
 
 @query("distance_stats", f"WITH {_P}, {_F} SELECT p.kind, round(min({_H}), 4) AS least, round(avg({_H}), 4) AS mean, round(max({_H}), 4) AS most FROM p JOIN f USING (kind) WHERE {_H} <= 2500 GROUP BY 1")
 def distance_stats(spark, sf_dir):
-    near = P.radius_pairs(points(spark, sf_dir).select("point_id", "kind", "lon", "lat"), facilities(spark, sf_dir), 2500.0, ["kind"])
-    return U.distance_stats(near, ["kind"]).select("kind", *[F.round(c, 4).alias(c) for c in ("least", "mean", "most")])
+    near = P.weighted_pairs(points(spark, sf_dir), facilities(spark, sf_dir), 2500.0, ["kind"])
+    return U.distance_stats(near, ["kind"], times="n").select("kind", *[F.round(c, 4).alias(c) for c in ("least", "mean", "most")])
 
 
 _ST = "s AS (SELECT label, count(*) AS n, sum((vec_id % 7 = 0)::INTEGER)::BIGINT AS n_empty, sum(vec_id % 13)::BIGINT AS latency FROM embeddings GROUP BY 1)"
