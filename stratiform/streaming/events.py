@@ -44,9 +44,13 @@ def accumulate(chunks: DataFrame, keys: list[str], order: list[str], text: str)
 
 
 def batches(events: DataFrame, keys: list[str], time: str, millis: int, value: str, tie: str) -> DataFrame:
-    """Last value of each key in each interval: what a display that merges updates would show."""
+    """Last value of each key in each interval: what a display that merges updates would show.
+
+    Of events of one time and ``tie`` the greatest value is last, so equal ones give the same in any order; a null
+    value shows nothing, so the one before it stays.
+    """
     bucket = F.floor(F.unix_millis(F.col(time).cast("timestamp")) / millis).cast("long")
-    return events.withColumn("bucket", bucket).groupBy(*keys, "bucket").agg(F.max_by(value, F.struct(time, tie)).alias(value), F.count(F.lit(1)).alias("n"))
+    return events.withColumn("bucket", bucket).groupBy(*keys, "bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(time, tie, value))).alias(value), F.count(F.lit(1)).alias("n"))
 
 
 def subscribe_order(numbered: DataFrame, kind: str, ranks: dict[str, int], session: str) -> DataFrame:
