@@ -1,21 +1,19 @@
 """Exact vector retrieval: filtered top-k, back-fill, fusion, parent expansion.
 
-Queries are few and broadcast behind a check of their number; the passages are scanned once, each
-partition keeps its best by a window limit, and one exchange per query joins them.
+Blocks of queries meet blocks of passages in one task each, which returns the best of every query; one
+exchange per query joins them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratiform.settle import settled
 
-#: Queries that may be broadcast; more are joined by a key of blocks instead.
-MOST_BROADCAST = 1000
+#: Queries of a block, and passages of one.
+MOST_BROADCAST, PASSAGES = 1000, 16384
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -39,35 +37,60 @@ def calibrated(cos: Column, offset: float | Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cos - offset) / (1 - offset)))
 
 
-def scored(queries: DataFrame, passages: DataFrame) -> DataFrame:
+def scored(queries: DataFrame, passages: DataFrame, keep: int | None = None, by: str | None = None) -> DataFrame:
     """(query_id, chunk columns, score) of every passage for each query (query_id, query) of a stated set.
 
-    Up to ``MOST_BROADCAST`` queries go to every task as one matrix, and batches of passages are
-    compared with it; more meet the passages by blocks of queries in a join.
+    Blocks of queries meet blocks of passages, each pair of blocks in one task as matrices. With
+    ``keep`` a block returns only the ``keep`` least scores of each query (and value of ``by``),
+    ties by chunk_id: what ``best`` can choose from, so a query brings ``keep`` rows a block, not
+    all passages. Null vectors take no part.
     """
-    some = queries.limit(MOST_BROADCAST + 1).collect()
+    queries, passages = queries.where("query is not null").select("query_id", "query"), passages.where("embedding is not null")
     rest = [f for f in passages.schema.fields if f.name != "embedding"]
-    if len(some) > MOST_BROADCAST:
-        n = -(-queries.count() // MOST_BROADCAST)
-        q = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
-        p = passages.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-        out = p.join(q, "_block").drop("_block")
-        return out.withColumn("score", F.round(squared_l2(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query")
-    ids = np.array([r["query_id"] for r in some], np.int64)
-    matrix = np.array([r["query"] for r in some], np.float64).reshape(len(some), -1)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = max(1, (1 << 18) // max(1, len(ids)))
-            for part in (batch.slice(a, step) for a in range(0, batch.num_rows, step)):
-                x = part.column("embedding").flatten().to_numpy().astype(np.float64).reshape(part.num_rows, -1)
-                score = np.stack([((x - q) ** 2).sum(1) for q in matrix], 1) if len(ids) else np.zeros((part.num_rows, 0))
-                at = pa.array(np.repeat(np.arange(part.num_rows), len(ids)))
-                cols = [*(part.column(f.name).take(at) for f in rest), pa.array(np.tile(ids, part.num_rows)), pa.array(score.ravel())]
-                yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in rest), "query_id", "score"])
+    if keep is None:
+        p = passages.crossJoin(queries)
+        return p.withColumn("score", F.round(squared_l2(F.col("embedding"), F.col("query")), 6)).drop("embedding", "query")
+    n_q, n_p = (max(1, -(-df.count() // size)) for df, size in ((queries, MOST_BROADCAST), (passages, PASSAGES)))
+    named = lambda df, key, n, m, own, other: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    q = named(queries, "query_id", n_q, n_p, "_q", "_p").repartition(n_q * n_p, "_q", "_p").groupBy("_q", "_p")
+    p = named(passages, "chunk_id", n_p, n_q, "_p", "_q").repartition(n_q * n_p, "_q", "_p").groupBy("_q", "_p")
+    names = [f.name for f in rest]
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in [*(right.schema.field(c).type for c in names), pa.int64(), pa.float64()]], [*names, "query_id", "score"])
+        x, y = matrix(right.column("embedding")), matrix(left.column("query"))
+        chunk, ids = right.column("chunk_id").to_numpy(), left.column("query_id").to_numpy()
+        kind = right.column(by).to_numpy() if by else np.zeros(len(x), np.int8)
+        groups = [np.nonzero(kind == v)[0] for v in np.unique(kind)]
+        square, most = (x * x).sum(1), (y * y).sum(1)
+        rows, who, scores = [], [], []
+        for at in range(0, len(y), 64):
+            near = square - 2 * (y[at : at + 64] @ x.T) + most[at : at + 64, None]
+            for i, line in enumerate(near, at):
+                for g in groups:
+                    pick = line[g]
+                    if len(g) > keep:
+                        # the product is off by rounding, and scores are told apart by 6 places only
+                        slack = 2e-6 + 1e-12 * (most[i] + square.max())
+                        found = g[pick <= np.partition(pick, keep - 1)[keep - 1] + slack]
+                    else:
+                        found = g
+                    exact = ((x[found] - y[i]) ** 2).sum(1)
+                    exact = np.floor(exact * 1e6 + 0.5) / 1e6
+                    order = np.lexsort((chunk[found], exact))[:keep]
+                    rows.append(found[order])
+                    who.append(np.full(len(order), ids[i]))
+                    scores.append(exact[order])
+        at = pa.array(np.concatenate(rows))
+        return pa.table([*(right.column(c).take(at) for c in names), pa.array(np.concatenate(who)), pa.array(np.concatenate(scores))], [*names, "query_id", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", query_id long, score double"
-    return passages.where("embedding is not null").mapInArrow(compare, schema).withColumn("score", F.round("score", 6))
+    return q.cogroup(p).applyInArrow(compare, schema)
 
 
 def best(df: DataFrame, n: int, by: str = "query_id", tie: str = "chunk_id", rank: str = "rank") -> DataFrame:

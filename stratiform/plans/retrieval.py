@@ -12,33 +12,37 @@ _S = """s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label AS doc_
 _T = "t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS r0 FROM s), k AS (SELECT query_id, chunk_id, doc_type, parent_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id))::INTEGER AS rank FROM t WHERE r0 <= 10 AND score <= 1.6)"
 
 
-def scores(spark, sf_dir):
+def scores(spark, sf_dir, keep, wanted=None):
+    """The ``keep`` least scores of each query, of the wanted and of the others where ``wanted`` is given."""
     e = table(spark, sf_dir, "embeddings")
     queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     passages = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_type"), F.floor(F.col("vec_id") / 10).cast("long").alias("parent_id"), "embedding")
-    return R.scored(queries, passages)
+    if wanted is None:
+        return R.scored(queries, passages, keep)
+    return R.scored(queries, passages.withColumn("wanted", F.coalesce(wanted.cast("int"), F.lit(0))), keep, "wanted").drop("wanted")
 
 
 @query("retrieve_topk", f"WITH {_S}, {_T} SELECT query_id, chunk_id, score, rank FROM k WHERE rank <= 5")
 def retrieve_topk(spark, sf_dir):
-    return R.top_k(scores(spark, sf_dir), 5, 1.6).select("query_id", "chunk_id", "score", "rank")
+    return R.top_k(scores(spark, sf_dir, 10), 5, 1.6).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("retrieve_filtered_backfill", f"""WITH {_S}, w AS (SELECT *, CASE WHEN doc_type IN (1, 2) THEN 0 ELSE 1 END AS fill FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, fill ORDER BY score, chunk_id) AS r FROM w),
  c AS (SELECT *, sum(1 - fill) OVER (PARTITION BY query_id) AS nw, row_number() OVER (PARTITION BY query_id ORDER BY fill, score, chunk_id) AS pos FROM n WHERE r <= 10)
  SELECT query_id, chunk_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id))::INTEGER AS rank FROM c WHERE (fill = 0 OR nw < 5) AND pos <= 10 AND score <= 1.9) WHERE rank <= 5""")
 def retrieve_filtered_backfill(spark, sf_dir):
-    return R.top_k_filtered(scores(spark, sf_dir), F.col("doc_type").isin(1, 2), 5, 1.9).select("query_id", "chunk_id", "score", "rank")
+    wanted = F.col("doc_type").isin(1, 2)
+    return R.top_k_filtered(scores(spark, sf_dir, 10, wanted), wanted, 5, 1.9).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("retrieve_fused", f"""WITH {_S}, {_T} SELECT chunk_id, query_id, score FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY score, query_id, rank) AS rn FROM k WHERE rank <= 5) WHERE rn = 1 ORDER BY score, query_id, rank LIMIT 8""")
 def retrieve_fused(spark, sf_dir):
-    return R.fuse(R.top_k(scores(spark, sf_dir), 5, 1.6), "chunk_id", 8).select("chunk_id", "query_id", "score")
+    return R.fuse(R.top_k(scores(spark, sf_dir, 10), 5, 1.6), "chunk_id", 8).select("chunk_id", "query_id", "score")
 
 
 @query("retrieve_parent_best", f"WITH {_S}, {_T} SELECT query_id, parent_id, score, n_hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, parent_id) AS rn FROM (SELECT query_id, parent_id, min(score) AS score, count(*) AS n_hits FROM k GROUP BY 1, 2)) WHERE rn <= 3")
 def retrieve_parent_best(spark, sf_dir):
-    return R.best_parents(R.top_k(scores(spark, sf_dir), 10, 1.6), 3).select("query_id", "parent_id", "score", "n_hits")
+    return R.best_parents(R.top_k(scores(spark, sf_dir, 20), 10, 1.6), 3).select("query_id", "parent_id", "score", "n_hits")
 
 
 _COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda t: t[1]::DOUBLE * t[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda t: t::DOUBLE * t::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda t: t::DOUBLE * t::DOUBLE))))"

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratiform.operators import alike, overlay as O, rollups as U, shapes as S, spatial as P
+from stratiform.operators import alike, overlay as O, retrieval as R, rollups as U, shapes as S, spatial as P
+from stratiform.streaming import events as V
 
 SQUARE = [[[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0]]]
 OTHER = [[[1.0, 1.0], [3.0, 1.0], [3.0, 3.0], [1.0, 3.0]]]
@@ -90,3 +91,26 @@ def test_points_of_one_place_look_once(spark, monkeypatch):
     assert {r["f"] for r in P.covered(pts, free, 250.0, "key", "f", "f").collect()} == {100}
     assert {(r["distance"], r["in_buffer"]) for r in P.in_buffer(pts, free, 250.0, "key").collect()} == {(0.0, True)}
     assert max(counts) <= 12
+
+
+def test_blocks_return_the_best_of_each_query_only(spark, monkeypatch):
+    """Copies tie, and the least ids of them stay, whatever block they are in."""
+    monkeypatch.setattr(R, "MOST_BROADCAST", 5)
+    monkeypatch.setattr(R, "PASSAGES", 50)
+    vector = F.array(*[(F.col("id") % 60 * k % 11).cast("float") for k in (1, 2, 3)])
+    e = spark.range(300).select(F.col("id").alias("chunk_id"), (F.col("id") % 3).cast("int").alias("kind"), vector.alias("embedding"))
+    q = e.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    q = q.unionByName(spark.range(1).select(F.lit(999).cast("long").alias("query_id"), F.lit(None).cast("array<float>").alias("query")))
+    every, some = R.scored(q, e), R.scored(q, e, 4, "kind")
+    assert every.count() == 15 * 300 and some.count() < 15 * 300 / 2
+    assert rows(R.top_k(R.scored(q, e, 10), 5, 90.0).select("query_id", "chunk_id", "score", "rank")) == rows(R.top_k(every, 5, 90.0).select("query_id", "chunk_id", "score", "rank"))
+    filled = lambda df: rows(R.top_k_filtered(df, F.col("kind") == 1, 2, 90.0).select("query_id", "chunk_id", "score", "rank"))
+    assert filled(some) == filled(every)
+
+
+def test_last_value_of_equal_events(spark):
+    """Events of one time and id give the same value in any order; a null value shows nothing."""
+    given = [(1, 0, 7, 2.0), (1, 0, 7, 5.0), (1, 0, 7, 3.0), (2, 0, 8, 1.0), (2, 1, 9, None)]
+    for order in (given, given[::-1]):
+        df = spark.createDataFrame(order, "user int, s long, event_id int, value double").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).coalesce(1)
+        assert {(r["user"], r["value"], r["n"]) for r in V.batches(df, ["user"], "ts", 1000 * 3600, "value", "event_id").collect()} == {(1, 5.0, 3), (2, 1.0, 2)}
