@@ -187,10 +187,30 @@ def zone_coverage(zones: DataFrame, pois: DataFrame, hits: DataFrame, zone: str,
 
     ``hits`` (zone, poi) tell which lie where, as ``shapes.contained`` finds them.
     """
-    total = pois.agg(F.count(F.lit(1)).alias("_all"))
     found = hits.select(zone, poi).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(zone).orderBy(poi)))
     g = found.groupBy(zone).agg(F.count(F.lit(1)).alias("_c"), F.array_sort(F.collect_list(F.when(F.col("_n") <= shown, F.col(poi)))).alias("shown"))
-    out = zones.select(zone).join(g, zone, "left").crossJoin(F.broadcast(total))  # a single row
+    return _shares(zones.select(zone), g, pois, zone, poi)
+
+
+def shape_coverage(zones: DataFrame, pois: DataFrame, hits: tuple[DataFrame, DataFrame, DataFrame], zone: str, poi: str, shown: int = 20) -> DataFrame:
+    """``zone_coverage`` from the shapes and pairs that ``shapes.contained_shapes`` finds: pairs of keys are never written out."""
+    named_p, named_z, pairs = hits
+    first = named_p.withColumn("_n", F.row_number().over(Window.partitionBy("shape").orderBy("key"))).where(F.col("_n") <= shown)
+    held = named_p.groupBy(F.col("shape").alias("point")).agg(F.count(F.lit(1)).alias("_c"))
+    held = held.join(first.groupBy(F.col("shape").alias("point")).agg(F.collect_list("key").alias("_k")), "point")
+    # a point has one shape, so those of different shapes are different points
+    g = pairs.join(held, "point")
+    total = g.groupBy("polygon").agg(F.sum("_c").alias("_c"))
+    least = g.select("polygon", F.explode("_k").alias("_k")).withColumn("_n", F.row_number().over(Window.partitionBy("polygon").orderBy("_k"))).where(F.col("_n") <= shown)
+    g = total.join(least.groupBy("polygon").agg(F.array_sort(F.collect_list("_k")).alias("shown")), "polygon")
+    g = named_z.select(F.col("key").alias(zone), F.col("shape").alias("polygon")).join(g, "polygon").drop("polygon")
+    return _shares(zones.select(zone), g, pois, zone, poi)
+
+
+def _shares(zones: DataFrame, found: DataFrame, pois: DataFrame, zone: str, poi: str) -> DataFrame:
+    """All zones with what was found (zone, _c, shown), and its share of all points."""
+    total = pois.agg(F.count(F.lit(1)).alias("_all"))
+    out = zones.join(found, zone, "left").crossJoin(F.broadcast(total))  # a single row
     n = F.coalesce("_c", F.lit(0))
     rate = F.coalesce(n / F.nullif(F.col("_all"), F.lit(0)), F.lit(0.0))
     return out.select(zone, n.alias("total_in_zone"), rate.alias("coverage_rate"), F.coalesce("shown", F.array().cast(f"array<{pois.schema[poi].dataType.simpleString()}>")).alias("shown"))

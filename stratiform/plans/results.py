@@ -50,8 +50,8 @@ def sampled_boundary(spark, sf_dir):
  SELECT b.facility_id, count(h.point_id) AS total_in_zone, round(count(h.point_id) / (SELECT count(*) FROM p)::DOUBLE, 8) AS coverage_rate, coalesce(string_agg(h.point_id::VARCHAR, ',' ORDER BY h.point_id) FILTER (n <= 20), '') AS shown FROM b LEFT JOIN h USING (facility_id) GROUP BY 1""")
 def zone_coverage(spark, sf_dir):
     z, p = zones(spark, sf_dir), places(spark, sf_dir)
-    hits = S.contained(p.withColumnRenamed("point_id", "point"), z, "facility_id").toDF("point_id", "facility_id")
-    out = P.zone_coverage(z, p, hits, "facility_id", "point_id")
+    hits = S.contained_shapes(p.withColumnRenamed("point_id", "point"), z, "facility_id")
+    out = P.shape_coverage(z, p, hits, "facility_id", "point_id")
     return out.select("facility_id", "total_in_zone", F.round("coverage_rate", 8).alias("coverage_rate"), F.array_join(F.transform("shown", lambda x: x.cast("string")), ",").alias("shown"))
 
 

@@ -114,3 +114,10 @@ def test_last_value_of_equal_events(spark):
     for order in (given, given[::-1]):
         df = spark.createDataFrame(order, "user int, s long, event_id int, value double").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).coalesce(1)
         assert {(r["user"], r["value"], r["n"]) for r in V.batches(df, ["user"], "ts", 1000 * 3600, "value", "event_id").collect()} == {(1, 5.0, 3), (2, 1.0, 2)}
+
+
+def test_zone_coverage_by_shapes(spark, layers):
+    zones = layers[1].unionByName(frame(spark, [(50, SQUARE), (51, [[[8.0, 8.0], [9.0, 8.0], [9.0, 9.0]]])]))
+    pts = spark.createDataFrame([(i, 1.5 + i % 2, 1.5 + i % 2) for i in range(30)], "point int, x double, y double")
+    hits = S.contained(pts, zones, "id").toDF("point", "id")
+    assert rows(P.shape_coverage(zones, pts, S.contained_shapes(pts, zones, "id"), "id", "point", 4)) == rows(P.zone_coverage(zones, pts, hits, "id", "point", 4))
