@@ -14,6 +14,8 @@ from stratiform.settle import settled
 
 #: Queries of a block, and passages of one.
 MOST_BROADCAST, PASSAGES = 1000, 16384
+#: Shares of a parent's children that are cut on their own first.
+SHARES = 128
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -134,13 +136,17 @@ def best_parents(hits: DataFrame, k: int) -> DataFrame:
 def with_children(parents: DataFrame, chunks: DataFrame, most: int, mark: str = "…") -> DataFrame:
     """Text of each parent: its children in order, joined until ``most`` characters, then cut with a mark.
 
-    Each child takes a separator at least, so the first ``most`` + 1 hold all that is shown: only
-    these meet in a group, and of each only as many characters.
+    Only children that begin within ``most`` characters are shown, and of each only as many: shares
+    of a parent's children drop what begins later even among themselves, so what meets in a group
+    is bounded whatever the number of children.
     """
-    w = Window.partitionBy("parent_id").orderBy("chunk_index")
-    first = chunks.select("parent_id", "chunk_index", F.substring("content", 1, most + 1).alias("content")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most + 2)
+    first = chunks.where("content is not null").select("parent_id", "chunk_index", F.substring("content", 1, most + 1).alias("content")).withColumn("_share", F.pmod(F.xxhash64("chunk_index"), F.lit(SHARES)))
+    for by in (["parent_id", "_share"], ["parent_id"]):
+        before = Window.partitionBy(*by).orderBy("chunk_index", "content").rowsBetween(Window.unboundedPreceding, -1)
+        first = first.withColumn("_at", F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0))).filter(F.col("_at") <= most)
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
     text = first.groupBy("parent_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("content"))
+    text = chunks.select("parent_id").distinct().join(text, "parent_id", "left").fillna("", ["content"])
     cut = F.when(F.length("content") > most, F.concat(F.substring("content", 1, most), F.lit(mark))).otherwise(F.col("content"))
     return parents.join(text, "parent_id", "left").withColumn("content", cut)
 

@@ -121,3 +121,13 @@ def test_zone_coverage_by_shapes(spark, layers):
     pts = spark.createDataFrame([(i, 1.5 + i % 2, 1.5 + i % 2) for i in range(30)], "point int, x double, y double")
     hits = S.contained(pts, zones, "id").toDF("point", "id")
     assert rows(P.shape_coverage(zones, pts, S.contained_shapes(pts, zones, "id"), "id", "point", 4)) == rows(P.zone_coverage(zones, pts, hits, "id", "point", 4))
+
+
+def test_children_are_cut_in_shares_first(spark, monkeypatch):
+    """Nulls before the first text count for nothing, and the texts shown are the first ones by index."""
+    monkeypatch.setattr(R, "SHARES", 3)
+    chunks = spark.range(400).select(F.lit("p").alias("parent_id"), F.col("id").alias("chunk_index"), F.when(F.col("id") >= 300, F.concat(F.lit("t"), F.col("id").cast("string"))).alias("content"))
+    chunks = chunks.unionByName(spark.createDataFrame([("none", 1, None), ("long", 1, "x" * 99), ("long", 2, "y")], "parent_id string, chunk_index long, content string"))
+    parents = spark.createDataFrame([("p",), ("none",), ("long",), ("absent",)], "parent_id string")
+    got = dict(map(tuple, R.with_children(parents, chunks, 22).select("parent_id", "content").collect()))
+    assert got == {"p": "\n".join(f"t{i}" for i in range(300, 306))[:22] + "…", "none": "", "long": "x" * 22 + "…", "absent": None}
