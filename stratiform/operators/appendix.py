@@ -114,10 +114,11 @@ def keyword_alignment(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs (downstream_dim, target, downstream) with ``keyword_score``: the share of expected words that occur.
 
     ``words`` (pos, downstream_dim, words) lists them by target dimension: the first that speaks of
-    the downstream one counts. Without any, frequent phrases of the target decide.
+    the downstream one counts. Without any, frequent phrases of the target decide. There is a row of
+    words for each dimension of the plan, a fixed vocabulary, so they go to the texts, not texts to them.
     """
     first = words.where(F.size("words") > 0).groupBy(F.col("downstream_dim").alias("_d")).agg(F.min_by("words", "pos").alias("_w"))
-    out = pairs.join(first, F.col("downstream_dim") == F.col("_d"), "left")
+    out = pairs.join(F.broadcast(first), F.col("downstream_dim") == F.col("_d"), "left")
     found = F.size(F.filter("_w", lambda w: F.contains(F.col("downstream"), w))) / F.nullif(F.size("_w"), F.lit(0))
     return out.withColumn("keyword_score", F.when(F.col("_d").isNotNull(), found).otherwise(N.frequent_phrases_kept(F.col("target"), F.col("downstream")))).drop("_d", "_w")
 

@@ -131,3 +131,19 @@ def test_children_are_cut_in_shares_first(spark, monkeypatch):
     parents = spark.createDataFrame([("p",), ("none",), ("long",), ("absent",)], "parent_id string")
     got = dict(map(tuple, R.with_children(parents, chunks, 22).select("parent_id", "content").collect()))
     assert got == {"p": "\n".join(f"t{i}" for i in range(300, 306))[:22] + "…", "none": "", "long": "x" * 22 + "…", "absent": None}
+
+
+def test_texts_are_not_dealt_by_dimension(spark):
+    """Words go to the texts: a dimension that many texts share would bring them all to one task."""
+    from stratiform.operators import appendix as A
+
+    words = spark.range(2).select(F.col("id").alias("pos"), F.lit("en").alias("downstream_dim"), F.array(F.lit("a"), F.lit("b")).alias("words"))
+    pairs = spark.range(6).select(F.lit("en").alias("downstream_dim"), F.lit("t").alias("target"), F.lit("a c").alias("downstream"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = A.keyword_alignment(pairs, words)
+        assert {r["keyword_score"] for r in out.collect()} == {0.5}
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
