@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from collections import deque
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -122,19 +124,97 @@ def keyword_coverage(text: Column, expected: Sequence[str], forbidden: Sequence[
     return share(text, expected, 1.0) * (1 - share(text, forbidden, 0.0))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Ratio of matching blocks (a pandas function over the standard library: no built-in has it)."""
+#: Most pairs of equal characters that are held at once; texts with more are compared by the standard library.
+PAIRS = 4_000_000
+
+
+def _equal_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(i, j, run) in order of i and j: equal characters that are not popular in ``b``, the run of such that ends there."""
+    values, at, counts = np.unique(b, return_inverse=True, return_counts=True)
+    rare = counts <= len(b) // 100 + 1 if len(b) >= 200 else np.ones(len(values), bool)
+    places = np.flatnonzero(rare[at])
+    order = places[np.argsort(b[places], kind="stable")]
+    held = b[order]
+    low = np.searchsorted(held, a, "left")
+    many = np.searchsorted(held, a, "right") - low
+    ends = np.cumsum(many)
+    if len(ends) and ends[-1] > PAIRS:
+        return None
+    i = np.repeat(np.arange(len(a)), many)
+    j = order[np.arange(len(i)) + np.repeat(low - ends + many, many)]
+    used = many > 0
+    before = lambda p, k: (i[p] >= k) & (j[p] >= k) & used[i[p] - k] & (a[i[p] - k] == b[j[p] - k])
+    run, k, p = np.ones(len(i), np.int64), 1, np.arange(len(i))
+    while len(p := p[before(p, k)]):
+        run[p] += 1
+        k += 1
+        if k > 32:  # long runs: along each diagonal, from where it began
+            line = np.lexsort((i, j - i))
+            new = np.ones(len(i), bool)
+            new[1:] = (np.diff((j - i)[line]) != 0) | (np.diff(i[line]) != 1)
+            n = np.arange(len(i))
+            run[line] = n - np.maximum.accumulate(np.where(new, n, 0)) + 1
+            break
+    return i, j, run
+
+
+def matched(a: str, b: str, least: float = 0.0) -> int:
+    """Characters in matching blocks of two texts, as ``difflib.SequenceMatcher`` counts them; 0 as soon as they stay below ``least``.
+
+    Equal characters are paired once, and each part of the texts filters its parent's pairs. No part
+    gives more than the shorter of its sides, so texts that have little in common are left early.
+    """
+    if min(len(a), len(b)) < least:
+        return 0
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    pairs = _equal_pairs(x, y)
+    if pairs is None:
+        return sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+    total, left, parts = 0, min(len(a), len(b)), deque([(0, len(a), 0, len(b), pairs)])
+    while parts and total + left >= least:
+        alo, ahi, blo, bhi, (i, j, run) = parts.popleft()
+        left -= min(ahi - alo, bhi - blo)
+        s, t, size = alo, blo, 0
+        if len(i):
+            inside = np.minimum(run, np.minimum(i - alo, j - blo) + 1)
+            best = int(inside.argmax())
+            size = int(inside[best])
+            s, t = int(i[best]) - size + 1, int(j[best]) - size + 1
+        while s > alo and t > blo and a[s - 1] == b[t - 1]:
+            s, t, size = s - 1, t - 1, size + 1
+        while s + size < ahi and t + size < bhi and a[s + size] == b[t + size]:
+            size += 1
+        if not size:
+            continue
+        total += size
+        for u, v, w, z in ((alo, s, blo, t), (s + size, ahi, t + size, bhi)):
+            if u < v and w < z:
+                lo, hi = np.searchsorted(i, (u, v))
+                keep = np.flatnonzero((j[lo:hi] >= w) & (j[lo:hi] < z)) + lo
+                # without a pair only what both sides begin with can match
+                if len(keep) or a[u] == b[w]:
+                    parts.append((u, v, w, z, (i[keep], j[keep], run[keep])))
+                    left += min(v - u, z - w)
+    return total if total >= least else 0
+
+
+def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Ratio of matching blocks (a pandas function: no built-in has it), 0 where it is below ``least``."""
+
+    def ratio(p: str, q: str) -> float:
+        both = len(p) + len(q)
+        return 2.0 * matched(p, q, least * both / 2) / both if both else 1.0
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)])
+        return pd.Series([ratio(p or "", q or "") for p, q in zip(x, y)], dtype="float64")
 
     return run(a, b)
 
 
 def change_degree(old: Column, new: Column) -> Column:
     """1 - similarity, with small changes raised to 0.3 and large ones to 1; 0 if both are empty or the new is."""
-    d = 1 - similarity(old, new)
+    d = 1 - similarity(old, new, 0.19)  # what is below 0.2 is a large change, whatever the number
     empty_old, empty_new = F.coalesce(F.length(old), F.lit(0)) == 0, F.coalesce(F.length(new), F.lit(0)) == 0
     return F.when(empty_new, 0.0).when(empty_old, 1.0).when(d < 0.1, 0.3).when(d > 0.8, 1.0).otherwise(d)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from stratiform.functions import stats as X
 from stratiform.operators import citations as C, quality as Q
-from stratiform.plans.base import query, table
+from stratiform.plans.base import SHARES, query, table
 
 _G = "g AS (SELECT l_returnflag AS grp, l_linenumber AS iter, l_extendedprice / 1000.0 AS value FROM lineitem)"
 
@@ -210,4 +210,5 @@ def quality_by_label(spark, sf_dir):
 def change_degree(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("new"))
     old = table(spark, sf_dir, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("old"))
-    return d.join(old, "doc_id").select("doc_id", F.round(Q.change_degree(F.col("old"), F.col("new")), 6).alias("change"))
+    # comparing costs far more than moving, so pairs are dealt over many tasks however few bytes they have
+    return d.repartition(SHARES, "doc_id").join(old.repartition(SHARES, "doc_id"), "doc_id").select("doc_id", F.round(Q.change_degree(F.col("old"), F.col("new")), 6).alias("change"))

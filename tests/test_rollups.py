@@ -70,3 +70,28 @@ def test_change_degree_against_the_rule(spark):
         want = 0.0 if not new else 1.0 if not old else 0.3 if d < 0.1 else 1.0 if d > 0.8 else d
         assert abs(change - want) < 1e-6
     assert quality.CHINESE_CLAIMS
+
+
+def test_matching_blocks_against_the_library(spark, monkeypatch):
+    import difflib
+    import random
+
+    random.seed(7)
+    pairs = []
+    for letters in ("ab", "abcdefghij" * 9 + "XYZ", "".join(map(chr, range(0x4E00, 0x5200)))):
+        for n in (0, 1, 40, 400, 1500):
+            old = "".join(random.choices(letters, k=n))
+            edited = "".join(c if random.random() < 0.95 else random.choice(letters) for c in old) + old[: n // 3]
+            pairs += [(old, edited), (edited, old), (old, "".join(random.choices(letters, k=300))), (old, old)]
+    want = [sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) for a, b in pairs]
+    monkeypatch.setattr(difflib, "SequenceMatcher", None)  # texts of this size are never left to the library
+    assert [quality.matched(a, b) for a, b in pairs] == want
+    for least in (20, 200):
+        assert [quality.matched(a, b, least) for a, b in pairs] == [w if w >= least else 0 for w in want]
+    monkeypatch.undo()
+    monkeypatch.setattr(quality, "PAIRS", 1)  # beyond that many pairs the library counts
+    assert [quality.matched(a, b) for a, b in pairs] == want
+
+
+def test_pairs_of_texts_are_dealt_over_many_tasks(spark):
+    assert QUERIES["change_degree"](spark, SF).rdd.getNumPartitions() >= 200
