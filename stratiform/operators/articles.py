@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -21,22 +21,33 @@ PLACES = ["province", "city", "county", "town"]
 _SUBS = "array<struct<title:string,content:string>>"
 
 # A line starts at the text's start or after a line end; an empty line, the end after a line end included, ends a section.
+# What a section holds is taken line by line, so each character is looked at once; its last line must end.
 _EOL = r"\n\r\u2028\u2029"
+_BLANKS = " \t\n\x0b\f\r\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _SPACE = r"[\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
-_BOL = rf"(?:(?<![\s\S])|(?<=[{_EOL}]))"
-_EMPTY = rf"{_BOL}(?=[{_EOL}]|\z)"
-DIMENSION = rf"{_BOL}##{_SPACE}+([^{_EOL}]+)\n([\s\S]*?)(?={_BOL}##{_SPACE}+|{_EMPTY})"
-SUBSECTION = rf"{_BOL}###{_SPACE}+([^{_EOL}]+)\n([\s\S]*?)(?={_BOL}###{_SPACE}+|{_BOL}##{_SPACE}+|{_EMPTY})"
+
+
+def _section(mark: str, end: str) -> str:
+    head, lines = rf"{mark}(?<![^{_EOL}]{mark}){_SPACE}+([^{_EOL}]+)\n", rf"(?:(?!{end}{_SPACE})[^{_EOL}]++[{_EOL}])*+"
+    return rf"{head}({lines})(?={end}{_SPACE}|[{_EOL}]|\z)"
+
+
+DIMENSION, SUBSECTION = _section("##", "##"), _section("###", "###?")
+_NAMED = rf"^#+{_SPACE}+([^{_EOL}]+)\n((?s:.*))"
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def _parts(text: Column, pattern: str, name: str) -> Column:
-    """Trimmed (name, content) of every match, in order."""
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2)]
-    return F.zip_with(*found, lambda a, b: F.struct(_trim(a).alias(name), _trim(b).alias("content")))
+    """Trimmed (name, content) of every match, in order: matches are found once and then taken apart."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(*[_trim(F.regexp_extract(m, _NAMED, i)).alias(c) for i, c in ((1, name), (2, "content"))]))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def dimensions_of(text: Column) -> Column:
@@ -52,14 +63,14 @@ def dimensions_of(text: Column) -> Column:
     def shaped(d: Column) -> Column:
         c = d["content"]
         cut = F.locate("### ", c)
-        main = F.when(cut > 0, _trim(F.substring(c, F.lit(1), cut - 1))).otherwise(c)
+        main = F.when(cut > 0, _trim(F.substring_index(c, "### ", 1))).otherwise(c)
         subs = F.when(cut > 0, _parts(c, SUBSECTION, "title")).otherwise(F.array().cast(_SUBS))
         return F.struct(d["name"].alias("name"), F.when(main == "", c).otherwise(main).alias("content"), subs.cast(_SUBS).alias("subsections"))
 
-    found = F.transform(F.filter(_parts(text, DIMENSION, "name"), lambda d: (d["name"] != "") & (d["content"] != "")), shaped)
+    found = F.filter(_parts(text, DIMENSION, "name"), lambda d: (d["name"] != "") & (d["content"] != ""))
     whole = F.struct(F.lit(WHOLE).alias("name"), trimmed.alias("content"), F.array().cast(_SUBS).alias("subsections"))
     kind = f"array<struct<name:string,content:string,subsections:{_SUBS}>>"
-    return F.when(trimmed == "", F.array().cast(kind)).when(F.size(found) > 0, found.cast(kind)).otherwise(F.array(whole).cast(kind))
+    return F.when(trimmed == "", F.array().cast(kind)).otherwise(_let(found, lambda d: F.when(F.size(d) > 0, F.transform(d, shaped).cast(kind)).otherwise(F.array(whole).cast(kind))))
 
 
 def parser_of(text: Column) -> Column:

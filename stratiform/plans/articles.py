@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratiform.operators import articles as A
-from stratiform.plans.base import query, table
+from stratiform.plans.base import SHARES, query, table
 
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(12288) || chr(65279)"
@@ -18,8 +18,8 @@ _CUT = f"trim(CASE WHEN regexp_matches({{0}}, '[\\n\\r][\\n\\r]') THEN regexp_ex
  CASE WHEN form = 2 THEN md5('lead') WHEN one THEN md5(main) WHEN form = 3 AND body <> '' THEN md5('## D' || doc_id || chr(10) || body) WHEN body <> '' THEN md5(body) END AS content_md5 FROM m""")
 def layer_dimensions(spark, sf_dir):
     """A report without headings, one with a section, one with two (subsections in the first), one whose last line is open."""
-    blank = r"[ \t\n\x0B\f\r\u00A0\u3000\uFEFF]+"
-    d = table(spark, sf_dir, "documents").withColumn("body", F.regexp_replace(F.coalesce("text", F.lit("")), rf"^{blank}|{blank}\z", ""))
+    # taking texts apart costs more than moving them, so they are dealt over many tasks however few files hold them
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(SHARES, "doc_id").withColumn("body", F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r\u00a0\u3000\ufeff")))
     name = F.concat(F.lit("## D"), F.col("doc_id").cast("string"), F.lit("\n"))
     two = F.concat(name, F.lit("lead\n### S\n"), F.col("body"), F.lit("\n### T\nx\n## E\nend\n"))
     form, given = F.col("doc_id") % 4, F.col("body") != ""

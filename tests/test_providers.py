@@ -97,6 +97,17 @@ def test_dimensions(spark):
     assert got == list(REPORTS.values())
 
 
+def test_sections_are_found_once(spark):
+    from stratiform.plans.catalogue import QUERIES
+
+    df = spark.createDataFrame([("## A\r\nx\n## B\ny\r\n\nz\n",), ("##\n\nA\nb\n## \u2028c\nd\n",)], "t string").select(A.dimensions_of(F.col("t")).alias("d"))
+    assert [[(x["name"], x["content"]) for x in r["d"]] for r in df.collect()] == [[("B", "y")], [("A", "b"), ("c", "d")]]
+    # one search for sections and one for subsections, in tasks that do not follow from the number of files
+    query = QUERIES["layer_dimensions"](spark, "/root/testdata/sf0.001")
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2 and "REPARTITION_BY_NUM" in plan
+
+
 def test_figures_and_views(spark):
     df = spark.createDataFrame([(1, "", 0, 0.0, '{"location": {"city": "c"}, "land_use": {"forest_coverage_rate": "x"}, "natural_environment": {"forest_coverage_rate": 5}, "architecture": {"total_buildings": "7.9"}}', '{"city": ""}'), (2, "own", 3, 1.5, "{}", None), (3, None, None, None, None, "broken")], "k int, city string, building_count int, forest_coverage_pct double, s string, c string")
     assert [tuple(r)[1:4] for r in A.filled_figures(df, "s", "c").orderBy("k").collect()] == [("c", 7, 5.0), ("own", 3, 1.5), ("", 0, 0.0)]
