@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stratiform.functions.batches import by_text
 from stratiform.functions.text import strip_comments
 from stratiform.operators.text import LIMIT, OVERLAP, blank_after_headings, merge_heading_pairs, split_text
 
@@ -16,12 +17,13 @@ CODE, ROW = re.compile(r"```[\s\S]*?```"), re.compile(r"<tr>.*?</tr>", re.S)
 AFTER_TABLE = " (后缀)"
 
 Part = tuple[int, str, bool]
+PARTS = pa.list_(pa.struct([("i", pa.int32()), ("t", pa.string()), ("after", pa.bool_())]))
 
 
 def split_code(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[Part]:
     """A text with much code becomes its other text and one line about the code; else it is split as text."""
-    blocks = CODE.findall(text)
-    length = sum(map(len, blocks))
+    blocks = [m.end() - m.start() for m in CODE.finditer(text)]
+    length = sum(blocks)
     if length <= limit * CODE_SHARE:
         return [(i, t, False) for i, t in enumerate(split_text(text, limit, overlap))]
     note = f"[代码块摘要: {len(blocks)} 个代码块, 共 {length} 字符]"
@@ -79,10 +81,10 @@ def long_chunks_split(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVER
     on; ``parent_chunk_id`` names the chunk, null where nothing was split. Null content is empty.
     """
 
-    @F.pandas_udf("array<struct<i:int,t:string,after:boolean>>")
-    def parts(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None or (p := split_long(t, limit, overlap)) is None else [{"i": i, "t": x, "after": a} for i, x, a in p])
+    def split(t: str | None) -> list[dict] | None:
+        return None if t is None or (p := split_long(t, limit, overlap)) is None else [{"i": i, "t": x, "after": a} for i, x, a in p]
 
+    parts = by_text(split, PARTS, "array<struct<i:int,t:string,after:boolean>>")
     long = F.length(content) > limit
     short = chunks.where(~F.coalesce(long, F.lit(False))).withColumns({"part": F.lit(None).cast("int"), "parent_chunk_id": F.lit(None).cast("string"), "char_count": F.coalesce(F.length(content), F.lit(0))})
     cut = chunks.where(long).withColumn("_p", parts(F.col(content))).select("*", F.posexplode("_p").alias("part", "_x")).drop("_p")
@@ -138,10 +140,10 @@ def cleaned(docs: DataFrame, metadata_fields: list[str], heading: str = r"^(#+)\
     read, so lines are marked by a small function for each text; all else are windows over lines.
     Documents without a line left have no row.
     """
-    @F.pandas_udf("array<struct<pos:int,line:string,kept:boolean>>")
-    def mark(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else [{"pos": n, "line": x, "kept": k} for n, x, k in marked_lines(t, heading, most)])
+    def marked(t: str | None) -> list[dict]:
+        return [] if t is None else [{"pos": n, "line": x, "kept": k} for n, x, k in marked_lines(t, heading, most)]
 
+    mark = F.pandas_udf(lambda texts: texts.map(marked), "array<struct<pos:int,line:string,kept:boolean>>")
     rows = docs.select("doc_id", F.explode(mark(strip_comments(F.col("text")))).alias("x")).select("doc_id", "x.pos", "x.line", "x.kept")
     s = F.regexp_replace("line", r"^\s+|\s+$", "")
     fields = "^(?:" + "|".join(re.escape(f) for f in metadata_fields) + ")[：:]"

@@ -255,3 +255,17 @@ def test_ingest_stream_takes_each_file_once(spark, tmp_path):
     write(folder, "d9.md", "# T9\n" + "text of some length " * 5)
     I.ingest_stream(spark, str(folder), path, str(tmp_path / "checkpoint1"), files_per_batch=2)
     assert I.current_chunks(spark, path).count() == 4
+
+
+def test_texts_leave_batches_bit_by_bit(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from stratiform.functions.batches import by_text, sliced
+
+    texts = ["a" * 10, None, "é" * 10, "", "b" * 50, "c", None]
+    parts = [p.to_pylist() for p in sliced(pa.array(texts).slice(1), 20)]
+    assert parts == [[None, "é" * 10, ""], ["b" * 50], ["c", None]]
+    assert list(sliced(pa.array([], pa.string()))) == []
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else "x" * (i * 997 % 40000)) for i in range(600)], "i int, t string").coalesce(1)
+    length = by_text(lambda t: None if t is None else len(t), pa.int64(), "long")
+    assert df.where(~length(F.col("t")).eqNullSafe(F.length("t").cast("long"))).count() == 0
