@@ -18,6 +18,7 @@ AFTER_TABLE = " (后缀)"
 
 Part = tuple[int, str, bool]
 PARTS = pa.list_(pa.struct([("i", pa.int32()), ("t", pa.string()), ("after", pa.bool_())]))
+LINES = pa.list_(pa.struct([("pos", pa.int32()), ("line", pa.string()), ("kept", pa.bool_())]))
 
 
 def split_code(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[Part]:
@@ -143,7 +144,7 @@ def cleaned(docs: DataFrame, metadata_fields: list[str], heading: str = r"^(#+)\
     def marked(t: str | None) -> list[dict]:
         return [] if t is None else [{"pos": n, "line": x, "kept": k} for n, x, k in marked_lines(t, heading, most)]
 
-    mark = F.pandas_udf(lambda texts: texts.map(marked), "array<struct<pos:int,line:string,kept:boolean>>")
+    mark = by_text(marked, LINES, "array<struct<pos:int,line:string,kept:boolean>>")
     rows = docs.select("doc_id", F.explode(mark(strip_comments(F.col("text")))).alias("x")).select("doc_id", "x.pos", "x.line", "x.kept")
     s = F.regexp_replace("line", r"^\s+|\s+$", "")
     fields = "^(?:" + "|".join(re.escape(f) for f in metadata_fields) + ")[：:]"

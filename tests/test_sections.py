@@ -269,3 +269,15 @@ def test_texts_leave_batches_bit_by_bit(spark):
     df = spark.createDataFrame([(i, None if i % 7 == 0 else "x" * (i * 997 % 40000)) for i in range(600)], "i int, t string").coalesce(1)
     length = by_text(lambda t: None if t is None else len(t), pa.int64(), "long")
     assert df.where(~length(F.col("t")).eqNullSafe(F.length("t").cast("long"))).count() == 0
+
+
+def test_lines_are_marked_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+    from stratiform.functions import batches
+
+    seen = []
+    monkeypatch.setattr(C, "by_text", lambda f, kind, returns: seen.append((f, kind)) or batches.by_text(f, kind, returns))
+    docs = spark.createDataFrame([(1, "# 目录\na..1\nb"), (2, None), (3, "x\n* 3 -\ny")], "doc_id int, text string")
+    assert {r["doc_id"]: r["content"] for r in C.cleaned(docs, []).collect()} == {1: "b", 3: "x\ny"}
+    f, kind = seen[0]
+    assert pa.array([f("a\nb"), f(None)], kind).to_pylist() == [[{"pos": 1, "line": "a", "kept": False}, {"pos": 2, "line": "b", "kept": False}], []]
