@@ -201,9 +201,11 @@ def fillings(left: dict[int, int], order: list[int], capacity: int, spare: int,
                 enter(i + 1, need - m * s, [*chosen, (s, m)] if m else chosen)
 
     total = reach[0].bit_length() - 1
-    while total >= 0 and len(found) < most and room - total <= spare:
+    trials = [0]
+    while total >= 0 and len(found) < most and room - total <= spare and (trials[0] > 0 or not found):
         if reach[0] >> total & 1:
-            trials = [64 * most]
+            if not found:  # once there is a filling, all totals share what trials are left
+                trials = [64 * most]
             enter(0, total, [])
         total -= 1
     return [merge(f) for f in found]

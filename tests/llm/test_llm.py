@@ -564,3 +564,21 @@ def test_secrets_behind_other_separators():
     assert found("note: token=ab12cd34") == ["ab12cd34"]
     assert "hunter2x" in found("see http://h.net/?u=bob&pwd=hunter2x&v=1 there")
     assert found("time: 10:30:55 and note: nothing") == []
+
+
+def test_plan_of_a_frequent_size_takes_bounded_work():
+    import time
+
+    rng = np.random.default_rng(1)
+    sizes = np.clip(np.concatenate([rng.lognormal(5.5, 1, 25000), np.full(13000, 700), rng.integers(697, 704, 13000)]), 1, 2048).astype(int)
+    counts = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True))))
+    start = time.process_time()
+    plan = op3.plan_bins(counts, 2048)
+    assert time.process_time() - start < 15  # with trials for each total apart: more than 25 seconds
+    held = {}
+    for n, filling in plan:
+        assert sum(s * m for s, m in filling) <= 2048
+        for s, m in filling:
+            held[s] = held.get(s, 0) + n * m
+    assert held == counts
+    assert op3.lower_bound(counts, 2048) <= sum(n for n, _ in plan) <= sum(n for n, _ in op3._best_fit(counts, 2048))
