@@ -56,16 +56,17 @@ def edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(EDGES, "src string, dst string, kind string")
 
 
-def waves(dims: DataFrame, deps: DataFrame) -> DataFrame:
+def waves(dims: DataFrame, deps: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Wave of each dimension: 1 + the latest wave of what it depends on within its phase.
 
     Each round takes the dimensions that wait for none any more, so rounds are as many as there
     are waves and every edge is met once. Edges from what is no dimension do not count;
-    dimensions on a cycle, or behind one, have no wave and no row.
+    dimensions on a cycle, or behind one, have no wave and no row. Columns of ``dims`` named in
+    ``keep`` stay.
     """
     known = dims.select(F.col("key").alias("src"))
     left = settled(deps.filter("kind = 'depends_on'").select("src", "dst").distinct().join(known, "src", "left_semi"))
-    todo = settled(dims.select("key", "layer", "pos"))
+    todo = settled(dims.select("key", "layer", "pos", *keep))
     out, wave = None, 1
     while True:
         waiting = left.select(F.col("dst").alias("key")).distinct()

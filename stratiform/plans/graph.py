@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stratiform.operators import graph as G
 from stratiform.plans.base import query, table
+from stratiform.settle import settled
 
 #: Three layers of up to three, two and two lines; keys are unique over all orders.
 _D = """d AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS key, l_orderkey AS session_id, (CASE WHEN l_linenumber <= 3 THEN 1 WHEN l_linenumber <= 5 THEN 2 ELSE 3 END)::INTEGER AS layer, l_linenumber AS pos FROM lineitem),
@@ -26,8 +27,8 @@ def dims(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + n).alias("key"), F.col("l_orderkey").alias("session_id"), layer.alias("layer"), n.alias("pos")).distinct()
 
 
-def deps(spark, sf_dir):
-    d = dims(spark, sf_dir)
+def deps(spark, sf_dir, among=None):
+    d = dims(spark, sf_dir) if among is None else among
     kind = F.when(F.col("sl") == F.col("layer"), "depends_on").when(F.col("sl") == 1, "layer_depends_on").otherwise("phase_depends_on")
     # each dimension asks for the two places before it
     asked = d.where((F.col("session_id") + F.col("pos")) % 4 > 0).withColumn("sp", F.explode(F.array(F.col("pos") - 1, F.col("pos") - 2)))
@@ -35,10 +36,11 @@ def deps(spark, sf_dir):
     return asked.join(s, ["session_id", "sp"]).select("src", F.col("key").alias("dst"), kind.alias("kind"))
 
 
-def done(spark, sf_dir):
+def done(spark, sf_dir, among=None):
+    d = dims(spark, sf_dir) if among is None else among
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), "o_orderstatus")
     holds = F.when(F.col("o_orderstatus") == "F", F.col("pos") <= 4).when(F.col("o_orderstatus") == "O", F.col("pos") % 3 != 2).otherwise(F.lit(False))
-    return dims(spark, sf_dir).join(o, "session_id").where(holds).select("key")
+    return d.join(o, "session_id").where(holds).select("key")
 
 
 def targets(spark, sf_dir):
@@ -72,9 +74,9 @@ def dispatch_dims(spark, sf_dir):
 
 @query("next_wave", f"WITH RECURSIVE {_D}, {_R}, x AS (SELECT session_id, key, wave FROM d JOIN w USING (key) WHERE layer = 1), f AS (SELECT session_id, min(wave) AS wave FROM x WHERE key NOT IN (SELECT key FROM c) GROUP BY 1) SELECT session_id, key, wave FROM x JOIN f USING (session_id, wave)")
 def next_wave(spark, sf_dir):
-    d = dims(spark, sf_dir)
-    levels = G.waves(d, deps(spark, sf_dir)).filter("layer = 1").select("key", "wave").join(d.select("key", "session_id"), "key")
-    return G.next_wave(levels, done(spark, sf_dir), ["session_id"])
+    d = settled(dims(spark, sf_dir).where("layer = 1"))  # edges that count for waves stay within a layer
+    levels = G.waves(d, deps(spark, sf_dir, d), keep=["session_id"])
+    return G.next_wave(levels.select("session_id", "key", "wave"), done(spark, sf_dir, d), ["session_id"]).select("session_id", "key", "wave")
 
 
 @query("revision_plan", f"WITH RECURSIVE {_D}, {_T} SELECT target AS key, 0 AS wave FROM tg UNION ALL SELECT key, max(level)::INTEGER FROM i WHERE key IN (SELECT key FROM c) AND key NOT IN (SELECT target FROM tg) GROUP BY 1")
