@@ -91,3 +91,14 @@ def test_cache_after_a_change_of_layer(spark):
     e = spark.createDataFrame([(1, n, k, x) for n, (k, x) in enumerate(zip(kinds, layers))] + [(2, 0, "dimension_start", 1)], "s int, seq int, type string, layer int")
     got = sorted((r["s"], r["seq"]) for r in T.cached_events(e, "s", "seq", "type", "layer").collect())
     assert got == [(1, 3), (1, 6), (1, 7), (2, 0)]
+
+
+def test_events_of_sessions_are_dealt_in_fixed_shares(spark):
+    from stratiform.plans.catalogue import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = plan("rebuilt_events")
+    assert "REPARTITION_BY_NUM" in dealt and str(T.SHARES) in dealt
+    # the texts of reports are measured where they are read
+    assert "AS content#" not in dealt
+    assert "REPARTITION_BY_NUM" in plan("restored_history")
