@@ -165,6 +165,7 @@ def sketch_pairs(first: np.ndarray, label: np.ndarray, block: np.ndarray, n: np.
     """Pairs (i, j) of rows of one group with different labels that neither sizes nor sketches rule out, and their distance.
 
     ``first`` holds the group's first row for each row. In a group of two blocks only rows of different blocks are paired.
+    The distance is that of the shorter sketch's length, whatever others the group holds.
     """
     rows = len(first)
     start = np.flatnonzero(first == np.arange(rows))
@@ -173,8 +174,8 @@ def sketch_pairs(first: np.ndarray, label: np.ndarray, block: np.ndarray, n: np.
     low = np.minimum.reduceat(width, start)[np.searchsorted(start, first)]
     two = (np.maximum.reduceat(block, start) != np.minimum.reduceat(block, start))[np.searchsorted(start, first)]
     out_i, out_j, out_d = [], [], []
-    for w in np.unique(low):
-        at = np.flatnonzero(low == w)
+
+    def folded(at: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
         table = np.zeros((len(at), w // 8), _U)
         for r, x in enumerate(at.tolist()):
             y = np.frombuffer(sketch[x], _U)
@@ -183,6 +184,12 @@ def sketch_pairs(first: np.ndarray, label: np.ndarray, block: np.ndarray, n: np.
             table[r] = y
         place = np.zeros(rows, np.int64)
         place[at] = np.arange(len(at))
+        return table, place
+
+    for w in np.unique(low):
+        at = np.flatnonzero(low == w)
+        table, place = folded(at, w)
+        wider = {v: folded(at[width[at] >= v], v) for v in np.unique(width[at]) if v > w}
         later = end[at] - at - 1
         done = np.cumsum(later)
         step = max(1, SLAB // int(w // 8))
@@ -196,6 +203,13 @@ def sketch_pairs(first: np.ndarray, label: np.ndarray, block: np.ndarray, n: np.
             i, j = i[ok], j[ok]
             apart = np.bitwise_count(table[place[i]] ^ table[place[j]]).sum(1, dtype=np.int64)
             ok = apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            i, j, apart = i[ok], j[ok], apart[ok]
+            for v, (longs, row) in wider.items():
+                x = np.flatnonzero(np.minimum(width[i], width[j]) == v)
+                for s in range(0, len(x), step):
+                    y = x[s : s + step]
+                    apart[y] = np.bitwise_count(longs[row[i[y]]] ^ longs[row[j[y]]]).sum(1, dtype=np.int64)
+            ok = apart * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
             out_i.append(i[ok])
             out_j.append(j[ok])
             out_d.append(apart[ok])
@@ -203,10 +217,36 @@ def sketch_pairs(first: np.ndarray, label: np.ndarray, block: np.ndarray, n: np.
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j, out_d))
 
 
+def owned(groups: pa.ListArray, g: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether ``g`` is the least group that rows i and j have in common; ``groups`` has a sorted list for each row."""
+    width = groups.value_lengths().to_numpy()
+    start = np.cumsum(width) - width
+    values, name = np.unique(groups.flatten().to_numpy(), return_inverse=True)
+    held = np.repeat(np.arange(len(width)), width) * len(values) + name
+    at = np.searchsorted(values, g)
+    keep = np.zeros(len(i), bool)
+    done = np.cumsum(width[i])
+    a = 0
+    while a < len(i):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + SLAB, "right")))
+        w = width[i[a:b]]
+        pair = np.repeat(np.arange(a, b), w)
+        named = name[np.repeat(start[i[a:b]] - np.cumsum(w) + w, w) + np.arange(len(pair))]
+        sought = j[pair] * len(values) + named
+        both = held[np.minimum(np.searchsorted(held, sought), len(held) - 1)] == sought
+        pair, named = pair[both], named[both]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        keep[pair[first]] = named[first] == at[pair[first]]
+        a = b
+    return keep
+
+
 def candidates(members: DataFrame, percent: int, turn: str) -> DataFrame:
-    """(g, a, b, apart): pairs of members (k, g, b, node, label, n, sketch) that may link and have different labels.
+    """(a, b, apart): pairs of members (k, g, b, node, label, n, sketch, groups) that may link and have different labels.
 
-    ``turn`` tells which: the nearest partner of each node, that of each pair of labels, or all.
+    ``turn`` tells which: the nearest partner of each node, that of each pair of labels, or all. A pair
+    comes from the least of the groups it is in; as ties go to the least nodes, what is nearest in
+    all groups is so in that one.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,23 +255,24 @@ def candidates(members: DataFrame, percent: int, turn: str) -> DataFrame:
             new = np.concatenate([[True], k[1:] != k[:-1]])
             first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
             i, j, d = sketch_pairs(first, label, block, n, t.column("sketch").to_pylist(), percent)
+            low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             if turn == "node":  # the nearest of either side
-                side = np.concatenate([i, j])
-                order = np.lexsort((np.concatenate([d, d]), side))
+                side, other = np.concatenate([i, j]), np.concatenate([j, i])
+                order = np.lexsort((node[other], np.concatenate([d, d]), side))
                 best = order[np.concatenate([[True], side[order][1:] != side[order][:-1]])] if len(side) else order
                 at = np.unique(best % max(1, len(i)))
             elif turn == "label":
                 la, lb = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-                order = np.lexsort((d, lb, la, first[i]))
+                order = np.lexsort((high, low, d, lb, la, first[i]))
                 x = [c[order] for c in (first[i], la, lb)]
                 at = order[np.concatenate([[True], np.any([c[1:] != c[:-1] for c in x], axis=0)])] if len(i) else order
             else:
                 at = np.arange(len(i))
             if len(at):
-                a, b = node[i[at]], node[j[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g[i[at]], np.minimum(a, b), np.maximum(a, b), d[at])], ["g", "a", "b", "apart"])
+                at = at[owned(t.column("groups").combine_chunks(), g[i[at]], i[at], j[at])]
+                yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (low, high, d)], ["a", "b", "apart"])
 
-    return members.repartition("k").sortWithinPartitions("k").select("k", "g", "b", "node", "label", "n", "sketch").mapInArrow(compare, "g long, a long, b long, apart long")
+    return members.repartition("k").sortWithinPartitions("k").select("k", "g", "b", "node", "label", "n", "sketch", "groups").mapInArrow(compare, "a long, b long, apart long")
 
 
 def nearest(near: DataFrame) -> DataFrame:
@@ -292,12 +333,14 @@ def jaccard_rows(docs: DataFrame, words: int = QUERY[0], percent: int = QUERY[1]
     nodes = keys.where("node <> 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("t").alias("t"))
     members = materialize(members_of(groups), "op7-members")
     release(groups)
-    sketched = lambda rows: rows.join(nodes.drop("t").hint("merge"), "node")
+    lists = members.groupBy("node").agg(F.array_sort(F.collect_set("g")).alias("groups"))
+    known = materialize(nodes.drop("t").join(lists.hint("merge"), "node"), "op7-known")
+    sketched = lambda rows: rows.join(known.hint("merge"), "node")
     near = materialize(candidates(sketched(members.withColumn("label", F.col("node"))), percent, "node"), "op7-near")
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    # a node without a candidate has none in later turns, nor has a group
     sets = materialize(node_sets(docs, materialize(ends.join(nodes.select("node", "t"), "node"), "op7-wanted"), words), "op7-sets")
-    live = materialize(members.join(near.select("g").distinct().hint("merge"), "g", "left_semi"), "op7-live")
+    # a node without a candidate has none in later turns
+    live = materialize(members.join(ends.hint("merge"), "node", "left_semi"), "op7-live")
     release(members)
     pairs = tried = materialize(nearest(near), "op7-pairs")
     links = materialize(verified(pairs, sets, percent), "op7-links")
@@ -322,7 +365,7 @@ def jaccard_components(docs: DataFrame, words: int = QUERY[0], percent: int = QU
     one shingle; texts without words or null ones link with nothing. Very long texts are whole
     sets like others. Equal sets are one node (its 64-bit digest), so copies cost nothing further.
     Members of a signature's group are compared by size and parity sketch, which rule pairs out
-    exactly; pairs left are verified by their sets: the nearest of each node first, then the
+    exactly; a pair of several groups is reported by the least of them. Pairs left are verified by their sets: the nearest of each node first, then the
     nearest of each two components, then all that still lie in different components. Repeated rows
     are copies; a null doc_id has the component of its equals; extra columns are not read; an
     empty table gives no rows.

@@ -413,6 +413,32 @@ def test_jaccard_join_of_spread_copies(spark, monkeypatch, block):
     assert got == want and 8 < len({c for _, _, c in want}) < 160
 
 
+def test_pairs_come_from_one_group_only(spark):
+    r = np.random.default_rng(4)
+    base = r.integers(1, 1 << 62, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[e:], r.integers(1, 1 << 62, e).astype(np.uint64)])) for e in r.integers(0, 25, 30)] + [base[:120], base[:124]]
+    size = np.array([len(x) for x in sets])
+    sketch = op7.parity_sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), size)
+    groups = [sorted(r.choice(len(sets), 20, replace=False).tolist()) for _ in range(12)]
+    lists = [[g for g, m in enumerate(groups) if x in m] for x in range(len(sets))]
+    rows = [(g, g, 0, x, x, int(size[x]), sketch[x], lists[x]) for g, m in enumerate(groups) for x in m]
+    members = spark.createDataFrame(rows, "k long, g long, b int, node long, label long, n long, sketch binary, groups array<long>")
+    apart = {}
+    for g, m in enumerate(groups):
+        for a in m:
+            for b in m:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if a < b and 100 * both >= 85 * (size[a] + size[b] - both):
+                    apart[a, b] = size[a] + size[b] - 2 * both
+    every = [(x["a"], x["b"], x["apart"]) for x in op7.candidates(members, 85, "all").collect()]
+    at = {(a, b): d for a, b, d in every}
+    assert len(at) == len(every) and set(apart) <= set(at) and all(at[p] <= d for p, d in apart.items())
+    near = {(x["a"], x["b"]): x["apart"] for x in op7.candidates(members, 85, "node").collect()}
+    assert set(near.items()) <= set(at.items())
+    for x in {x for p in at for x in p}:  # each node's nearest of all groups
+        assert min(d for p, d in at.items() if x in p) == min(d for p, d in near.items() if x in p)
+
+
 def test_one_of_each_group_stays(spark):
     text = words_of(80, random.Random(1), 10**6)
     rows = [(1, text), (1, text), (3, text), (None, text), (None, text), (None, text + " x"), (7, "alone here"), (8, None), (9, ""), (None, words_of(60, random.Random(2), 10**6))]
