@@ -40,7 +40,9 @@ def accumulate_text(spark, sf_dir):
     return V.accumulate(c, ["conv_id"], ["turn"], "piece").select("conv_id", "turn", "accumulated")
 
 
-@query("delta_batches", "SELECT user_id, event_type, floor(epoch_ms(ts) / 3600000)::BIGINT AS bucket, arg_max(value, (ts, event_id, value)) AS value, count(*) AS n FROM events GROUP BY 1, 2, 3")
+@query("delta_batches", """WITH b AS (SELECT *, floor(epoch_us(ts) / 3600000000)::BIGINT AS bucket FROM events),
+ r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, bucket, value IS NULL ORDER BY ts DESC NULLS LAST, event_id DESC NULLS LAST, value DESC) AS r FROM b)
+ SELECT user_id, event_type, bucket, max(value) FILTER (r = 1) AS value, count(*) AS n FROM r GROUP BY 1, 2, 3""")
 def delta_batches(spark, sf_dir):
     return V.batches(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", 3600000, "value", "event_id")
 

@@ -47,7 +47,8 @@ def batches(events: DataFrame, keys: list[str], time: str, millis: int, value: s
     """Last value of each key in each interval: what a display that merges updates would show.
 
     Of events of one time and ``tie`` the greatest value is last, so equal ones give the same in any order; a null
-    value shows nothing, so the one before it stays.
+    value shows nothing, so the one before it stays. A null time or ``tie`` comes before all others. Intervals are
+    counted from 1970 in both directions; events without a time share one.
     """
     bucket = F.floor(F.unix_millis(F.col(time).cast("timestamp")) / millis).cast("long")
     return events.withColumn("bucket", bucket).groupBy(*keys, "bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(time, tie, value))).alias(value), F.count(F.lit(1)).alias("n"))
